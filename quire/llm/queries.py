@@ -43,6 +43,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_warc, op5_secrets, op7_simhash)}
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.hmm import score
+
+    return score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality_mil import fit, score, training_labels
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, training_labels(_table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.line_rules import judge
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_warc, op5_secrets, op6_hmm, op7_simhash, op9_quality, op10_lines)}
 
 ORACLES: dict[str, str] = {}
