@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.html_template import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +71,6 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_warc, op5_secrets, op6_hmm, op7_simhash, op9_quality, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op4_warc, op5_secrets, op6_hmm, op7_simhash, op9_quality, op10_lines)}
 
 ORACLES: dict[str, str] = {}
