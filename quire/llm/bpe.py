@@ -25,7 +25,7 @@ from quire.llm.common import slices_by_size
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text handled at once, and pieces remembered, in a Python worker.
 SLICE_CHARS = 2_000_000
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 1_000_000
 
 
 def byte_symbols() -> list[str]:
