@@ -25,6 +25,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.decontaminate import window_hits
+
+    found = window_hits(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.warc import archive_pages
 
@@ -71,6 +78,6 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op4_warc, op5_secrets, op6_hmm, op7_simhash, op9_quality, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op3_decontaminate, op4_warc, op5_secrets, op6_hmm, op7_simhash, op9_quality, op10_lines)}
 
 ORACLES: dict[str, str] = {}
