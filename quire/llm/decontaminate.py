@@ -116,5 +116,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, s
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose text holds no item; a row with a null doc_id goes if any such row does hold one."""
-    gone = window_hits(docs, benchmark, shingle, similarity).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialise(window_hits(docs, benchmark, shingle, similarity).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import materialise
+
 #: Patterns of the base kinds (fixed values).
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -24,6 +26,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 EXAMPLE_OWNERS = 3
 #: Distinct characters that a value must have to look live.
 LIVE_DISTINCT = 6
+#: Entries of copied values (a hash of spans and hashes of values) that are broadcast at most; beyond, a join.
+BROADCAST_ROWS = 100_000
 
 
 def all_matches(text: Column, pattern: str, value_group: int) -> Column:
@@ -83,22 +87,39 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if repository is None else repository
-    base = docs.withColumn("_base", base_spans(F.coalesce(F.col("text"), F.lit("")))).withColumn("_owner", F.coalesce(owner, F.lit("\0"))).withColumn("_repo", F.coalesce(repository, F.lit("\0")))
-    held = base.where(F.size("_base") > 0)
-    one = held.select("_owner", "_repo", F.explode("_base").alias("s")).select("_owner", "_repo", F.sha2(F.col("s.value"), 256).alias("hash"))
-    per_repo = one.groupBy("hash", "_owner", "_repo").agg(F.count("*").alias("n"))
-    per_owner = per_repo.groupBy("hash", "_owner").agg(F.count("*").alias("repos"))
-    # values held by one owner only need no entry: what isn't found below is owner-specific
-    copied = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).where(F.col("owners") >= example_owners).select("hash", "owners")
-    keys = held.select(F.explode(F.array_distinct(F.transform("_base", lambda x: F.sha2(x["value"], 256)))).alias("hash"), F.sha2(F.to_json("_base"), 256).alias("_key")).distinct()
-    examples = keys.join(copied, "hash").groupBy("_key").agg(F.collect_set("hash").alias("_examples"))
-    out = base.withColumn("_key", F.sha2(F.to_json("_base"), 256)).join(examples, "_key", "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("base", "added")]).alias("doc"), base_spans(text).alias("base"), F.coalesce(owner, F.lit("\0")).alias("owner"), F.coalesce(repository, F.lit("\0")).alias("repository"))
+    values = F.array_distinct(F.transform("base", lambda x: F.sha2(x["value"], 256)))
+    held = materialise(rows.where(F.size("base") > 0).select("owner", "repository", values.alias("values"), F.sha2(F.to_json("base"), 256).alias("spans")), "candidates")
+    per_repository = held.select("owner", "repository", F.explode("values").alias("hash")).groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
+    per_owner = per_repository.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
+    # values that fewer owners hold need no entry: what isn't found below is owner-specific
+    copied = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).where(F.col("owners") >= example_owners)
+    # rows with the same spans and values share an entry
+    keys = held.select("spans", F.explode("values").alias("hash")).distinct()
+    examples = materialise(keys.join(copied, "hash").groupBy("spans").agg(F.collect_set("hash").alias("examples")), "examples")
+    if examples.count() <= BROADCAST_ROWS:
+        examples = F.broadcast(examples)
+    out = rows.withColumn("spans", F.when(F.size("base") > 0, F.sha2(F.to_json("base"), 256))).join(examples, "spans", "left")
 
     def told(x):
-        is_example = F.array_contains(F.coalesce(F.col("_examples"), F.array().cast("array<string>")), F.sha2(x["value"], 256))
+        is_example = F.array_contains(F.coalesce("examples", F.array().cast("array<string>")), F.sha2(x["value"], 256))
         varied = F.size(F.array_distinct(F.split(x["value"], ""))) >= live_distinct
         live = varied & x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
         return F.struct(F.when(is_example, "example").when(live, "live").alias("kind"), x["from"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["from"].alias("from"))
 
-    added = F.array_distinct(F.filter(F.transform("_base", told), lambda x: x["kind"].isNotNull()))
-    return out.withColumn("base", F.col("_base")).withColumn("added", added).drop("_base", "_owner", "_repo", "_key", "_examples")
+    added = F.array_distinct(F.filter(F.transform("base", told), lambda x: x["kind"].isNotNull()))
+    return out.select("doc.*", "base", added.alias("added"))
+
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each span, or run of overlapping spans, replaced by a mark."""
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+
+    def step(acc, x):
+        apart = x["start"] >= acc["at"]
+        kept = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate(order, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step)
+    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
