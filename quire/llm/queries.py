@@ -62,6 +62,13 @@ def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.quality_mil import fit, score, training_labels
 
@@ -78,6 +85,6 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op3_decontaminate, op4_warc, op5_secrets, op6_hmm, op7_simhash, op9_quality, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op3_decontaminate, op4_warc, op5_secrets, op6_hmm, op7_simhash, op8_suffix, op9_quality, op10_lines)}
 
 ORACLES: dict[str, str] = {}
