@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import materialise, scratch_path, utf8
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 #: Bytes of text in a block and of strings in a bucket; bound what a task holds.
 BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 2_000_000
-HOT_ROWS = 20_000
+HOT_ROWS = 200_000
 #: Bits of an anchor's hash that are kept besides those of its bucket; a collision costs work, not correctness.
 KEPT_BYTES = 5
 
@@ -45,24 +45,19 @@ _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | n
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all grams of so many bytes, by doubling: a gram's hash is made of those of its halves."""
-    level, width, out, at = _BYTE[data], 1, None, 0
-    left = size
-    while left:
+    level, width, out, at, left = _BYTE[data], 1, None, 0, size
+    while True:
         if left & 1:
             part = level[at:]
-            if out is None:
-                out = part
-            else:
-                n = len(part)
-                out = (out[:n] * _ODD) ^ (out[:n] >> np.uint64(31))
-                out += part
+            out = part if out is None else out[: len(part)] * _ODD + part
             at += width
         left >>= 1
-        if left:
-            level = (level[:-width] * _ODD) + (level[width:] ^ (level[width:] >> np.uint64(29)))
-            width *= 2
+        if not left:
+            break
+        level = level[:-width] * (_ODD + np.uint64(2 * width)) + level[width:]
+        width *= 2
     out = out[: len(data) - size + 1]
     out = (out ^ (out >> np.uint64(32))) * _ODD
     return out ^ (out >> np.uint64(29))
@@ -77,13 +72,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have : width - have + n])
 
 
+def anchors(data: np.ndarray, length: int, chunk: int = 1 << 15) -> np.ndarray:
+    """The anchor of each window, a cache-sized chunk at a time."""
+    gram = min(GRAM, length)
+    n = len(data) - length + 1
+    out = np.empty(n, np.uint64)
+    for s in range(0, n, chunk):
+        e = min(s + chunk, n)
+        out[s:e] = sliding_min(gram_hashes(data[s : e + length - 1], gram), length - gram + 1)
+    return out
+
+
 def anchor_runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring windows of one text with equal anchors: (anchor, text, first window's place, number of windows)."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.astype(np.uint64), none, none, none
-    gram = min(GRAM, length)
-    anchor = sliding_min(gram_hashes(data, gram), length - gram + 1)
+    anchor = anchors(data, length)
     starts = np.cumsum(sizes) - sizes
     windows = np.maximum(sizes - length + 1, 0)
     total = int(windows.sum())
@@ -171,12 +176,14 @@ def shared_anchors(blocks: DataFrame, bits: int, length: int = LENGTH) -> DataFr
     def judged(table: pa.Table) -> pa.Table:
         single = [_unpacked(x.as_py()) for x in table.column("single")]
         several = [_unpacked(x.as_py()) for x in table.column("several")]
-        # in two lists, or twice in one
-        values, counts = np.unique(np.concatenate(single + several + several), return_counts=True)
-        shared = values[counts > 1]
-        out = []
-        for s, m in zip(single, several, strict=True):
-            out.append(_packed(np.sort(np.concatenate([s[np.isin(s, shared)], m]))))
+        every = np.concatenate(single + several)
+        # in two lists, or in two documents of one
+        _, own, counts = np.unique(every, return_inverse=True, return_counts=True)
+        keep = counts > 1
+        keep[own[sum(map(len, single)) :]] = True
+        keep, ends = keep[own], np.cumsum([len(x) for x in single + several])
+        kept = [x[keep[e - len(x) : e]] for x, e in zip(single + several, ends, strict=True)]
+        out = [_packed(np.concatenate([s, m])) for s, m in zip(kept[: len(single)], kept[len(single) :], strict=True)]
         return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "anchors"])
 
     lists = blocks.mapInArrow(listed, "bucket int, block string, single binary, several binary")
@@ -340,7 +347,15 @@ def resolve(strings: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET
         own = np.array([place.setdefault(x, len(place)) for x in s])
         least_lo = np.full(len(place), np.iinfo(np.int64).max)
         np.minimum.at(least_lo, own, lo)
-        found = least_documents(list(place), least_lo, length)
+        # a window has one anchor: where an anchor's strings are all equal there is nothing to compare
+        anchor = np.empty(len(place), np.int64)
+        anchor[own] = table.column("anchor").to_numpy()
+        _, same, many = np.unique(anchor, return_inverse=True, return_counts=True)
+        distinct = list(place)
+        found = [np.full(len(x) - length + 1, d) for x, d in zip(distinct, least_lo, strict=True)]
+        several = np.flatnonzero(many[same] > 1)
+        for j, least in zip(several, least_documents([distinct[j] for j in several], least_lo[several], length) if len(several) else [], strict=True):
+            found[j] = least
         return _answers(table.column("block").to_pylist(), s, table.column("hi").to_pylist(), [found[j] for j in own])
 
     schema = "block string, key binary, least binary"
