@@ -8,6 +8,7 @@ where that setting is absent, as in local tests, is a folder of our own set.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of tables that are written out by now.
+
+    They go when the driver collects its garbage, which a driver with little to do may not come to.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm

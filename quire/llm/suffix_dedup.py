@@ -21,7 +21,6 @@ not gathered: its windows are grouped one by one by a summed-up minimum.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, scratch_path, utf8
+from quire.llm.common import materialise, release, scratch_path, utf8
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a block and of strings in a bucket; bound what a task holds.
-BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 2_000_000
+BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 2_000_000
 HOT_ROWS = 200_000
 #: Bits of an anchor's hash that are kept besides those of its bucket; a collision costs work, not correctness.
 KEPT_BYTES = 5
@@ -86,26 +85,29 @@ def anchors(data: np.ndarray, length: int, chunk: int = 1 << 15) -> np.ndarray:
 def anchor_runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring windows of one text with equal anchors: (anchor, text, first window's place, number of windows)."""
     none = np.zeros(0, np.int64)
-    if len(data) < length:
+    windows = np.maximum(sizes - length + 1, 0)
+    if not windows.sum():
         return none.astype(np.uint64), none, none, none
     anchor = anchors(data, length)
     starts = np.cumsum(sizes) - sizes
-    windows = np.maximum(sizes - length + 1, 0)
-    total = int(windows.sum())
-    if not total:
-        return none.astype(np.uint64), none, none, none
-    text = np.repeat(np.arange(len(sizes)), windows)
-    at = np.arange(total) + np.repeat(starts - (np.cumsum(windows) - windows), windows)
-    a = anchor[at]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
-    return a[new], text[new], at[new], np.diff(np.append(new, total))
+    breaks = np.ones(len(anchor), bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=breaks[1:])
+    # a text's windows begin at its start, and those that would leave it begin a run of their own
+    for edge in (starts, starts + windows):
+        breaks[edge[edge < len(breaks)]] = True
+    at = np.flatnonzero(breaks)
+    many = np.diff(np.append(at, len(anchor)))
+    text = np.searchsorted(starts, at, side="right") - 1
+    keep = at < (starts + windows)[text]
+    at, text = at[keep], text[keep]
+    return anchor[at], text, at, many[keep]
 
 
 def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, doc_ids, sizes, data): neighbouring rows together; a longer text is a block of its own."""
 
     def pack(name, ids, texts):
-        return {"block": name, "doc_ids": ids, "sizes": [len(t) for t in texts], "data": zlib.compress(b"".join(texts), 1)}
+        return {"block": name, "doc_ids": ids, "sizes": [len(t) for t in texts], "data": pa.compress(b"".join(texts), codec="zstd", asbytes=True)}
 
     def run(batches):
         part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -113,22 +115,23 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = utf8(t)
                 if ids and size + len(t) > block_bytes:
-                    yield pa.RecordBatch.from_pylist([pack(f"{part}-{n}", ids, texts)], schema=schema)
+                    yield pa.RecordBatch.from_pylist([pack(part << 32 | n, ids, texts)], schema=schema)
                     n, ids, texts, size = n + 1, [], [], 0
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
         if ids:
-            yield pa.RecordBatch.from_pylist([pack(f"{part}-{n}", ids, texts)], schema=schema)
+            yield pa.RecordBatch.from_pylist([pack(part << 32 | n, ids, texts)], schema=schema)
 
-    schema = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "block string, doc_ids array<bigint>, sizes array<bigint>, data binary")
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "block bigint, doc_ids array<bigint>, sizes array<bigint>, data binary")
 
 
 def _block(row_ids, row_sizes, row_data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids (-1: null), sizes and bytes of a block."""
     ids = np.array([-1 if i is None else i for i in row_ids.as_py()], np.int64)
-    return ids, row_sizes.values.to_numpy(), np.frombuffer(zlib.decompress(row_data.as_py()), np.uint8)
+    sizes = row_sizes.values.to_numpy()
+    return ids, sizes, np.frombuffer(pa.decompress(row_data.as_py(), int(sizes.sum()), codec="zstd", asbytes=True), np.uint8)
 
 
 def _known(ids_row) -> np.ndarray:
@@ -171,7 +174,7 @@ def shared_anchors(blocks: DataFrame, bits: int, length: int = LENGTH) -> DataFr
                 cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
                 for k in np.flatnonzero(np.diff(cut)):
                     part, many = a[cut[k] : cut[k + 1]] & mask, several[cut[k] : cut[k + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name.as_py()]), pa.array([_packed(part[~many])], pa.binary()), pa.array([_packed(part[many])], pa.binary())], ["bucket", "block", "single", "several"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name.as_py()], pa.int64()), pa.array([_packed(part[~many])], pa.binary()), pa.array([_packed(part[many])], pa.binary())], ["bucket", "block", "single", "several"])
 
     def judged(table: pa.Table) -> pa.Table:
         single = [_unpacked(x.as_py()) for x in table.column("single")]
@@ -186,18 +189,18 @@ def shared_anchors(blocks: DataFrame, bits: int, length: int = LENGTH) -> DataFr
         out = [_packed(np.concatenate([s, m])) for s, m in zip(kept[: len(single)], kept[len(single) :], strict=True)]
         return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "anchors"])
 
-    lists = blocks.mapInArrow(listed, "bucket int, block string, single binary, several binary")
-    return lists.groupBy("bucket").applyInArrow(judged, "block string, bucket int, anchors binary").where(F.length("anchors") > 0)
+    lists = blocks.mapInArrow(listed, "bucket int, block bigint, single binary, several binary")
+    return lists.groupBy("bucket").applyInArrow(judged, "block bigint, bucket int, anchors binary").where(F.length("anchors") > 0)
 
 
 def by_block(df: DataFrame, name: str) -> str:
     """Write rows in a folder per block, for the tasks that hold the block; the folder's path."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition("block").write.partitionBy("block").parquet(path)
+    df.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(path)
     return path
 
 
-def _read_block(path: str, block: str) -> pa.Table | None:
+def _read_block(path: str, block: int) -> pa.Table | None:
     store, base = fs.FileSystem.from_uri(path)
     folder = f"{base}/block={block}"
     if store.get_file_info(folder).type == fs.FileType.NotFound:
@@ -206,7 +209,7 @@ def _read_block(path: str, block: str) -> pa.Table | None:
     return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in files]) if files else None
 
 
-def _shared_runs(shared: str, block: str, data: np.ndarray, sizes: np.ndarray, known: np.ndarray, bits: int, length: int):
+def _shared_runs(shared: str, block: int, data: np.ndarray, sizes: np.ndarray, known: np.ndarray, bits: int, length: int):
     """The runs of a block whose anchors other documents have."""
     a, text, at, n = anchor_runs(data, sizes, length)
     got = _read_block(shared, block)
@@ -241,11 +244,11 @@ def shared_strings(blocks: DataFrame, shared: str, bits: int, length: int = LENG
                 for j in range(0, len(rows), 20_000):
                     part = rows[j : j + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[0] for x in part], pa.int64()), pa.array(keys[j : j + 20_000], pa.binary()), pa.array([name.as_py()] * len(part)), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())],
+                        [pa.array([x[0] for x in part], pa.int64()), pa.array(keys[j : j + 20_000], pa.binary()), pa.array([name.as_py()] * len(part), pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())],
                         ["anchor", "s", "block", "lo", "hi"],
                     )
 
-    return blocks.mapInArrow(run, "anchor bigint, s binary, block string, lo bigint, hi bigint")
+    return blocks.mapInArrow(run, "anchor bigint, s binary, block bigint, lo bigint, hi bigint")
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -333,7 +336,7 @@ def string_key(s: bytes) -> bytes:
 
 def _answers(blocks, strings, his, least) -> pa.Table:
     rows = [(b, string_key(s), d.astype("<i8").tobytes()) for b, s, h, d in zip(blocks, strings, his, least, strict=True) if d.min() < h]
-    return pa.table([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "key", "least"])
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "key", "least"])
 
 
 def resolve(strings: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -358,8 +361,9 @@ def resolve(strings: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET
             found[j] = least
         return _answers(table.column("block").to_pylist(), s, table.column("hi").to_pylist(), [found[j] for j in own])
 
-    schema = "block string, key binary, least binary"
-    hot = materialise(strings.groupBy("anchor").count().where(F.col("count") > hot_rows).select("anchor"), "hot")
+    schema = "block bigint, key binary, least binary"
+    hot = materialise(strings.select("anchor").groupBy("anchor").count().where(F.col("count") > hot_rows).select("anchor"), "hot")
+    release(strings.sparkSession)
     cold = strings.join(hot, "anchor", "left_anti") if hot.count() else strings
     out = cold.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(judged, schema)
     if cold is strings:
@@ -389,6 +393,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     n = blocks.count()
     bits = max(4, (max(1, n // 4) - 1).bit_length())
     shared = by_block(shared_anchors(blocks, bits, length), "shared") if n else scratch_path(docs.sparkSession, "none")
+    release(docs.sparkSession)
     strings = materialise(shared_strings(blocks, shared, bits, length), "strings")
     answers = by_block(resolve(strings, length, bucket_bytes, hot_rows), "answers") if n else shared
 
