@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.oracles import ORACLES as ORACLES
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,5 +88,3 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op3_decontaminate, op4_warc, op5_secrets, op6_hmm, op7_simhash, op8_suffix, op9_quality, op10_lines)}
-
-ORACLES: dict[str, str] = {}

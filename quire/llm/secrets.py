@@ -109,7 +109,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
         return F.struct(F.when(is_example, "example").when(live, "live").alias("kind"), x["from"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["from"].alias("from"))
 
     added = F.array_distinct(F.filter(F.transform("base", told), lambda x: x["kind"].isNotNull()))
-    return out.select("doc.*", "base", added.alias("added"))
+    return out.select("doc", "base", added.alias("added")).select("doc.*", "base", "added")
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
