@@ -220,35 +220,62 @@ def _shared_runs(shared: str, block: int, data: np.ndarray, sizes: np.ndarray, k
     return a[keep], text[keep], at[keep], n[keep]
 
 
-def shared_strings(blocks: DataFrame, shared: str, bits: int, length: int = LENGTH) -> DataFrame:
-    """(anchor, s, block, lo, hi): each distinct string of a block once, with the least and greatest id that have it."""
+def shared_strings(blocks: DataFrame, shared: str, bits: int, length: int, buckets: int) -> DataFrame:
+    """(bucket, block, anchors, sizes, ids, text): the distinct strings of a block, those of a bucket in one row.
+
+    ids are the least and the greatest id that have a string in the block.  There are never more rows than strings.
+    """
 
     def run(batches):
         for b in batches:
             for name, ids, sizes, data in zip(*b.columns, strict=True):
                 i, n, raw = _block(ids, sizes, data)
                 a, text, at, many = _shared_runs(shared, name.as_py(), raw, n, _known(ids), bits, length)
-                held: dict[bytes, list[int]] = {}
+                held: dict[bytes, int] = {}
                 whole = raw.tobytes()
-                for h, doc, p, k in zip(a.view(np.int64).tolist(), i[text].tolist(), at.tolist(), many.tolist(), strict=True):
-                    s = whole[p : p + k + length - 1]
-                    if s in held:
-                        x = held[s]
-                        if doc < x[1]:
-                            x[1] = doc
-                        elif doc > x[2]:
-                            x[2] = doc
-                    else:
-                        held[s] = [h, doc, doc]
-                rows, keys = list(held.values()), list(held)
-                for j in range(0, len(rows), 20_000):
-                    part = rows[j : j + 20_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[0] for x in part], pa.int64()), pa.array(keys[j : j + 20_000], pa.binary()), pa.array([name.as_py()] * len(part), pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())],
-                        ["anchor", "s", "block", "lo", "hi"],
-                    )
-
-    return blocks.mapInArrow(run, "anchor bigint, s binary, block bigint, lo bigint, hi bigint")
+                own = np.fromiter((held.setdefault(whole[p : p + k + length - 1], len(held)) for p, k in zip(at.tolist(), many.tolist(), strict=True)), np.int64, len(at))
+                if not len(own):
+                    continue
+                lo, hi = np.full(len(held), np.iinfo(np.int64).max), np.full(len(held), np.iinfo(np.int64).min)
+                np.minimum.at(lo, own, i[text])
+                np.maximum.at(hi, own, i[text])
+                anchor = np.empty(len(held), np.uint64)
+                anchor[own] = a
+                strings, bucket = list(held), (anchor % np.uint64(buckets)).astype(np.int64)
+                short = (anchor >> np.uint64(33)).astype(np.int32)  # two anchors alike in it cost work, not correctness
+                order = np.argsort(bucket, kind="stable")
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
+                rows = []
+                for s, e in zip(cut, cut[1:], strict=False):
+                    part = order[s:e]
+                    mine = [strings[j] for j in part]
+                    size = np.array([len(x) for x in mine], "<i4")
+                    ids_of = np.concatenate([lo[part], hi[part] - lo[part]]).tobytes()
+                    rows.append((int(bucket[part[0]]), name.as_py(), short[part], size.tobytes(), *(pa.compress(x, codec="zstd", asbytes=True) for x in (ids_of, b"".join(mine)))))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], _PACKED.names)
+
+    kinds = _PACKED.types
+    return blocks.mapInArrow(run, "bucket bigint, block bigint, anchors array<int>, sizes binary, ids binary, text binary")
+
+
+_PACKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("anchors", pa.list_(pa.int32())), ("sizes", pa.binary()), ("ids", pa.binary()), ("text", pa.binary())])
+
+
+def unpack(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Blocks, anchors, strings, least and greatest ids of packed rows."""
+    block, anchor, strings, lo, hi = [], [], [], [], []
+    for b, a, n, x, t in zip(*(rows.column(k) for k in ("block", "anchors", "sizes", "ids", "text")), strict=True):
+        size = np.frombuffer(n.as_py(), "<i4")
+        ends = np.cumsum(size)
+        text = pa.decompress(t.as_py(), int(ends[-1]), codec="zstd", asbytes=True)
+        strings += [text[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
+        least, more = np.frombuffer(pa.decompress(x.as_py(), 16 * len(size), codec="zstd", asbytes=True), np.int64).reshape(2, -1)
+        block.append(np.full(len(size), b.as_py()))
+        anchor.append(a.values.to_numpy())
+        lo.append(least)
+        hi.append(least + more)
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(block), join(anchor), strings, join(lo), join(hi)
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -265,10 +292,13 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
             return order
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[1], got[1:] != got[:-1]])).astype(np.uint64)
-        ahead = np.zeros(n, np.uint64)
-        ahead[: max(n - step, 0)] = rank[step:]
-        key = (rank << np.uint64(32)) | ahead
-        step *= 2
+        # two or three neighbouring ranks make the next key, as many as fit
+        times, width = (3, 21) if rank[order[-1]] < 1 << 21 else (2, 32)
+        key = rank.copy()
+        for k in range(1, times):
+            key <<= np.uint64(width)
+            key[: max(n - k * step, 0)] |= rank[k * step :]
+        step *= times
 
 
 def common_prefix_breaks(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -335,40 +365,48 @@ def string_key(s: bytes) -> bytes:
 
 
 def _answers(blocks, strings, his, least) -> pa.Table:
-    rows = [(b, string_key(s), d.astype("<i8").tobytes()) for b, s, h, d in zip(blocks, strings, his, least, strict=True) if d.min() < h]
+    """Rows for the strings in which something goes; ids that are all alike are given once."""
+    rows = [(int(b), string_key(s), (d[:1] if (d == d[0]).all() else d).astype("<i8").tobytes()) for b, s, h, d in zip(blocks, strings, his, least, strict=True) if d.min() < h]
     return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "key", "least"])
 
 
-def resolve(strings: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(block, key, least): for each string of a block in which something goes, the least id of each of its windows."""
-    total = strings.agg(F.sum(F.length("s"))).first()[0] or 0
-    buckets = max(1, -(-int(total) // bucket_bytes))
+def judge(block: np.ndarray, anchor: np.ndarray, strings: list[bytes], lo: np.ndarray, hi: np.ndarray, length: int) -> pa.Table:
+    """The answers to the strings of a bucket."""
+    place: dict[bytes, int] = {}
+    own = np.fromiter((place.setdefault(x, len(place)) for x in strings), np.int64, len(strings))
+    distinct = list(place)
+    least_lo = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(least_lo, own, lo)
+    # a window has one anchor: where an anchor's strings are all equal there is nothing to compare
+    of = np.empty(len(distinct), np.int64)
+    of[own] = anchor
+    _, same, many = np.unique(of, return_inverse=True, return_counts=True)
+    found = [np.full(len(x) - length + 1, d) for x, d in zip(distinct, least_lo, strict=True)]
+    several = np.flatnonzero(many[same] > 1)
+    for j, least in zip(several, least_documents([distinct[j] for j in several], least_lo[several], length) if len(several) else [], strict=True):
+        found[j] = least
+    return _answers(block, strings, hi, [found[j] for j in own])
+
+
+def resolve(strings: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(block, key, least): for each string of a block in which something goes, the least id of each of its windows (once, if they are alike)."""
+    schema = "block bigint, key binary, least binary"
+    hot = materialise(strings.select("bucket", F.explode("anchors").alias("anchor")).groupBy("bucket", "anchor").count().where(F.col("count") > hot_rows).select("bucket", "anchor"), "hot")
+    release(strings.sparkSession)
+    if not hot.count():
+        return strings.groupBy("bucket").applyInArrow(lambda table: judge(*unpack(table), length), schema)
+
+    def flat(batches):
+        for b in batches:
+            block, anchor, s, lo, hi = unpack(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in b.column(2)])), pa.array(block), pa.array(anchor.astype(np.int32)), pa.array(s, pa.binary()), pa.array(lo), pa.array(hi)], ["bucket", "block", "anchor", "s", "lo", "hi"])
 
     def judged(table: pa.Table) -> pa.Table:
-        s, lo = table.column("s").to_pylist(), table.column("lo").to_numpy()
-        place: dict[bytes, int] = {}
-        own = np.array([place.setdefault(x, len(place)) for x in s])
-        least_lo = np.full(len(place), np.iinfo(np.int64).max)
-        np.minimum.at(least_lo, own, lo)
-        # a window has one anchor: where an anchor's strings are all equal there is nothing to compare
-        anchor = np.empty(len(place), np.int64)
-        anchor[own] = table.column("anchor").to_numpy()
-        _, same, many = np.unique(anchor, return_inverse=True, return_counts=True)
-        distinct = list(place)
-        found = [np.full(len(x) - length + 1, d) for x, d in zip(distinct, least_lo, strict=True)]
-        several = np.flatnonzero(many[same] > 1)
-        for j, least in zip(several, least_documents([distinct[j] for j in several], least_lo[several], length) if len(several) else [], strict=True):
-            found[j] = least
-        return _answers(table.column("block").to_pylist(), s, table.column("hi").to_pylist(), [found[j] for j in own])
+        return judge(*(table.column(k).to_numpy() for k in ("block", "anchor")), table.column("s").to_pylist(), *(table.column(k).to_numpy() for k in ("lo", "hi")), length)
 
-    schema = "block bigint, key binary, least binary"
-    hot = materialise(strings.select("anchor").groupBy("anchor").count().where(F.col("count") > hot_rows).select("anchor"), "hot")
-    release(strings.sparkSession)
-    cold = strings.join(hot, "anchor", "left_anti") if hot.count() else strings
-    out = cold.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(judged, schema)
-    if cold is strings:
-        return out
-    few = strings.join(hot, "anchor", "left_semi")
+    plain = strings.mapInArrow(flat, "bucket bigint, block bigint, anchor int, s binary, lo bigint, hi bigint")
+    out = plain.join(hot, ["bucket", "anchor"], "left_anti").groupBy("bucket").applyInArrow(judged, schema)
+    few = plain.join(hot, ["bucket", "anchor"], "left_semi")
     each = few.select("block", "s", "lo", "hi", F.explode(F.sequence(F.lit(1), F.length("s") - length + 1)).alias("at")).withColumn("w", F.substring(F.col("s"), F.col("at"), F.lit(length)))
     minima = each.groupBy("w").agg(F.min("lo").alias("least"))
     back = each.join(minima, "w").groupBy("block", "s", "hi").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("least"))  # the windows of one string
@@ -394,26 +432,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     bits = max(4, (max(1, n // 4) - 1).bit_length())
     shared = by_block(shared_anchors(blocks, bits, length), "shared") if n else scratch_path(docs.sparkSession, "none")
     release(docs.sparkSession)
-    strings = materialise(shared_strings(blocks, shared, bits, length), "strings")
-    answers = by_block(resolve(strings, length, bucket_bytes, hot_rows), "answers") if n else shared
+    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda t, x: t + x))).first()[0] or 0
+    strings = materialise(shared_strings(blocks, shared, bits, length, max(1, -(-int(total) // bucket_bytes))), "strings")
+    answers = by_block(resolve(strings, length, hot_rows), "answers") if n else shared
+    release(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             for name, ids, sizes, data in zip(*b.columns, strict=True):
                 i, size, raw = _block(ids, sizes, data)
-                gone = np.zeros(len(raw) + 1, np.int64)
+                bad = np.zeros(len(raw), bool)
                 got = _read_block(answers, name.as_py())
                 if got is not None:
-                    least = {k.as_py(): np.frombuffer(v.as_py(), "<i8") for k, v in zip(got.column("key"), got.column("least"), strict=True)}
-                    a, text, at, many = _shared_runs(shared, name.as_py(), raw, size, _known(ids), bits, length)
-                    whole, found = raw.tobytes(), [np.zeros(0, np.int64)]
+                    least = dict(zip(got.column("key").to_pylist(), got.column("least").to_pylist(), strict=True))
+                    del got
+                    _, text, at, many = _shared_runs(shared, name.as_py(), raw, size, _known(ids), bits, length)
+                    whole = raw.tobytes()
                     for doc, p, k in zip(i[text].tolist(), at.tolist(), many.tolist(), strict=True):
                         d = least.get(string_key(whole[p : p + k + length - 1]))
-                        if d is not None:
-                            found.append(p + np.flatnonzero(d < doc))
-                    w = np.concatenate(found)
-                    gone += np.bincount(w, minlength=len(gone)) - np.bincount(w + length, minlength=len(gone))
-                bad = np.cumsum(gone[:-1]) > 0
+                        if d is None:
+                            continue
+                        if len(d) == 8:
+                            if int.from_bytes(d, "little", signed=True) < doc:
+                                bad[p : p + k + length - 1] = True
+                        else:
+                            for w in (p + np.flatnonzero(np.frombuffer(d, "<i8") < doc)).tolist():
+                                bad[w : w + length] = True
                 ends = np.cumsum(size)
                 rows = []
                 for doc, e, m in zip(ids.as_py(), ends.tolist(), size.tolist(), strict=True):
