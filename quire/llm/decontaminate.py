@@ -7,7 +7,8 @@
 2. *SimHash.*  Equal windows are one; each gets a 64-bit fingerprint of its shingles.
 3. *Multi-index Hamming blocks.*  Both fingerprints are cut into ``BLOCKS`` blocks.  Within the radius
    BLOCKS * (BLOCK_RADIUS + 1) - 1 they agree to within BLOCK_RADIUS bits in one block at least, so the
-   items are indexed under every such variant of each block and every fingerprint within the radius is found.
+   items are indexed under the variants of each block with a few bits flipped, the windows probed with one
+   more, and every fingerprint within the radius is found.
 4. *Verification.*  Exact weighted Jaccard similarity of the shingle multisets decides.
 
 The benchmark's own tables are small; they are broadcast only if their row count says so.
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCKS, BLOCK_RADIUS = 4, 3
+BLOCKS = 4
+#: Bits of a block that may differ: so many are flipped in the items' index, and so many more in the probes.
+ITEM_FLIPS, WINDOW_FLIPS = 3, 1
+BLOCK_RADIUS = ITEM_FLIPS + WINDOW_FLIPS
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Anchors (40 bytes each) that are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -56,6 +60,13 @@ def _block(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, i * 64 // BLOCKS).bitwiseAND(F.lit((1 << 64 // BLOCKS) - 1))
 
 
+def _variants(rows: DataFrame, key: str, fp: str, flips: int) -> DataFrame:
+    """(key, block, value): the blocks of fingerprints with up to ``flips`` bits flipped in every way."""
+    ways = F.array(*[F.lit(sum(1 << b for b in bits)) for k in range(flips + 1) for bits in combinations(range(64 // BLOCKS), k)])
+    blocks = rows.select(key, F.posexplode(F.array(*[_block(F.col(fp), i) for i in range(BLOCKS)])).alias("block", "value"))
+    return blocks.select(key, "block", "value", F.explode(ways).alias("way")).select(key, "block", F.col("value").bitwiseXOR(F.col("way").cast("bigint")).alias("value"))
+
+
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Sum of the lesser over sum of the greater multiplicities of two multisets of hashes."""
 
@@ -103,10 +114,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, s
     # equal windows are compared once, however many texts hold them
     distinct = windows.select("window").distinct().withColumn("own", shingles_of(F.split("window", " "), shingle)).withColumn("window_fp", simhash_of(F.col("own")))
     distinct = materialise(distinct, "distinct")
-    width = 64 // BLOCKS
-    variants = F.array(*[F.lit(sum(1 << b for b in bits)) for k in range(BLOCK_RADIUS + 1) for bits in combinations(range(width), k)])
-    index = items.select("item_id", F.posexplode(F.array(*[_block(F.col("fp"), i) for i in range(BLOCKS)])).alias("block", "value")).select("item_id", "block", F.explode(variants).alias("flip"), "value").select("item_id", "block", F.col("value").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
-    probes = distinct.select("window", "window_fp", F.posexplode(F.array(*[_block(F.col("window_fp"), i) for i in range(BLOCKS)])).alias("block", "value"))
+    index, probes = _variants(items, "item_id", "fp", ITEM_FLIPS), _variants(distinct, "window", "window_fp", WINDOW_FLIPS)
     pairs = probes.join(index, ["block", "value"]).select("window", "item_id").distinct()
     near = pairs.join(distinct, "window").join(items, "item_id").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("window_fp"))) <= RADIUS)
     sure = near.select("window", "item_id", weighted_jaccard(F.col("own"), F.col("hashes")).alias("similarity")).where(F.col("similarity") >= similarity)
