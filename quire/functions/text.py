@@ -23,7 +23,7 @@ def guard_words(dots: str) -> str:
 
 
 #: Ends of sentences: a terminator and closing marks before white space and an opening, not after a guarded word.
-SENTENCE_END = r"(?<!(?<![A-Za-z.])\.{0,3}" + guard_words(r"\.{0,2}") + r"\.{0,3})([.!?][\"')\]]*)(?=[ \t\n\r]+[A-Z0-9\"'(\[])"
+SENTENCE_END = r"(?=[.!?])(?<!(?<![A-Za-z.])\.{0,3}" + guard_words(r"\.{0,2}") + r"\.{0,3})([.!?][\"')\]]*)(?=[ \t\n\r]+[A-Z0-9\"'(\[])"
 #: The looser ends that ranking of sentences uses.
 LOOSE_END = r"(?<=[.!?])(\s+)(?=[A-Z(“\"$0-9])"
 
