@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import proxies as P
 from quire.functions import numbers as N
 from quire.functions import text as T
-from quire.operators import cache, chunks, classify, evidence, facts, flags, insights, models, priors, redline, relevance, report, segment, sentences, sentiment, vectors
+from quire.operators import analysis, cache, chunks, classify, evidence, facts, flags, ingest, insights, models, priors, redline, relevance, report, segment, sentences, sentiment, vectors
 from quire.plans.registry import KEYWORDS, LEXICON, PRIORITY, TITLES
 from quire.sources import files, html
 from quire.streaming import progress
@@ -794,3 +794,169 @@ def export_report_rows(spark, d):
     docs = P.table(spark, d, "documents").select("doc_id", "source", "lang")
     first = sentences.sentences(P.table(spark, d, "documents"), "doc_id").where("sent_idx < 3")
     return report.assemble(docs, {"flags": _flags(spark, d), "sentences": first}, "doc_id")
+
+
+# ── further operators ────────────────────────────────────────────────────────
+
+_FINE = "list_filter(string_split(text, chr(10)), lambda x: x <> '')"
+
+
+@query("select page_id, case when regexp_matches(html, 'class=\"ad\"') then 'consent_wall' when regexp_matches(html, '<nav>') then 'paywall' else 'open' end as gate from " + _ALL_PAGES)
+def gate_states(spark, d):
+    """FLT16: consent before paywall before open."""
+    return _pages(spark, d).select("page_id", classify.gate_state(F.col("html"), F.lit('class="ad"'), F.lit("<nav>")).alias("gate"))
+
+
+@query(f"with g as (select *, case when segmentation = 'low' then true when category = 'edgar_filing' or form = 'DATA_REPORT' then false when by_headings or form = 'UNKNOWN' then true else n_sections <= 1 end as low from {_GATE_SQL}) select category, form, segmentation, by_headings, n_sections, case when form = 'DATA_REPORT' or (category = 'edgar_filing' and form = 'UNKNOWN' and n_sections <= 1) or (low and category not in ('ir_or_financial', 'pdf')) then 'summary' when (low and category in ('ir_or_financial', 'pdf')) or category = 'pdf' then 'summary,analyst,sentiment' else 'summary,analyst,sentiment,changes' end as capabilities from g")
+def document_capabilities(spark, d):
+    """FLT9, over all combinations."""
+    g = spark.createDataFrame(_GATES, "category string, form string, segmentation string, by_headings boolean, n_sections int")
+    low = classify.low_confidence(F.col("category"), F.col("form"), F.col("segmentation"), F.col("by_headings"), F.col("n_sections"))
+    return g.withColumn("capabilities", F.array_join(ingest.capabilities(F.col("category"), F.col("form"), low, F.col("n_sections")), ","))
+
+
+@query("select conv_id, case when length(b) >= 200 then b else a end as text from (select conv_id, max(case when turn = 0 then text end) as a, arg_max(text, struct_pack(l := length(text), t := turn)) filter (turn > 0) as b from conversations group by conv_id) where coalesce(length(b), 0) >= 200 or a is not null")
+def longest_frames(spark, d):
+    """SRC3, AG20: the first turn stands for the top document, the others for its frames."""
+    c = P.table(spark, d, "conversations")
+    frames = c.withColumn("is_top", F.col("turn") == 0)
+    # of equally long frames the last counts, in both engines
+    inner = F.max_by("text", F.when(~F.col("is_top"), F.struct(F.length("text"), "turn")))
+    out = frames.groupBy("conv_id").agg(inner.alias("b"), F.max(F.when(F.col("is_top"), F.col("text"))).alias("a"))
+    return out.select("conv_id", F.when(F.length("b") >= 200, F.col("b")).otherwise(F.col("a")).alias("text")).where("text is not null")
+
+
+@query("with r as (select o_custkey, o_orderkey from orders where o_orderkey % 3 <> 0), x as (select distinct o_custkey from r) select o_custkey, o_orderkey from r union all select o.o_custkey, o.o_orderkey from orders o where o.o_orderkey % 3 = 0 and o.o_custkey not in (select o_custkey from x)")
+def filings_with_continuation(spark, d):
+    """SRC10, SET1: older filings only for those who have no recent one."""
+    o = P.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    recent = o.where("o_orderkey % 3 <> 0")
+    return priors.with_continuation(recent, o.where("o_orderkey % 3 = 0"), recent, "o_custkey")
+
+
+@query("select event_id from events where user_id not in (select user_id from events where event_type = 'purchase' and value > 90)")
+def cache_delete(spark, d):
+    """SNK2: records of some keys deleted."""
+    ev = P.table(spark, d, "events")
+    return cache.delete(ev, ev.where("event_type = 'purchase' and value > 90"), "user_id").select("event_id")
+
+
+@query("select event_id, case when event_id % 5 = 4 then 250.0 else 600.0 * power(2, event_id % 4) + event_id % 250 end as wait from events")
+def retry_backoff(spark, d):
+    """ST6: doubling waits with jitter; what the server asks for wins."""
+    i = F.col("event_id")
+    return P.table(spark, d, "events").select("event_id", cache.backoff(i % 4, i % 250, F.when(i % 5 == 4, 250.0)).alias("wait"))
+
+
+@query(f"with {_FLAGS}, p as (select distinct doc_id, (doc_id * 37) % 2000 as position from documents), h as (select p.doc_id, p.position, f.type, row_number() over (partition by p.doc_id order by f_start, f_end, term) as n, f_start from p join flags f on f.doc_id = p.doc_id and f_start <= position and position < f_end + 200) select p.doc_id, p.position, h.f_start from p left join h on h.doc_id = p.doc_id and n = 1")
+def flag_at_position(spark, d):
+    """JN9: the first flag, widened by 200 characters, that covers a position of each document."""
+    points = P.table(spark, d, "documents").select("doc_id", ((F.col("doc_id") * 37) % 2000).alias("position")).distinct()
+    wide = _flags(spark, d).select("doc_id", "start", (F.col("end") + 200).alias("end"))
+    return ingest.at_position(points, wide, "doc_id").select("doc_id", "position", F.col("start").alias("f_start"))
+
+
+@query(f"select doc_id, ord, case when length(line) > 0 and instr(text, chr(10)) > 0 and s_start < 500 and s_start + length(line) > 100 then 1 else 0 end as n_tables from (select doc_id, ord, line, text, coalesce(sum(length(line) + 1) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0) as s_start from {_LINES} join (select doc_id, text from documents) using (doc_id))")
+def tables_by_section(spark, d):
+    """JN10: the table range 100 to 500 given to the lines it overlaps."""
+    lines = sentences.lines(P.table(spark, d, "documents").withColumn("many", F.contains("text", F.lit("\n"))), "doc_id", "many")
+    with_tables = ingest.tables_of(lines, F.array(F.struct(F.lit(100).alias("s"), F.lit(500).alias("e"))))
+    return with_tables.select("doc_id", "ord", F.when(F.col("many") & (F.length("line") > 0), F.size("tables")).otherwise(0).alias("n_tables"))
+
+
+@query(f"with {_HITS}, {_SECTIONS} select conv_id, section_id, case when section_id = 'item_1_business' then 'What it does' else replace(section_id, '_', ' ') end as label from sections")
+def section_labels(spark, d):
+    """JN11: labels of sections, or their ids."""
+    s = segment.item_sections(P.filings(spark, d), "conv_id").select("conv_id", "section_id")
+    labels = s.where("section_id = 'item_1_business'").distinct().withColumn("label", F.lit("What it does"))
+    return ingest.labelled(s, labels, "conv_id")
+
+
+@query(f"with {_HITS}, {_SECTIONS}, w as (select * from (values (3, 'item_1_business'), (2, 'item_1a_risk'), (0, 'item_7_mdna'), (1, 'item_7a')) as w(i, p)), h as (select distinct conv_id, section_id, i from sections join w on starts_with(section_id, p)) select conv_id, section_id, row_number() over (partition by conv_id order by i)::int as rank from h qualify rank <= 3")
+def first_to_summarise(spark, d):
+    """ORD7."""
+    return ingest.first_to_summarise(segment.item_sections(P.filings(spark, d), "conv_id"), "conv_id")
+
+
+@query("select event_id, case when value <= 0 then 'Scoring x…' when ceil(value * 3) <= 3 then 'Scoring x… almost done' when ceil(value * 3) < 90 then 'Scoring x… about ' || ceil(value * 3)::bigint || 's left' else 'Scoring x… about ' || floor(ceil(value * 3) / 60 + 0.5)::bigint || ' min left' end as told from events")
+def remaining_time(spark, d):
+    """NUM12."""
+    return P.table(spark, d, "events").select("event_id", ingest.remaining(F.lit("x"), F.col("value") * 3000).alias("told"))
+
+
+@query(f"select doc_id, string_agg(line, chr(10) order by ord) filter (used <= 400) as digest from (select *, sum(length(line) + 1) over (partition by doc_id order by ord rows unbounded preceding) as used from (select doc_id, unnest({_FINE}) as line, generate_subscripts({_FINE}, 1) as ord from documents)) group by doc_id having min(length(line) + 1) filter (ord = 1) <= 400")
+def synthesis_digest(spark, d):
+    """STR34: lines up to a budget of 400 characters; nothing after the first that passes it."""
+    docs = P.table(spark, d, "documents")
+    out = insights.digest(F.filter(F.split("text", "\n"), lambda x: x != ""), 400)
+    return docs.select("doc_id", out.alias("digest")).where("digest <> ''")
+
+
+@query("select event_id, case when event_type in ('view', 'click') then event_type else 'other' end as kind, case when value between 1 and 5 then floor(value + 0.5)::int else 3 end as score from events")
+def coerced_values(spark, d):
+    """STR33: enums and scores with defaults."""
+    return P.table(spark, d, "events").select("event_id", insights.coerce(F.col("event_type"), ["view", "click"], "other").alias("kind"), models.score_1_to_5(F.col("value")).alias("score"))
+
+
+@query(f"""with t as (select source, {_TALLY} from ({_CAL}) group by source), p as (select source, floor(positive * 100.0 / total + 0.5)::bigint as a, floor(negative * 100.0 / total + 0.5)::bigint as b, floor(neutral * 100.0 / total + 0.5)::bigint as c from t)
+    select source, 'The tone is ' || case when c >= 60 then 'mostly neutral' when c >= 40 then 'largely neutral, with some directional tone' else 'unusually opinionated' end || ': ' || case when a - b >= 8 then 'positive statements prevail' when a - b <= -8 then 'negative statements prevail' else 'positive and negative statements balance' end || ' (' || a || '% against ' || b || '%).' as told from p""")
+def tone_consensus(spark, d):
+    """ARR3."""
+    t = sentiment.tally(_calibrated(spark, d), "source")
+    return t.select("source", sentiment.consensus(*[F.col(c) for c in ("positive", "negative", "neutral", "total")]).alias("told"))
+
+
+@query("select doc_id, sha256(coalesce(text, '')) as hash from documents")
+def content_hashes(spark, d):
+    """STR24."""
+    return P.table(spark, d, "documents").select("doc_id", ingest.content_hash(F.col("text")).alias("hash"))
+
+
+@query("select * from (values (1, 'Acme Corp', '2023-12-31', 'ACM'), (2, null, '2022-03-31', null), (3, null, null, null)) as t(id, company, period, ticker)")
+def cover_pages(spark, d):
+    """STR27, SRC6."""
+    rows = [(1, "Acme Corp\n(Exact name of registrant)\nFor the fiscal year ended December 31, 2023\nTrading Symbol(s)\nACM\n"), (2, "For the quarterly period ended March 31, 2022"), (3, "")]
+    c = files.cover(F.col("text"))
+    return spark.createDataFrame(rows, "id int, text string").select("id", c["company"].alias("company"), c["period"].alias("period"), c["ticker"].alias("ticker"))
+
+
+@query("select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) as company from pages union all select * from (values (-1, 'Linked Org'), (-2, 'Declared Inc'), (-3, 'Site'))")
+def company_names(spark, d):
+    """STR28, STR29: declared, linked, site and heading names."""
+    few = [(-1, '<script type="application/ld+json">{"@graph": [{"@type": "Thing"}, {"publisher": {"@type": ["NewsOrganization"], "name": " Linked Org "}}]}</script><h1>x y</h1>'), (-2, '<ix:nonNumeric name="dei:EntityRegistrantName" contextref="c">Declared Inc</ix:nonNumeric>'), (-3, '<meta property="og:site_name" content="Site"><script type="application/ld+json">{bad</script>')]
+    pages = P.table(spark, d, "pages").select("page_id", "html").unionByName(spark.createDataFrame(few, "page_id bigint, html string"))
+    return pages.select("page_id", ingest.company_name(F.col("html")).alias("company"))
+
+
+@query()
+def page_ingest(spark, d):
+    """CMP1: pages to documents."""
+    docs, _ = ingest.ingest(P.table(spark, d, "pages"), "page_id")
+    return docs.select("page_id", "category", "form", "confidence", "company", "segmentation", "n_sections", "text_hash")
+
+
+@query()
+def finalised_insights(spark, d):
+    """CMP12: statements through all guards against their own conversation."""
+    st = P.statements(spark, d).select("conv_id", "sent_idx", F.lit("A title").alias("title"), F.col("sentence").alias("summary"), F.lit("Investors should buy. It matters.").alias("why"), F.lit("").alias("meaning"), F.lit("High").alias("confidence"))
+    src = P.table(spark, d, "conversations").select("conv_id", F.concat("text", F.lit(" 12%")).alias("text"))
+    return evidence.finalise(st, src, "conv_id").select("conv_id", "sent_idx", "summary", "why", "confidence")
+
+
+@query()
+def deterministic_analysis(spark, d):
+    """CMP11, CMP16, AG17: the analysis of conversations as filings."""
+    st = P.statements(spark, d)
+    docs = st.select("conv_id").distinct().select("conv_id", F.lit("Acme").alias("company"), F.lit("10-K").alias("form"))
+    sents = models.classify(st).select("conv_id", "label")
+    fl = flags.flag(P.table(spark, d, "conversations"), flags.lexicon(spark), "conv_id")
+    red = docs.select("conv_id", F.lit("item_7_mdna").alias("section_id"), ((F.col("conv_id") % 50) / 100).alias("magnitude"), F.lit("changed").alias("summary"))
+    fx = docs.select("conv_id", F.lit("Revenue").alias("label"), F.lit("USD").alias("unit"), F.lit(1.25e9).alias("current_value"), F.lit(0.1).alias("yoy"))
+    return analysis.analyse(docs, st, sents, fl, red, fx, "conv_id")
+
+
+@query()
+def running_means(spark, d):
+    """ST2, WIN8: exponential means kept as state over micro-batches."""
+    s = progress.running_means(progress.read_events(spark, f"{d}/events.parquet"), "user_id")
+    return progress.run_once(s, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("mean", "n"), 6).alias("mean"))
