@@ -44,6 +44,10 @@ _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | n
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def squeeze(data: bytes) -> bytes:
+    return pa.Codec("zstd", 5).compress(data, asbytes=True)
+
+
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all grams of so many bytes, by doubling: a gram's hash is made of those of its halves."""
     level, width, out, at, left = _BYTE[data], 1, None, 0, size
@@ -71,43 +75,42 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have : width - have + n])
 
 
-def anchors(data: np.ndarray, length: int, chunk: int = 1 << 15) -> np.ndarray:
-    """The anchor of each window, a cache-sized chunk at a time."""
-    gram = min(GRAM, length)
-    n = len(data) - length + 1
-    out = np.empty(n, np.uint64)
-    for s in range(0, n, chunk):
-        e = min(s + chunk, n)
-        out[s:e] = sliding_min(gram_hashes(data[s : e + length - 1], gram), length - gram + 1)
-    return out
-
+def anchor_runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows of one text with equal anchors: (anchor, text, first window's place, number of windows).
 
-def anchor_runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows of one text with equal anchors: (anchor, text, first window's place, number of windows)."""
+    Windows are taken a cache-sized chunk at a time, and only where an anchor differs from the one before is it kept.
+    """
     none = np.zeros(0, np.int64)
     windows = np.maximum(sizes - length + 1, 0)
     if not windows.sum():
         return none.astype(np.uint64), none, none, none
-    anchor = anchors(data, length)
+    gram, n = min(GRAM, length), len(data) - length + 1
+    places, values, last = [], [], None
+    for s in range(0, n, chunk):
+        e = min(s + chunk, n)
+        a = sliding_min(gram_hashes(data[s : e + length - 1], gram), length - gram + 1)
+        new = np.flatnonzero(np.concatenate([[last is None or a[0] != last], a[1:] != a[:-1]]))
+        places.append(new + s)
+        values.append(a[new])
+        last = a[-1]
+    place, value = np.concatenate(places), np.concatenate(values)
     starts = np.cumsum(sizes) - sizes
-    breaks = np.ones(len(anchor), bool)
-    np.not_equal(anchor[1:], anchor[:-1], out=breaks[1:])
     # a text's windows begin at its start, and those that would leave it begin a run of their own
-    for edge in (starts, starts + windows):
-        breaks[edge[edge < len(breaks)]] = True
-    at = np.flatnonzero(breaks)
-    many = np.diff(np.append(at, len(anchor)))
+    edges = np.concatenate([starts, starts + windows])
+    at = np.sort(np.concatenate([place, edges[edges < n]]), kind="stable")
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    anchor = value[np.searchsorted(place, at, side="right") - 1]
+    many = np.diff(np.append(at, n))
     text = np.searchsorted(starts, at, side="right") - 1
     keep = at < (starts + windows)[text]
-    at, text = at[keep], text[keep]
-    return anchor[at], text, at, many[keep]
+    return anchor[keep], text[keep], at[keep], many[keep]
 
 
 def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, doc_ids, sizes, data): neighbouring rows together; a longer text is a block of its own."""
 
     def pack(name, ids, texts):
-        return {"block": name, "doc_ids": ids, "sizes": [len(t) for t in texts], "data": pa.compress(b"".join(texts), codec="zstd", asbytes=True)}
+        return {"block": name, "doc_ids": ids, "sizes": [len(t) for t in texts], "data": squeeze(b"".join(texts))}
 
     def run(batches):
         part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -247,11 +250,11 @@ def shared_strings(blocks: DataFrame, shared: str, bits: int, length: int, bucke
                 cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
                 rows = []
                 for s, e in zip(cut, cut[1:], strict=False):
-                    part = order[s:e]
+                    part = np.array(sorted(order[s:e].tolist(), key=strings.__getitem__))  # alike ones side by side
                     mine = [strings[j] for j in part]
                     size = np.array([len(x) for x in mine], "<i4")
                     ids_of = np.concatenate([lo[part], hi[part] - lo[part]]).tobytes()
-                    rows.append((int(bucket[part[0]]), name.as_py(), short[part], size.tobytes(), *(pa.compress(x, codec="zstd", asbytes=True) for x in (ids_of, b"".join(mine)))))
+                    rows.append((int(bucket[part[0]]), name.as_py(), short[part], size.tobytes(), squeeze(ids_of), squeeze(b"".join(mine))))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], _PACKED.names)
 
     kinds = _PACKED.types
@@ -286,12 +289,12 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     for j in range(step):
         key = (key << np.uint64(9)) | padded[j : j + n]
     while True:
-        order = np.argsort(key)
-        got = key[order]
+        order = np.argsort(key).astype(np.int32)
         if step >= depth:
             return order
+        key = key[order]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[1], got[1:] != got[:-1]])).astype(np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), dtype=np.int32)
         # two or three neighbouring ranks make the next key, as many as fit
         times, width = (3, 21) if rank[order[-1]] < 1 << 21 else (2, 32)
         key = rank.copy()
@@ -311,24 +314,33 @@ def common_prefix_breaks(text: np.ndarray, order: np.ndarray, length: int) -> np
     n = len(text)
     bwt = text[order - 1]  # the text starts with a 0, so suffix 0 is preceded by the last 0
     forward = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)  # of each place, the place of the suffix one symbol longer
-    step[forward] = np.arange(n)
+    step = np.empty(n, np.int32)  # of each place, the place of the suffix one symbol longer
+    step[forward] = np.arange(n, dtype=np.int32)
     first = bwt[forward]  # the first symbols of the sorted suffixes
+    del forward, bwt
     done = np.zeros(n + 1, bool)  # where a common prefix is set
     done[0] = done[n] = True
-    lo, hi = np.array([0]), np.array([n])
+    lo, hi = np.array([0], np.int32), np.array([n], np.int32)
     mark = np.zeros(n, np.int32)
     for _ in range(length):
         size = hi - lo
         total = int(size.sum())
         if not total:
             break
-        places = np.arange(total) + np.repeat(lo - (np.cumsum(size) - size), size)
+        places = np.repeat(lo - (np.cumsum(size, dtype=np.int32) - size), size)
+        places += np.arange(total, dtype=np.int32)
         reach = step[places]
-        mark[reach] = np.repeat(np.arange(1, len(lo) + 1, dtype=np.int32), size)
-        at = np.flatnonzero(mark)
-        own, symbol = mark[at], first[at]
-        mark[at] = 0
+        del places
+        own = np.repeat(np.arange(1, len(lo) + 1, dtype=np.int32), size)
+        if total * 12 < n:
+            order_of = np.argsort(reach)
+            at, own = reach[order_of], own[order_of]
+        else:  # sorted by marking, as there are many
+            mark[reach] = own
+            at = np.flatnonzero(mark).astype(np.int32)
+            own = mark[at]
+            mark[at] = 0
+        symbol = first[at]
         new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]) | (symbol[1:] != symbol[:-1])])
         starts = np.flatnonzero(new)
         lo, hi = at[starts], at[np.append(starts[1:], len(at)) - 1] + 1
