@@ -72,6 +72,8 @@ def _goes(tag: str, raw: str, in_root: bool) -> bool:
         return True
     names = set(WORD.findall(unescape(f"{at.get('class', '')} {at.get('id', '')}").lower()))
     bad = names & NAMES
+    if tag == "article" and names & {"post", "entry", "story", "content"}:  # its own class may tell of its comments
+        return False
     return bool(bad) and not (names & BODY_NAMES and not bad & {"comment", "comments", "ad", "ads"}) and tag != "main"
 
 

@@ -58,7 +58,8 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     code = np.fromiter((c for w in words for c in w), np.int64, total)
     same = np.zeros(total)
     same[1:] = (code[1:] == code[:-1]) & (doc[1:] == doc[:-1])
-    distinct = np.bincount(np.unique(bag * len(codes) + code) // len(codes), minlength=len(out))[own]
+    pair = np.sort(bag * len(codes) + code)
+    distinct = np.bincount(pair[np.concatenate([[True], pair[1:] != pair[:-1]])] // len(codes), minlength=len(out))[own]
     out[own] = np.column_stack(
         [
             counts[:, _UPPER] / np.maximum(letters, 1),

@@ -219,7 +219,8 @@ def _shared_runs(shared: str, block: int, data: np.ndarray, sizes: np.ndarray, k
     if got is None or not len(a):
         return a[:0], text[:0], at[:0], n[:0]
     parts = [_unpacked(x.as_py()) | (np.uint64(k.as_py()) << np.uint64(8 * KEPT_BYTES)) for k, x in zip(got.column("bucket"), got.column("anchors"), strict=True)]
-    keep = np.isin(_short(a, bits), np.concatenate(parts)) & known[text]
+    wanted, mine = np.sort(np.concatenate(parts)), _short(a, bits)
+    keep = (wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine) & known[text]
     return a[keep], text[keep], at[keep], n[keep]
 
 
