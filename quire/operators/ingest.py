@@ -81,9 +81,8 @@ def ingest(pages: DataFrame, *keys: str, url: str = "url", html: str = "html") -
     """
     from quire.sources.html import normalised
 
-    raw = pages.select(*keys, url, html)
-    text = normalised(raw, *keys, html=html)
-    found = raw.join(text, list(keys))
+    # the page goes through with its text, so that nothing is joined back to it
+    found = normalised(pages.select(*keys, url, html, F.col(html).alias("_source")), *keys, url, html, html="_source")
     form = classify.detect_form(dei_fact(F.col(html), "DocumentType"), F.col(url), F.col("text"))
     docs = found.select(
         *keys, F.col(url).alias("url"), classify.page_category(F.col(url), F.col(html)).alias("category"), form.alias("f"), company_name(F.col(html)).alias("company"),
@@ -91,9 +90,8 @@ def ingest(pages: DataFrame, *keys: str, url: str = "url", html: str = "html") -
     )
     docs = docs.withColumn("bucket", classify.host_bucket(F.col("category"))).withColumn("form", F.col("f.form")).withColumn("confidence", F.col("f.confidence")).drop("f")
     sections = segment.item_sections(docs, *keys)
-    seg = segment.confidence(sections, *keys)
-    counts = sections.groupBy(*keys).agg(F.count("*").alias("n_sections"))
-    out = docs.join(seg, list(keys), "left").join(counts, list(keys), "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0)))
+    seg = segment.confidence(sections, *keys, count="n_sections")
+    out = docs.join(seg, list(keys), "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0)))
     return out.withColumn("segmentation", F.coalesce("segmentation", F.lit("low"))), sections
 
 

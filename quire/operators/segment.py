@@ -95,12 +95,13 @@ def is_by_reference(section_id: Column, text: Column) -> Column:
     return section_id.rlike("mdna|operating_review") & (F.length(text) < LONG_POINTER) & (text.rlike(BY_REFERENCE) | text.rlike(POINTER))
 
 
-def confidence(sections: DataFrame, *keys: str) -> DataFrame:
-    """(keys, segmentation): low if a document fell back to one section or a main section is (nearly) empty."""
+def confidence(sections: DataFrame, *keys: str, count: str | None = None) -> DataFrame:
+    """(keys, segmentation), with the number of sections as ``count`` if asked for: low if a document fell back to one section or a main section is (nearly) empty."""
     size = F.length(F.trim("text"))
     bad = (F.col("section_id").rlike("mdna|operating_review") & (size < SHORT_MDNA)) | (F.col("section_id").rlike("risk_factors") & (size == 0))
     one = (F.count("*") == 1) & F.bool_or(F.col("section_id") == "document_body") & F.bool_or(F.col("form").isin(*ITEM_FORMS))
-    return sections.groupBy(*keys).agg(F.when(one | F.bool_or(bad), "low").otherwise("high").alias("segmentation"))
+    more = [F.count("*").alias(count)] if count else []
+    return sections.groupBy(*keys).agg(F.when(one | F.bool_or(bad), "low").otherwise("high").alias("segmentation"), *more)
 
 
 def heading_sections(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:

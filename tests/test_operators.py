@@ -174,3 +174,19 @@ def test_models_and_reports(spark):
     assert one(spark, classify.normal_form(F.col("t")), t="8-k/a") == "8-K"
     assert one(spark, report.file_name(F.col("t"), F.lit("10-K"), F.lit("2024-01-01")), t="A & B") == "report-A-B-10-K-2024-01-01.json"
     assert sentences.lines(spark.createDataFrame([(1, "a\n\nbc")], "d int, text string"), "d").orderBy("ord").collect()[2].start == 3
+
+
+def test_ingest(spark):
+    from quire.operators import analysis, ingest
+
+    page = '<html><head><title>x</title></head><body><ix:nonNumeric name="dei:DocumentType" contextref="c">10-K/A</ix:nonNumeric><ix:nonNumeric name="dei:DocumentPeriodEndDate" contextref="c">December 31, 2023</ix:nonNumeric><script type="application/ld+json">{"publisher": {"@type": "Organization", "name": "Acme"}}</script><p>ITEM 1. Business</p><p>We make things.</p><p>ITEM 1A. Risk Factors</p><p>Things may break.</p></body></html>'
+    docs, sections = ingest.ingest(spark.createDataFrame([(1, "https://www.sec.gov/Archives/edgar/data/1/0000000001-24-000001/a.htm", page), (2, None, None)], "page_id int, url string, html string"), "page_id")
+    got = {r.page_id: r for r in docs.collect()}
+    assert (got[1].category, got[1].form, got[1].confidence, got[1].company, got[1].period, got[1].accession, got[1].n_sections) == ("edgar_filing", "10-K", "high", "Acme", "2023-12-31", "0000000001-24-000001", 2)
+    assert (got[2].category, got[2].n_sections, got[2].segmentation) == ("unsupported", 0, "low")
+    assert {r.section_id: r.text for r in sections.collect()} == {"item_1_business": "We make things.", "item_1a_risk_factors": "Things may break."}
+    assert ingest.organisation([{"@type": "Person", "name": "x"}, {"author": {"@type": "LocalBusiness", "name": " B "}}]) == "B" and ingest.organisation({"a": 1}) is None
+    p = ingest.at_position(spark.createDataFrame([(1, 5), (1, 50), (2, 1)], "d int, position int"), spark.createDataFrame([(1, 4, 9, "a"), (1, 5, 6, "b")], "d int, start int, end int, t string"), "d")
+    assert {(r.d, r.position): r.t for r in p.collect()} == {(1, 5): "a", (1, 50): None, (2, 1): None}
+    f = spark.createDataFrame([(1, "Net income", "USD", -2.0e6, -0.5), (1, "Revenue", "USD", 1.5e9, 0.25), (1, "Other", "USD", 1.0, None)], "d int, label string, unit string, current_value double, yoy double")
+    assert analysis.headline(f, "d").first().headline == "Revenue $1.50B (+25.0% YoY), Net income -$2.0M (-50.0% YoY)"
