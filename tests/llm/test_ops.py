@@ -480,3 +480,20 @@ def test_pipeline(spark, corpus, tmp_path):
     assert "[SECRET]" in masked and "abcdef0123456789abcd" not in masked
     out = cp.run(spark, str(tmp_path)).collect()
     assert bag((r.doc_id, tuple(r.ids)) for r in out) == bag((r.doc_id, tuple(r.ids)) for r in seen["bpe"].collect()) and len(out) == len(heads - leaks)
+
+
+def test_pipeline_stages_on_odd_tables(spark, corpus, tmp_path):
+    """No documents at all, no labels, no benchmark; then null ids, repeated rows and columns with names used inside."""
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    nothing = spark.createDataFrame([], DOCS)
+    odd = spark.createDataFrame([*corpus[40:], corpus[41]], DOCS).withColumn("fp", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("window", F.lit(3))
+    for name, stage in cp.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
+        got = stage(spark, odd, str(tmp_path))
+        if name != "bpe":
+            assert got.columns == odd.columns
+        if name in ("secrets", "bpe", "quality", "decontamination"):
+            assert got.count() == odd.count()
