@@ -448,7 +448,7 @@ _INLINE = """<html><ix:header><xbrli:context id="c1"><xbrli:period><xbrli:startD
 <ix:nonFraction name="us-gaap:NetIncomeLoss" contextref="c1" unitref="u" scale="6" sign="-">60</ix:nonFraction></body></html>"""
 
 
-@query("select * from (values ('Revenue', 'USD', 'EUR', 1.2e9, 1.0e9, 0.2), ('Gross profit', 'USD', 'EUR', 3.0e8, null, null), ('Net income', 'USD', 'EUR', -6.0e7, null, null)) as t(label, unit, currency_code, current_value, prior_value, yoy)")
+@query("select * from (values ('Revenue', 'USD', 'EUR', 1.2e9, 1.0e9, 0.2::double), ('Gross profit', 'USD', 'EUR', 3.0e8, null, null), ('Net income', 'USD', 'EUR', -6.0e7, null, null)) as t(label, unit, currency_code, current_value, prior_value, yoy)")
 def inline_fact_lines(spark, d):
     """SRC11, JN6, AG11, NUM1, NUM4: line items of a small inline-fact document."""
     page = spark.createDataFrame([(1, _INLINE)], "page_id bigint, html string")
