@@ -238,6 +238,7 @@ def shared_strings(blocks: DataFrame, shared: str, bits: int, length: int, bucke
                 held: dict[bytes, int] = {}
                 whole = raw.tobytes()
                 own = np.fromiter((held.setdefault(whole[p : p + k + length - 1], len(held)) for p, k in zip(at.tolist(), many.tolist(), strict=True)), np.int64, len(at))
+                del whole, raw
                 if not len(own):
                     continue
                 lo, hi = np.full(len(held), np.iinfo(np.int64).max), np.full(len(held), np.iinfo(np.int64).min)
@@ -245,7 +246,9 @@ def shared_strings(blocks: DataFrame, shared: str, bits: int, length: int, bucke
                 np.maximum.at(hi, own, i[text])
                 anchor = np.empty(len(held), np.uint64)
                 anchor[own] = a
-                strings, bucket = list(held), (anchor % np.uint64(buckets)).astype(np.int64)
+                strings = list(held)
+                held.clear()
+                bucket = (anchor % np.uint64(buckets)).astype(np.int64)
                 short = (anchor >> np.uint64(33)).astype(np.int32)  # two anchors alike in it cost work, not correctness
                 order = np.argsort(bucket, kind="stable")
                 cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
@@ -288,7 +291,9 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     padded = np.concatenate([text.astype(np.uint64), np.zeros(step, np.uint64)])
     key = np.zeros(n, np.uint64)
     for j in range(step):
-        key = (key << np.uint64(9)) | padded[j : j + n]
+        key <<= np.uint64(9)
+        key |= padded[j : j + n]
+    del padded
     while True:
         order = np.argsort(key).astype(np.int32)
         if step >= depth:
@@ -298,7 +303,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), dtype=np.int32)
         # two or three neighbouring ranks make the next key, as many as fit
         times, width = (3, 21) if rank[order[-1]] < 1 << 21 else (2, 32)
-        key = rank.copy()
+        key[:] = rank
         for k in range(1, times):
             key <<= np.uint64(width)
             key[: max(n - k * step, 0)] |= rank[k * step :]
