@@ -456,6 +456,51 @@ def test_html(spark):
 # ── the pipeline ──
 
 
+def brute_near_copies(rows):
+    """The smallest id of each group of texts that 5-word similarity of 0.8 or more connects."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().translate(LOWER).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    return {min(rows[b][0] for b in range(len(rows)) if find(b) == find(a)) for a in range(len(rows))}
+
+
+@pytest.mark.parametrize("often", [8, 1_000_000])
+def test_pipeline_finds_near_copies_with_edits(spark, tmp_path, monkeypatch, often):
+    import corpus_pipeline as cp
+    from quire.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "OFTEN", often)
+    r = random.Random(11)
+    texts = [words(r.randrange(30, 300), 300 + i, 5000) for i in range(12)]
+    for t in list(texts):
+        for edits in (1, 2, 3, 4, 5, 6, 9):
+            w = t.split()
+            for k in r.sample(range(len(w)), edits):
+                w[k] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    # one group of many copies edited at random, and texts that share a passage only
+    long = words(150, 900, 5000).split()
+    texts += [" ".join(w if r.random() > 0.012 else f"y{r.randrange(10**6)}" for w in long) for _ in range(60)]
+    texts += [" ".join(long[:70]) + " " + words(60, 950 + i, 5000) for i in range(30)] + ["", None, "a b", "A  b", "a b c"]
+    r.shuffle(texts)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [x.doc_id for x in cp.dedup_stage(spark, docs, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near_copies(rows)
+
+
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline as cp
 
