@@ -190,3 +190,12 @@ def test_ingest(spark):
     assert {(r.d, r.position): r.t for r in p.collect()} == {(1, 5): "a", (1, 50): None, (2, 1): None}
     f = spark.createDataFrame([(1, "Net income", "USD", -2.0e6, -0.5), (1, "Revenue", "USD", 1.5e9, 0.25), (1, "Other", "USD", 1.0, None)], "d int, label string, unit string, current_value double, yoy double")
     assert analysis.headline(f, "d").first().headline == "Revenue $1.50B (+25.0% YoY), Net income -$2.0M (-50.0% YoY)"
+
+
+def test_report_holds_every_sentence(spark, tmp_path):
+    from quire.queries import QUERIES
+
+    said = [f"Sentence number {w} is long enough to be kept." for w in ("one", "two", "three", "four", "five")]
+    spark.createDataFrame([(1, " ".join(said), "en", "a")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = QUERIES["export_report_rows"](spark, str(tmp_path)).collect()
+    assert all(x in row.report for x in said)
