@@ -32,12 +32,16 @@ FILINGS_SQL = """
     from (select conv_id, turn, text, 'ITEM ' || (turn + 1) || '. The ' || role as head from conversations where length(text) > 0) group by conv_id"""
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, section_id, section_order, sent_idx, sentence, start, end): turns as sentences with words that ranking looks for."""
+def statements(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(conv_id, section_id, section_order, sent_idx, sentence, start, end): turns as sentences with words that ranking looks for.
+
+    ``whole``: of the whole turn, else of its first 60 characters as in STATEMENTS_SQL.
+    """
     turns = table(spark, sf_dir, "conversations")
     section = F.element_at(F.array(*[F.lit(x) for x in ("item_7_mdna", "item_1a_risk_factors", "item_3_legal_proceedings", "item_9b_other")]), (F.col("turn") % 4 + 1).cast("int"))
     lead = F.element_at(F.array(*[F.lit(x) for x in ("Revenue grew 12% on demand: ", "Litigation risk remains: ", "Dividends were paid: ", "Nothing of note: ", "Net income and margins rose to $4,100: ")]), (F.col("turn") % 5 + 1).cast("int"))
-    sentence = F.concat(lead, F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60))
+    said = F.regexp_replace("text", r"\s+", " ")
+    sentence = F.concat(lead, said if whole else F.substring(said, 1, 60))
     return turns.select("conv_id", section.alias("section_id"), (F.col("turn") % 4 + 1).cast("int").alias("section_order"), F.col("turn").cast("int").alias("sent_idx"), sentence.alias("sentence"), F.lit(0).alias("start"), F.length(sentence).alias("end"))
 
 

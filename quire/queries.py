@@ -641,7 +641,7 @@ def advice_scrub(spark, d):
 @query()
 def insight_titles(spark, d):
     """STR13, STR14, FLT25, WIN7: titles of statements, made distinct."""
-    s = P.statements(spark, d).withColumn("title", insights.ensure_title(F.lit(""), F.col("sentence"), F.lit("Operations"))).withColumnRenamed("sentence", "summary")
+    s = P.statements(spark, d, whole=True).withColumn("title", insights.ensure_title(F.lit(""), F.col("sentence"), F.lit("Operations"))).withColumnRenamed("sentence", "summary")
     return insights.unique_titles(s, "conv_id", order="sent_idx").select("conv_id", "sent_idx", "title")
 
 
@@ -938,7 +938,7 @@ def page_ingest(spark, d):
 @query()
 def finalised_insights(spark, d):
     """CMP12: statements through all guards against their own conversation."""
-    st = P.statements(spark, d).select("conv_id", "sent_idx", F.lit("A title").alias("title"), F.col("sentence").alias("summary"), F.lit("Investors should buy. It matters.").alias("why"), F.lit("").alias("meaning"), F.lit("High").alias("confidence"))
+    st = P.statements(spark, d, whole=True).select("conv_id", "sent_idx", F.lit("A title").alias("title"), F.col("sentence").alias("summary"), F.lit("Investors should buy. It matters.").alias("why"), F.lit("").alias("meaning"), F.lit("High").alias("confidence"))
     src = P.table(spark, d, "conversations").select("conv_id", F.concat("text", F.lit(" 12%")).alias("text"))
     return evidence.finalise(st, src, "conv_id").select("conv_id", "sent_idx", "summary", "why", "confidence")
 
@@ -946,7 +946,7 @@ def finalised_insights(spark, d):
 @query()
 def deterministic_analysis(spark, d):
     """CMP11, CMP16, AG17: the analysis of conversations as filings."""
-    st = P.statements(spark, d)
+    st = P.statements(spark, d, whole=True)
     docs = st.select("conv_id").distinct().select("conv_id", F.lit("Acme").alias("company"), F.lit("10-K").alias("form"))
     sents = models.classify(st).select("conv_id", "label")
     fl = flags.flag(P.table(spark, d, "conversations"), flags.lexicon(spark), "conv_id")

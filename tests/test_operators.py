@@ -199,3 +199,12 @@ def test_report_holds_every_sentence(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(said), "en", "a")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     (row,) = QUERIES["export_report_rows"](spark, str(tmp_path)).collect()
     assert all(x in row.report for x in said)
+
+
+def test_guards_read_whole_turns(spark, tmp_path):
+    from quire.queries import QUERIES
+
+    text = "Demand was steady through the whole of the year in every region that we serve. " * 2 + "Cash reached the lighthouse."
+    spark.createDataFrame([(1, 3, "user", text)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = QUERIES["finalised_insights"](spark, str(tmp_path)).collect()
+    assert "lighthouse" in row.summary
