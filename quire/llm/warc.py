@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import materialise, scratch_path, utf8
 
-#: A new archive is begun beyond this many bytes of payload; bounds what one normalising task reads.
-ARCHIVE_BYTES = 16 << 20
+#: A new archive is begun beyond this many bytes of records, heads included, or this many records; bounds what is held of one.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 16 << 20, 50_000
+#: Tasks that normalise archives at most; beyond, a task takes several, one after the other.
+MOST_TASKS = 50_000
 BLOCK = 1 << 20
 #: Any fixed date serves: the pages carry none, and equal input should give equal archives.
 DATE = "2000-01-01T00:00:00Z"
@@ -126,7 +128,7 @@ def _settle(store, temp: str, path: str) -> None:
     store.move(temp, path)
 
 
-def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
     """Write every page's record; (archive, ordinal, page_id, payload_bytes, payload_digest), one row per page."""
 
     def run(batches):
@@ -153,10 +155,11 @@ def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 payload = utf8(html)
                 told = digest(payload)
                 head = {"WARC-Record-ID": record_id(name, len(rows)), "WARC-Date": DATE, "WARC-Target-URI": header_value(url), "X-Page-ID": header_value(page_id), "WARC-Payload-Digest": f"sha1:{told}", "Content-Type": "text/html"}
-                out.write(z.compress(make_record("response", head, payload)))
+                record = make_record("response", head, payload)
+                out.write(z.compress(record))
                 rows.append({"archive": name, "ordinal": len(rows), "page_id": page_id, "payload_bytes": len(payload), "payload_digest": told})
-                size += len(payload)
-                if size >= archive_bytes:
+                size += len(record)
+                if size >= archive_bytes or len(rows) >= archive_records:
                     yield close()
                     out = None
         if out is not None:
@@ -206,7 +209,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, min_payload: int
     A null html is an empty payload; empty payloads are equal to each other (min_payload 0).  Of equal
     payloads the smallest page_id is the response, and of rows repeating that id the first in the archives.
     A null page_id never is what others refer to, unless there is no other.  An empty table writes no
-    archive.  Only page_id, url and html are read of the table.
+    archive.  page_id is a bigint, int or string.  Only page_id, url and html are read of the table.
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
@@ -215,7 +218,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None, min_payload: int
     first = placed.where(F.col("payload_bytes") >= min_payload).groupBy("payload_digest").agg(F.min(place).alias("first"))
     later = placed.join(first, "payload_digest").where((F.col("archive") != F.col("first.archive")) | (F.col("ordinal") != F.col("first.ordinal")))
     later = later.where(F.col("payload_bytes") >= min_payload).groupBy("archive").agg(F.collect_list(F.struct("ordinal", F.col("first.page_id").alias("refers_to"))).alias("revisits"))  # an archive is bounded
-    plan = placed.groupBy("archive").agg(F.count("*").alias("n")).join(later, "archive", "left").select("archive", "n", "revisits")
+    plan = materialise(placed.groupBy("archive").agg(F.count("*").alias("n")).join(later, "archive", "left").select("archive", "n", "revisits"), "plan")
+    # a row is small but stands for a whole archive, so rows are dealt by number and not packed by size
+    plan = plan.repartition(max(1, min(plan.count(), MOST_TASKS)))
 
     def run(batches):
         store, base = _open(folder)
@@ -237,4 +242,5 @@ def archive_pages(pages: DataFrame, folder: str | None = None, min_payload: int
     kind = pages.schema["page_id"].dataType.simpleString()
     of = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
     schema = pa.schema([("page_id", of), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", of), ("archive", pa.string())])
-    return plan.mapInArrow(run, f"page_id {kind}, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind}, archive string")
+    read = plan.mapInArrow(run, f"page_id {kind}, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind}, archive string")
+    return materialise(read, "read")  # so that no later action writes the archives again

@@ -180,6 +180,19 @@ def test_warc(spark, tmp_path):
     assert archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_archives_are_bounded_and_dealt_by_number(spark):
+    from quire.llm.warc import archive_pages, write_monolithic
+    from quire.llm.common import scratch_path
+
+    pages = spark.range(900).selectExpr("id as page_id", "cast(null as string) as url", "'' as html").repartition(2)
+    placed = write_monolithic(pages, scratch_path(spark, "warc"), archive_records=50).groupBy("archive").count().collect()
+    assert max(r["count"] for r in placed) == 50 and len(placed) >= 18
+    read = archive_pages(pages, archive_bytes=5000)
+    assert read.select("archive").distinct().count() > 10
+    # each archive is read in a task of its own, or nearly so: what they wrote lies in many files
+    assert len(read.inputFiles()) > 10 and read.where("record_type = 'response'").count() == 1
+
+
 # ── secrets ──
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
