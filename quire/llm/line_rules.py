@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import LOWER_ASCII, materialise, slices_by_size, utf8
 
-#: A line is boilerplate of a host if at least MIN_DOCS of its documents and more than MAX_SHARE of them hold it.
-MIN_DOCS, MAX_SHARE = 20, 0.05
+#: A line is boilerplate of a host if at least MIN_DOCS of its documents and more than MAX_SHARE of them hold it, or
+#: MANY_DOCS, so that a host of very many documents raises no bar for itself.
+MIN_DOCS, MAX_SHARE, MANY_DOCS = 20, 0.01, 200
 #: A document that keeps less than this share of its words is depleted.
 MIN_LEFT = 0.3
 WINDOW = 8
@@ -97,16 +98,16 @@ def line_statistics(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(run, f"doc_id {kind}, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<h:bigint,w:bigint>>")
 
 
-def boilerplate_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def boilerplate_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
     """(host, h) of the lines above the limits; a null host is a host of its own."""
     size = stats.groupBy("host", "doc_id").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
     held = stats.select("host", "doc_id", F.explode("lines").alias("line")).groupBy("host", F.col("line.h").alias("h"), "doc_id").agg(F.lit(1).alias("one"))
-    counted = held.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    counted = held.groupBy("host", "h").agg(F.count("*").alias("n")).where((F.col("n") >= min_docs) | (F.col("n") >= many_docs))
     size = size.withColumnRenamed("host", "_host")
-    return counted.join(size, counted.host.eqNullSafe(size._host)).where(F.col("n") > max_share * F.col("docs")).select("host", "h")
+    return counted.join(size, counted.host.eqNullSafe(size._host)).where((F.col("n") >= many_docs) | (F.col("n") > max_share * F.col("docs"))).select("host", "h")
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Statistics of each row with base_failed, removed_words, removed (hashes of its boilerplate lines) and kept.
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated 8-word windows; such rows are not kept
@@ -114,8 +115,8 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     get equal verdicts; an empty table gives an empty one.
     """
     stats = line_statistics(docs, host)
-    stats = materialise(stats.withColumn("_row", F.xxhash64("doc_id", "host", "lines")), "lines")
-    bad = boilerplate_lines(stats, min_docs, max_share).withColumnRenamed("host", "_host").withColumnRenamed("h", "_h")
+    stats = materialise(stats.withColumn("_row", F.monotonically_increasing_id()), "lines")
+    bad = boilerplate_lines(stats, min_docs, max_share, many_docs).withColumnRenamed("host", "_host").withColumnRenamed("h", "_h")
     held = stats.select("_row", "host", F.explode("lines").alias("line")).select("_row", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     hit = held.join(bad, (F.col("h") == F.col("_h")) & F.col("host").eqNullSafe(F.col("_host"))).select("_row", "h", "w").distinct()
     lost = hit.groupBy("_row").agg(F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed"))  # lines of one text
