@@ -4,8 +4,10 @@ All matches of a pattern and their offsets come from one pass of regexp_extract_
 expression takes the gap before a match, or before the text's end, lazily, so no part of the text is
 scanned twice.  Every candidate value is then counted over the corpus by distinct repositories
 and owners (grouped twice, so that a value in a third of all rows is summed up before it is
-shuffled).  A value that several owners hold is a copied example; one that a single owner holds and
-that looks random is live.  Each gets a span of its own (``example`` or ``live``) over the value.
+shuffled).  A value of many owners, or of two owners in many repositories, is a copied example; one that a
+single owner holds, in whatever number of its repositories, and that looks random is live; one of two owners
+in few repositories that looks random is shared.  Each gets a span of its own (``example``, ``live`` or
+``shared``) over the value.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Kinds in the order in which spans that start together are listed.
-KINDS = ("assign", "access", "hex", "live", "example")
+KINDS = ("assign", "access", "hex", "live", "shared", "example")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
-#: A value that this many owners or more hold is an example.
-EXAMPLE_OWNERS = 3
+#: A value that this many owners hold is an example, and so is one of two owners or more in this many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
 #: Distinct characters that a value must have to look live.
 LIVE_DISTINCT = 6
 #: Entries of copied values (a hash of spans and hashes of values) that are broadcast at most; beyond, a join.
@@ -78,38 +80,47 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: F.concat_ws(":", x["kind"], x["a"].cast("string"), x["c"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, example_owners: int = EXAMPLE_OWNERS, live_distinct: int = LIVE_DISTINCT) -> DataFrame:
-    """docs with base (array of spans) and added (array of spans), one row per input row.
+def scan(
+    docs: DataFrame, owner: Column | None = None, repository: Column | None = None, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, live_distinct: int = LIVE_DISTINCT,
+    names: tuple[str, str] = ("base", "added"),
+) -> DataFrame:
+    """docs with two arrays of spans, base and added, one row per input row; ``names`` calls them otherwise.
 
-    A null text is the empty text; a null owner or repository is one owner or repository of its own.
+    A null text is the empty text; a null owner or repository is one owner or repository of its own.  Columns called
+    like the two arrays are replaced.
     Spans depend on the text and on who holds its values, so repeated rows get equal spans and count once.
     By default the source owns, and its part in each language is a repository.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if repository is None else repository
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("base", "added")]).alias("doc"), base_spans(text).alias("base"), F.coalesce(owner, F.lit("\0")).alias("owner"), F.coalesce(repository, F.lit("\0")).alias("repository"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("doc"), text.alias("text"), base_spans(text).alias("base"), F.coalesce(owner, F.lit("\0")).alias("owner"), F.coalesce(repository, F.lit("\0")).alias("repository"))
     values = F.array_distinct(F.transform("base", lambda x: F.sha2(x["value"], 256)))
     held = materialise(rows.where(F.size("base") > 0).select("owner", "repository", values.alias("values"), F.sha2(F.to_json("base"), 256).alias("spans")), "candidates")
     per_repository = held.select("owner", "repository", F.explode("values").alias("hash")).groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
     per_owner = per_repository.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    # values that fewer owners hold need no entry: what isn't found below is owner-specific
-    copied = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).where(F.col("owners") >= example_owners)
+    # values of a single owner need no entry: what isn't found below is owner-specific
+    counted = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).where("owners > 1")
+    is_example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    copied = counted.select("hash", F.when(is_example, "example").otherwise("shared").alias("verdict"))
     # rows with the same spans and values share an entry
     keys = held.select("spans", F.explode("values").alias("hash")).distinct()
-    examples = materialise(keys.join(copied, "hash").groupBy("spans").agg(F.collect_set("hash").alias("examples")), "examples")
-    if examples.count() <= BROADCAST_ROWS:
-        examples = F.broadcast(examples)
-    out = rows.withColumn("spans", F.when(F.size("base") > 0, F.sha2(F.to_json("base"), 256))).join(examples, "spans", "left")
+    verdicts = materialise(keys.join(copied, "hash").groupBy("spans").agg(F.map_from_entries(F.collect_set(F.struct("hash", "verdict"))).alias("verdicts")), "verdicts")
+    key = F.when(F.size("base") > 0, F.sha2(F.to_json("base"), 256))
+    if verdicts.count() <= BROADCAST_ROWS:
+        verdicts = F.broadcast(verdicts)
+    else:  # most rows have no candidate; they match nothing, and need not meet in one task for it
+        key = F.coalesce(key, F.concat(F.lit("-"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("string")))
+    out = rows.withColumn("spans", key).join(verdicts, "spans", "left")
 
     def told(x):
-        is_example = F.array_contains(F.coalesce("examples", F.array().cast("array<string>")), F.sha2(x["value"], 256))
+        verdict = F.try_element_at("verdicts", F.sha2(x["value"], 256))
         varied = F.size(F.array_distinct(F.split(x["value"], ""))) >= live_distinct
-        live = varied & x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
-        return F.struct(F.when(is_example, "example").when(live, "live").alias("kind"), x["from"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["from"].alias("from"))
+        random = varied & x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
+        return F.struct(F.when(verdict == "example", verdict).when(random, F.coalesce(verdict, F.lit("live"))).alias("kind"), x["from"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["from"].alias("from"))
 
     added = F.array_distinct(F.filter(F.transform("base", told), lambda x: x["kind"].isNotNull()))
-    return out.select("doc", "base", added.alias("added")).select("doc.*", "base", "added")
+    return out.select("doc", "base", added.alias("added")).select("doc.*", F.col("base").alias(names[0]), F.col("added").alias(names[1]))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
