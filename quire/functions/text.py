@@ -115,6 +115,12 @@ def iso_date(text: Column) -> Column:
     )
 
 
+def calendar_date(iso: Column, short: bool = False) -> Column:
+    """``January 5, 2024`` (or ``Jan 5, 2024``) of a date that begins like an ISO one, whatever the time zone; other texts as they are."""
+    day = F.try_to_timestamp(F.substring(iso, 1, 10), F.lit("yyyy-MM-dd"))
+    return F.when(iso.isNull(), "").otherwise(F.coalesce(F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}"), F.date_format(day, "MMM d, yyyy" if short else "MMMM d, yyyy")), iso))
+
+
 def fiscal_labels(text: Column) -> Column:
     """``Q1 FY2027`` and the like cut down to ``Q1``."""
     return F.regexp_replace(text, r"(?i)(?<![A-Za-z0-9_])Q([1-4])[\s -]+(?:FY\s*)?(?:19|20)\d{2}(?![A-Za-z0-9_])", "Q$1")

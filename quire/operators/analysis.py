@@ -33,6 +33,18 @@ def one_liner(company: Column, kind: Column, read: Column, head: Column, total:
     return F.concat(F.lit("Signals read "), F.lower(read), F.lit(" for "), F.coalesce(company, F.lit("the company")), F.lit("'s "), kind, tail)
 
 
+def hints(head: Column, total: Column, positive: Column, negative: Column, types: Column, changes: Column) -> Column:
+    """What is known without a model, a line each, as a prompt's hints: facts, tone, flags by type, changed sections.
+
+    types: array<struct<type, n>>; changes: array<string>; parts without anything are left out.
+    """
+    tone = F.when(total > 0, F.concat(F.lit("Tone: "), percent(positive, total).cast("string"), F.lit(" % positive, "), percent(negative, total).cast("string"), F.lit(" % negative of "), total.cast("string"), F.lit(" sentences")))
+    ranked = F.array_sort(F.transform(types, lambda x: F.struct((-x["n"]).alias("n"), x["type"].alias("type"))))
+    flagged = F.when(F.size(types) > 0, F.concat(F.lit("Flags: "), F.array_join(F.transform(ranked, lambda x: F.concat(F.replace(x["type"], F.lit("_"), F.lit(" ")), F.lit(" "), (-x["n"]).cast("string"))), ", ")))
+    changed = F.when(F.size(changes) > 0, F.concat(F.lit("Changed: "), F.array_join(changes, "; ")))
+    return F.concat_ws("\n", F.when(head != "", F.concat(F.lit("Facts: "), head)), tone, flagged, changed)
+
+
 def dimension_cards(sentences: DataFrame, limit: int, *keys: str, form: str | None = None) -> DataFrame:
     """(keys, dim, pos, category, title, summary, severity): the best sentences of each dimension as cards.
 

@@ -58,9 +58,9 @@ def backoff(attempt, jitter, retry_after=None, base: int = 600):
     return own if retry_after is None else F.coalesce(retry_after, own)
 
 
-def gaps(events: DataFrame, *keys: str, ts: str = "ts", value: str | None = None, seconds: int = 45) -> DataFrame:
+def gaps(events: DataFrame, *keys: str, ts: str = "ts", value: str | None = None, seconds: int = 45, tie: str | None = None) -> DataFrame:
     """Events after which nothing new came for ``seconds``; with ``value`` a repeated value is nothing new."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+    w = Window.partitionBy(*keys).orderBy(ts, *([tie] if tie else []))
     rows = events if value is None else events.withColumn("_was", F.lag(value).over(w)).where(F.col("_was").isNull() | (F.col("_was") != F.col(value))).drop("_was")
     nxt = rows.withColumn("next_ts", F.lead(ts).over(w))
     wait = F.unix_timestamp(F.col("next_ts").cast("timestamp")) - F.unix_timestamp(F.col(ts).cast("timestamp"))
@@ -94,3 +94,31 @@ def load_progress(events: DataFrame, *keys: str, file: str = "file", loaded: str
     total = events.select(*keys, file, size).distinct().groupBy(*keys).agg(F.sum(size).alias("_total"))
     run = F.sum("_more").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return grown.withColumn("_more", more).withColumn("_run", run).join(total, list(keys)).select(*keys, order, (F.col("_run") / F.col("_total")).alias("share"))
+
+
+def drop_all(*stores: DataFrame) -> list[DataFrame]:
+    """The same stores without records: what is written over them to clear every cache at once."""
+    return [s.limit(0) for s in stores]
+
+
+def session_of(store: DataFrame, model: DataFrame, *keys: str) -> DataFrame:
+    """The session store after a document was opened: its record alone, all others evicted."""
+    return model.select(*store.columns).unionByName(store.join(model.select(*keys), list(keys), "left_semi").limit(0))
+
+
+def read_session(store: DataFrame, flags: DataFrame, *keys: str) -> DataFrame:
+    """The record of the session with its flags, an empty list where there are none."""
+    own = flags.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[c for c in flags.columns if c not in keys]))).alias("flags"))  # of one document
+    return store.join(own, list(keys), "left").withColumn("flags", F.coalesce("flags", F.array()))
+
+
+def last_in_flight(requests: DataFrame, *keys: str, ts: str = "ts", tie: str = "seq") -> DataFrame:
+    """requests with ``aborted``: only the newest of a key runs, each older one is aborted by the next, at ``aborted_at``."""
+    following = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts, tie))
+    return requests.withColumn("aborted_at", following).withColumn("aborted", F.col("aborted_at").isNotNull())
+
+
+def replay(cached: DataFrame, live: DataFrame, *keys: str) -> DataFrame:
+    """Events of a run: those that the cache holds first, marked ``replayed``, then the live ones of other keys."""
+    old = cached.withColumn("replayed", F.lit(True))
+    return old.unionByName(live.join(cached.select(*keys).distinct(), list(keys), "left_anti").withColumn("replayed", F.lit(False)))

@@ -37,29 +37,65 @@ def quote_pattern(quote: Column) -> Column:
     return F.when(F.length(q) >= SHORTEST, F.concat(F.lit("(?i)"), F.regexp_replace(safe, r"\s+", r"\\s+")))
 
 
-def find_quotes(quotes: DataFrame, sections: DataFrame, quote_id: str, *keys: str, quote: str = "quote", text: str = "text", order: str = "ord", offset: str | None = None) -> DataFrame:
+#: Characters of a short quote's probe at most: of one word, and of each word beside a seam; quotes whose probes are broadcast at most.
+PROBE, SEAM, BROADCAST_ROWS = 12, 3, 100_000
+
+
+def find_quotes(quotes: DataFrame, sections: DataFrame, quote_id: str, *keys: str, quote: str = "quote", text: str = "text", order: str = "ord", offset: str | None = None, within: bool = False) -> DataFrame:
     """(quote_id, keys, section order, start, end): where each quote stands first in each document.
 
-    Both sides are cut into runs of three words first, so that a quote is only tried on texts that share one
-    with it, by an equi-join rather than every text against every quote.
+    ``within``: quotes have the keys as well, and are looked for in their own document only.
+
+    A quote is only tried on texts that share a probe with it, by an equi-join rather than every text against every
+    quote; texts don't travel with the probes.  As a quote may be cut within its first and last word, its probe is a run
+    of three words from within, of two or one where it has four or three; of two words, how the first ends and the second
+    begins; of one, what it begins with, anywhere in a word.  A quote without any letter or digit has none and is not found.
     """
     from quire.functions.text import norm_for_match
 
-    def words(c: Column) -> Column:
-        return F.filter(F.split(norm_for_match(c), " "), lambda x: x != "")
-
-    def runs(w: Column) -> Column:
-        # of a column of its own: within a lambda an expression would be evaluated for every run
-        return F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3)))).otherwise(F.array().cast("array<bigint>"))
-
-    head = F.substring(F.trim(quote), 1, LONGEST)
-    q = quotes.select(quote_id, quote_pattern(F.col(quote)).alias("_p"), words(head).alias("_w")).where(F.col("_p").isNotNull())
-    # the second run of words lies wholly inside the quote, whatever its ends were cut from
-    probe = q.withColumn("_g", F.get(runs(F.col("_w")), F.lit(1))).where(F.col("_g").isNotNull()).drop("_w")
+    none = F.array().cast("array<bigint>")
+    # words are a column of their own: within a lambda an expression would be evaluated for every run
+    words, n = F.col("_w"), F.size("_w")
+
+    def first_word(k: int) -> Column:
+        return F.get(words, F.lit(k))
+
+    def runs(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(none)
+
+    def ends(x: Column, y: Column, i: int, j: int) -> Column:
+        return F.xxhash64(F.lit(i), F.right(x, F.lit(i)), F.left(y, F.lit(j)))
+
+    def seams(i: int, j: int) -> Column:
+        return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: ends(F.get(words, k - 1), F.get(words, k), i, j))).otherwise(none)
+
+    def pieces(k: int) -> Column:
+        long = F.filter(words, lambda x: F.length(x) >= k)
+        return F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - k + 1), lambda i: F.xxhash64(F.lit("piece"), F.substring(x, i, F.lit(k))))))
+
+    own_keys = list(keys) if within else []
+    head = F.split(norm_for_match(F.substring(F.trim(quote), 1, LONGEST)), " ")
+    q = quotes.select(quote_id, *own_keys, quote_pattern(F.col(quote)).alias("_p"), F.filter(head, lambda x: x != "").alias("_w")).where(F.col("_p").isNotNull() & (F.size("_w") > 0))
+    size = F.least(F.length(first_word(0)), F.lit(PROBE))
+    left, right = F.least(F.length(first_word(0)), F.lit(SEAM)), F.least(F.length(first_word(1)), F.lit(SEAM))
+    kind = F.when(n >= 3, F.struct(F.lit("run").alias("k"), F.least(n - 2, F.lit(3)).alias("i"), F.lit(0).alias("j"))).when(n == 2, F.struct(F.lit("seam").alias("k"), left.alias("i"), right.alias("j"))).otherwise(F.struct(F.lit("piece").alias("k"), size.alias("i"), F.lit(0).alias("j")))
+    kinds = q.withColumn("_kind", kind)
+    inner = F.xxhash64(F.slice(words, F.lit(2), F.col("_kind.i")))
+    seam = F.xxhash64(F.col("_kind.i"), F.right(first_word(0), F.col("_kind.i")), F.left(first_word(1), F.col("_kind.j")))
+    piece = F.xxhash64(F.lit("piece"), F.substring(first_word(0), F.lit(1), F.col("_kind.i")))
+    probes = kinds.select(quote_id, *own_keys, "_p", F.when(F.col("_kind.k") == "run", inner).when(F.col("_kind.k") == "seam", seam).otherwise(piece).alias("_g"))
+    # what kinds of probes there are: three runs, SEAM * SEAM seams and PROBE pieces at most
+    found = {"run": runs, "seam": seams, "piece": pieces}
+    parts = [found[r.k](r.i) if r.k != "seam" else seams(r.i, r.j) for r in sorted(kinds.select("_kind.*").distinct().collect())]
+    own = sections.select(*keys, F.col(order).alias("_ord"), F.filter(F.split(norm_for_match(F.col(text)), " "), lambda x: x != "").alias("_w"))
+    held = own.select(*keys, "_ord", F.explode_outer(F.array_distinct(F.concat(none, *parts))).alias("_g"))
+    met = held.join(F.broadcast(probes) if quotes.count() <= BROADCAST_ROWS else probes, [*own_keys, "_g"]).select(quote_id, "_p", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_ord").alias("_o")).distinct()
     lift = F.lit(0) if offset is None else F.col(offset)
-    held = sections.select(*keys, F.col(order).alias("_ord"), lift.alias("_off"), F.col(text).alias("_t"), words(F.col(text)).alias("_w"))
-    held = held.select(*keys, "_ord", "_off", "_t", F.explode(F.array_distinct(runs(F.col("_w")))).alias("_g"))
-    hits = held.join(F.broadcast(probe) if quotes.count() <= 100_000 else probe, "_g").withColumn("start", F.regexp_instr("_t", F.col("_p")) - 1).where(F.col("start") >= 0)
+    texts = sections.select(*keys, F.col(order).alias("_ord"), lift.alias("_off"), F.col(text).alias("_t"))
+    same = F.col("_ord").eqNullSafe(F.col("_o"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    hits = met.join(texts, same).withColumn("start", F.regexp_instr("_t", F.col("_p")) - 1).where(F.col("start") >= 0)
     hits = hits.withColumn("_len", F.length(F.regexp_substr("_t", F.col("_p"))))
     first = Window.partitionBy(quote_id, *keys).orderBy("_ord", "start")
     return hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(quote_id, *keys, F.col("_ord").alias(order), (F.col("_off") + F.col("start")).alias("start"), (F.col("_off") + F.col("start") + F.col("_len")).alias("end"))
@@ -79,11 +115,14 @@ def scrub_figures(text: Column, known: Column) -> Column:
     return F.struct(F.trim(F.array_join(kept, " ")).alias("text"), (F.size(kept) < F.size(parts)).alias("stripped"))
 
 
-def finalise(insights: DataFrame, sources: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+def finalise(insights: DataFrame, sources: DataFrame, *keys: str, text: str = "text", quote: str | None = None, within: tuple[str, ...] = (), order: str = "ord") -> DataFrame:
     """Insights (keys, title, summary, why, meaning, confidence) after all guards.
 
-    Advice and unverified figures go, quarters lose their year, and where a figure was stripped confidence
-    is Low; what keeps neither summary nor meaning is dropped.
+    Advice and unverified figures go, quarters lose their year, and where a figure was stripped confidence is Low; what
+    keeps neither summary nor meaning is dropped.  A title that only repeats the summary gives way to one of its topic,
+    if there is a ``category``.  ``quote`` names a column of quotes: one that the document holds gets its range
+    (quote_ord, quote_start, quote_end), another goes and confidence is Low; ``within`` names the columns that tell the
+    insights of a document apart.
     """
     figures = sources.select(*keys, F.explode(figure_cores(F.col(text))).alias("c")).groupBy(*keys).agg(F.collect_set("c").alias("_known"))  # of one document
     known = F.coalesce("_known", F.array().cast("array<string>"))
@@ -94,4 +133,17 @@ def finalise(insights: DataFrame, sources: DataFrame, *keys: str, text: str = "t
     out = out.withColumn("confidence", F.when(stripped, "Low").otherwise(F.col("confidence")))
     for name in ("summary", "why", "meaning"):
         out = out.withColumn(name, F.col(f"_{name}.text"))
-    return out.where((F.col("summary") != "") | (F.col("meaning") != "")).withColumn("title", fiscal_labels(scrub_advice(F.col("title")))).drop("_known", "_summary", "_why", "_meaning")
+    title = fiscal_labels(scrub_advice(F.col("title")))
+    if "category" in insights.columns:
+        from quire.operators.insights import ensure_title
+
+        title = ensure_title(title, F.col("summary"), F.col("category"))
+    out = out.where((F.col("summary") != "") | (F.col("meaning") != "")).withColumn("title", title).drop("_known", "_summary", "_why", "_meaning")
+    if quote is None:
+        return out
+    named = out.withColumn("_q", F.xxhash64(*keys, *within, F.col(quote)))
+    asked = named.where(F.trim(F.col(quote)) != "").select("_q", *keys, F.col(quote).alias("quote")).distinct()
+    found = find_quotes(asked, sources, "_q", *keys, text=text, order=order, within=True).select("_q", *keys, F.col(order).alias("quote_ord"), F.col("start").alias("quote_start"), F.col("end").alias("quote_end"))
+    told = named.join(found, ["_q", *keys], "left").drop("_q")
+    lost = (F.trim(F.coalesce(F.col(quote), F.lit(""))) != "") & F.col("quote_start").isNull()
+    return told.withColumn("confidence", F.when(lost, "Low").otherwise(F.col("confidence"))).withColumn(quote, F.when(~lost, F.trim(F.col(quote))))

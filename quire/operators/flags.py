@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quire.functions.text import sentence_spans
 from quire.operators.sentences import inside_table
 from quire.plans.registry import LEXICON
 
+# Fixed value: language of safe harbours.
 BOILERPLATE = r"(?i)(forward[- ]looking statements?|private securities litigation reform act|safe[- ]harbor|within the meaning of section 27a|undertake no (?:obligation|duty) to (?:update|revise)|actual results (?:could|may|might) differ materially|these forward-looking statements)"
 #: Terms of the lexicon that are broadcast at most.
 MAX_TERMS = 50_000
@@ -40,18 +43,21 @@ def flag(sections: DataFrame, terms: DataFrame, *keys: str, text: str = "text",
 
     Ranges are lifted by ``offset``; hits within a range of ``tables`` are left out; one that starts in a
     sentence of safe-harbour language is boilerplate.  Texts without any term are dropped before the terms
-    are joined.
+    are joined, by the first word of each: a text meets the terms whose first word it has.
     """
-    rows = terms.collect()  # a lexicon: checked against MAX_TERMS
-    if len(rows) > MAX_TERMS:
+    if terms.count() > MAX_TERMS:
         raise ValueError(f"a lexicon of over {MAX_TERMS} terms")
-    quoted = "|".join(r"\Q" + r.term + r"\E" for r in rows)
+    rows = terms.collect()
     own = F.concat(F.when(F.col("case_sensitive"), "").otherwise("(?i)"), F.lit(r"(?<![A-Za-z0-9_])\Q"), F.col("_word"), F.lit(r"\E(?![A-Za-z0-9_])"))
     at = F.lit(0) if offset is None else F.col(offset)
-    some = sections.where(F.col(text).rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{quoted})(?![A-Za-z0-9_])"))
-    safe = F.filter(sentence_spans(F.col(text)), lambda s: s["text"].rlike(BOILERPLATE))
-    base = some.select(*keys, F.col(text).alias("_text"), at.alias("_at"), (F.lit(None).cast("array<struct<s:int,e:int>>") if tables is None else F.col(tables)).alias("_tables"), safe.alias("_safe"))
-    each = base.join(F.broadcast(terms.withColumnRenamed("term", "_word")), F.contains(F.lower("_text"), F.lower("_word")))
+    # a term's first word stands whole in a text that holds the term, as its borders are checked; a term without one has ''
+    named = terms.withColumnRenamed("term", "_word").withColumn("_first", F.regexp_extract(F.lower("_word"), "[a-z0-9_]+", 0))
+    firsts = sorted({next(iter(re.findall("[a-z0-9_]+", r.term.lower())), "") for r in rows})
+    words = sections.select(*keys, F.col(text).alias("_text"), at.alias("_at"), (F.lit(None).cast("array<struct<s:int,e:int>>") if tables is None else F.col(tables)).alias("_tables"), F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(F.col(text)), "[^a-z0-9_]+"))).alias("_words"))
+    some = words.withColumn("_firsts", F.array_intersect("_words", F.array(*[F.lit(x) for x in firsts]))).where(F.size("_firsts") > 0)
+    safe = F.filter(sentence_spans(F.when(F.col("_text").rlike(BOILERPLATE), F.col("_text")).otherwise("")), lambda s: s["text"].rlike(BOILERPLATE))
+    base = some.select(*keys, "_text", "_at", "_tables", safe.alias("_safe"), "_firsts")
+    each = base.withColumn("_first", F.explode("_firsts")).join(F.broadcast(named), "_first").where(F.contains(F.lower("_text"), F.lower("_word")))
     hits = each.select(*keys, "type", "note", "_at", "_tables", "_safe", F.explode(term_spans(F.col("_text"), own)).alias("h"))
     start, end = F.col("_at") + F.col("h.start"), F.col("_at") + F.col("h.end")
     told = hits.where(~inside_table(start, end, F.col("_tables")))

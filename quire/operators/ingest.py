@@ -22,18 +22,34 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def organisation(node, depth: int = 0) -> str | None:
-    """The name of the first organisation in parsed linked data, through lists, graphs and owners, five levels deep."""
-    if depth > 4:
-        return None
-    if isinstance(node, list):
-        return next((n for n in (organisation(x, depth + 1) for x in node) if n), None)
-    if not isinstance(node, dict):
-        return None
-    kind, name = node.get("@type"), node.get("name")
-    if ORGANISATION.search(" ".join(map(str, kind)) if isinstance(kind, list) else str(kind or "")) and isinstance(name, str) and name.strip():
-        return name.strip()
-    return next((n for n in (organisation(node[k], depth + 1) for k in ("@graph", "publisher", "author", "organization", "mainEntity") if k in node) if n), None)
+#: Where linked data names its organisation, and how many lists and objects deep it is looked for (fixed values).
+OWNERS, DEPTH = ("@graph", "publisher", "author", "organization", "mainEntity"), 5
+
+
+def linked_nodes(data):
+    """Objects of parsed linked data in the order in which they are written, each before those it names as owners."""
+    todo = [(data, DEPTH)]
+    while todo:
+        node, left = todo.pop()
+        if not left:
+            continue
+        if isinstance(node, dict):
+            yield node
+            inner = [node[k] for k in OWNERS if k in node]
+        else:
+            inner = node if isinstance(node, list) else []
+        todo += [(x, left - 1) for x in reversed(inner)]
+
+
+def organisation(data) -> str | None:
+    """The name of the first organisation in parsed linked data."""
+    for node in linked_nodes(data):
+        kinds = node.get("@type")
+        kinds = kinds if isinstance(kinds, list) else [kinds]
+        name = node.get("name")
+        if isinstance(name, str) and name.strip() and any(ORGANISATION.search(str(k)) for k in kinds):
+            return name.strip()
+    return None
 
 
 def linked_name(html: Column) -> Column:

@@ -40,3 +40,25 @@ def assemble(docs: DataFrame, parts: dict[str, DataFrame], *keys: str) -> DataFr
         rows = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))  # of one document
         out = out.join(rows, list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.array()))
     return out.select(*keys, F.to_json(F.struct(*[c for c in out.columns if c not in keys])).alias("report"))
+
+
+#: Passages of a comparison that are shown, their length, and how many go into a prompt, how long (fixed values).
+SHOWN, SHOWN_CHARS, SNIPPETS, SNIPPET_CHARS = 6, 220, 4, 280
+
+
+def shown_passages(passages: Column, most: int = SHOWN, chars: int = SHOWN_CHARS) -> Column:
+    """The first passages of an array of texts, white space collapsed, long ones cut."""
+
+    def cut(x: Column) -> Column:
+        flat = F.trim(F.regexp_replace(x, r"\s+", " "))
+        return F.when(F.length(flat) > chars, F.concat(F.substring(flat, 1, chars), F.lit("…"))).otherwise(flat)
+
+    return F.transform(F.slice(passages, 1, most), cut)
+
+
+def escaped(text: Column) -> Column:
+    """Text that stands in HTML as it is."""
+    out = text
+    for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "#39")):
+        out = F.replace(out, F.lit(mark), F.lit(f"&{name};"))
+    return out

@@ -72,17 +72,28 @@ def title_sections(docs: DataFrame, form: str, *keys: str, text: str = "text") -
 
     With fewer than two titles a document is one section.
     """
-    body = F.translate(F.col(text), "\u0001", " ")
+    body = F.translate(F.col(text), "\u0001\u0002", "  ")
     none = F.struct(F.lit(None).cast("int").alias("head_start"), F.lit(None).cast("int").alias("head_end"))
+
+    def last_match(pattern: str) -> Column:
+        # (of several alternatives only the first may be indented, and only the last takes the rest of its line)
+        marked = F.regexp_replace(body, rf"(?i)((?:^|\n)(?:[ \t]{{0,4}}{pattern}[^\n]{{0,120}}))", "\u0001$1\u0002")
+
+        def placed(m: Column) -> Column:
+            tail = F.substring_index(m, "\u0001", -1)  # the last match, its end marked, and what follows
+            start = F.length(F.col(text)) - F.length(tail) + 1
+            return F.when(F.contains(m, F.lit("\u0001")), F.struct(start.alias("head_start"), (start + F.instr(tail, "\u0002") - 1).alias("head_end"))).otherwise(none)
+
+        return F.get(F.transform(F.array(marked), placed), F.lit(0))
+
+    def named(section_id: str, order: int):
+        return lambda x: F.struct(F.lit(section_id).alias("section_id"), F.lit(order).alias("section_order"), x["head_start"].alias("head_start"), x["head_end"].alias("head_end"))
+
     last = []
     for n, (section_id, pattern) in enumerate(TITLES[form]):
-        # everything up to the last match, greedily, so the match's own place is known
-        # (of several alternatives only the first may be indented, and only the last takes the rest of its line)
-        whole = rf"(?i)^([\s\S]*)((?:^|\n)(?:[ \t]{{0,4}}{pattern}[^\n]{{0,120}}))"
-        before, head = F.regexp_extract(body, whole, 1), F.regexp_extract(body, whole, 2)
-        at = F.when(body.rlike(whole), F.struct(F.length(before).alias("head_start"), (F.length(before) + F.length(head)).alias("head_end"))).otherwise(none)
-        last.append(F.struct(F.lit(section_id).alias("section_id"), F.lit(10 * (n + 1)).alias("section_order"), at["head_start"].alias("head_start"), at["head_end"].alias("head_end")))
-    hits = docs.select(*keys, F.length(F.col(text)).alias("size"), F.filter(F.array(*last), lambda x: x["head_start"].isNotNull()).alias("hits"))
+        at = last_match(pattern)
+        last.append(F.transform(F.array(at), named(section_id, 10 * (n + 1))))
+    hits = docs.select(*keys, F.length(F.col(text)).alias("size"), F.filter(F.concat(*last), lambda x: x["head_start"].isNotNull()).alias("hits"))
     several = hits.where(F.size("hits") > 1).select(*keys, "size", F.explode("hits").alias("h")).select(*keys, "size", "h.*")
     end = F.coalesce(F.lead("head_start").over(Window.partitionBy(*keys).orderBy("head_start", "section_order")), F.col("size"))
     found = several.withColumn("end", end).where(F.col("head_end") < F.col("end")).select(*keys, "section_id", "section_order", F.col("head_end").alias("start"), "end")

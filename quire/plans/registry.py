@@ -151,16 +151,15 @@ CONCEPTS = [
     ("Shares outstanding", "shares", "dei:EntityCommonStockSharesOutstanding"),
 ]
 
-#: A small lexicon of our own: type, term, note, whether case counts.
-LEXICON = [
-    ("uncertainty", "may", "leaves it open", False), ("uncertainty", "might", "leaves it open", False), ("uncertainty", "approximately", "imprecise amount", False),
-    ("uncertainty", "could", "leaves it open", False), ("uncertainty", "subject to change", "may be revised", False),
-    ("litigious", "license", "legal terms", False), ("litigious", "All rights reserved", "claim of rights", True), ("litigious", "lawsuit", "court proceedings", False),
-    ("litigious", "Public License", "legal terms", True), ("litigious", "licensed under", "legal terms", False),
-    ("negative", "threat", "danger", False), ("negative", "loss", "decline", False), ("negative", "worthless", "of no value", False), ("negative", "pathetic", "contempt", False),
-    ("negative", "stupid", "contempt", False), ("negative", "idiot", "contempt", False),
-    ("weak_modal", "possibly", "hedge", False), ("weak_modal", "this work", "refers to itself", False), ("weak_modal", "appears to", "hedge", False),
-]
+#: A lexicon of our own: by type a note and the terms; capitals count where a term has some.
+_TERMS = {
+    "uncertainty": ("leaves it open", "may|might|could|approximately|subject to change|uncertain|uncertainty|unpredictable|no assurance|contingent|volatility|fluctuate|fluctuations|estimated|we believe|depends on|if any|from time to time|beyond our control"),
+    "litigious": ("law and lawsuits", "license|All rights reserved|lawsuit|Public License|licensed under|litigation|plaintiff|plaintiffs|defendant|subpoena|class action|injunction|arbitration|indemnify|alleged|settlement agreement|court ruling"),
+    "negative": ("bad news", "threat|loss|losses|worthless|pathetic|stupid|idiot|decline|declined|shortfall|adverse|adversely|impairment|default|bankruptcy|going concern|material weakness|write-down|downgrade|layoffs|restructuring charge|product recall|breach|penalty|penalties|fraud|delisting|weak demand"),
+    "constraining": ("ties hands", "required to|restricted from|covenant|covenants|obligated to|limits our ability|prohibited|must comply"),
+    "weak_modal": ("hedges", "possibly|this work|appears to|perhaps|seems to|tends to|suggests that|somewhat"),
+}
+LEXICON = [(kind, term, note, term != term.lower()) for kind, (note, terms) in _TERMS.items() for term in terms.split("|")]
 
 
 def items(form: str) -> list[tuple[str, str, int]]:
@@ -171,13 +170,6 @@ def items(form: str) -> list[tuple[str, str, int]]:
 ITEM_FORMS = tuple(_ITEMS)
 
 
-def label_of(section_id: str) -> str:
-    """A readable label made from the id."""
-    import re
-
-    return re.sub(r"^(?:20f_|s1_|6k_|proxy_|part_ii_)?(?:item_\d+(?:_\d\d|[a-z])?_)?", "", section_id).replace("_", " ").strip().capitalize()
-
-
 def keywords(form: str | None = None) -> dict[str, str]:
     """An expression for each dimension: its own words and those of the form."""
     more = FORM_KEYWORDS.get(form or "", {})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators.sentences import lines
+from quire.session import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,22 +33,18 @@ FILINGS_SQL = """
     from (select conv_id, turn, text, 'ITEM ' || (turn + 1) || '. The ' || role as head from conversations where length(text) > 0) group by conv_id"""
 
 
-def statements(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(conv_id, section_id, section_order, sent_idx, sentence, start, end): turns as sentences with words that ranking looks for.
-
-    ``whole``: of the whole turn, else of its first 60 characters as in STATEMENTS_SQL.
-    """
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, section_id, section_order, sent_idx, sentence, start, end): whole turns as sentences with words that ranking looks for."""
     turns = table(spark, sf_dir, "conversations")
     section = F.element_at(F.array(*[F.lit(x) for x in ("item_7_mdna", "item_1a_risk_factors", "item_3_legal_proceedings", "item_9b_other")]), (F.col("turn") % 4 + 1).cast("int"))
     lead = F.element_at(F.array(*[F.lit(x) for x in ("Revenue grew 12% on demand: ", "Litigation risk remains: ", "Dividends were paid: ", "Nothing of note: ", "Net income and margins rose to $4,100: ")]), (F.col("turn") % 5 + 1).cast("int"))
-    said = F.regexp_replace("text", r"\s+", " ")
-    sentence = F.concat(lead, said if whole else F.substring(said, 1, 60))
+    sentence = F.concat(lead, F.regexp_replace("text", r"\s+", " "))
     return turns.select("conv_id", section.alias("section_id"), (F.col("turn") % 4 + 1).cast("int").alias("section_order"), F.col("turn").cast("int").alias("sent_idx"), sentence.alias("sentence"), F.lit(0).alias("start"), F.length(sentence).alias("end"))
 
 
 STATEMENTS_SQL = r"""
     select conv_id, ['item_7_mdna','item_1a_risk_factors','item_3_legal_proceedings','item_9b_other'][turn % 4 + 1] as section_id, turn % 4 + 1 as section_order, turn as sent_idx,
-        ['Revenue grew 12% on demand: ','Litigation risk remains: ','Dividends were paid: ','Nothing of note: ','Net income and margins rose to $4,100: '][turn % 5 + 1] || substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 60) as sentence
+        ['Revenue grew 12% on demand: ','Litigation risk remains: ','Dividends were paid: ','Nothing of note: ','Net income and margins rose to $4,100: '][turn % 5 + 1] || regexp_replace(text, '\s+', ' ', 'g') as sentence
     from conversations"""
 
 
@@ -91,3 +88,33 @@ def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLOCK_SQL = "select *, cast(floor((epoch_us(ts) / 1000.0) / 1000.0) as bigint) as ms from events"
+
+
+def event_files(spark: SparkSession, sf_dir: str, again: int = 7) -> str:
+    """A folder of three files of events in the order of time, written one after the other, so that a stream has micro-batches.
+
+    Each file but the first repeats every ``again``-th event of the one before.
+    """
+    folder = shared_folder(spark, "events")
+    ev = table(spark, sf_dir, "events").withColumn("part", F.when(F.dayofmonth("ts") <= 10, 0).when(F.dayofmonth("ts") <= 20, 1).otherwise(2))
+    for k in range(3):
+        part = ev.where(F.col("part") == k)
+        if again and k:
+            part = part.union(ev.where((F.col("part") == k - 1) & (F.col("event_id") % again == 0)))
+        part.drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, prior_id): each document with the latest earlier one that has a line of 40 characters or more in common.
+
+    Neighbours of one line are found by a window over its documents, so a line that many share makes no pairs.
+    """
+    held = line_sections(spark, sf_dir).where(F.length("line") >= 40).select("doc_id", F.xxhash64("line").alias("h"), F.md5("line").alias("m")).distinct()
+    before = held.withColumn("was", F.lag("doc_id").over(Window.partitionBy("h", "m").orderBy("doc_id")))
+    return before.where("was is not null").groupBy("doc_id").agg(F.max("was").alias("prior_id"))
+
+
+VERSIONS_SQL = """
+    select doc_id, max(was) as prior_id from (select doc_id, lag(doc_id) over (partition by line order by doc_id) as was
+        from (select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where length(line) >= 40)) where was is not null group by doc_id"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import proxies as P
 from quire.functions import numbers as N
 from quire.functions import text as T
-from quire.operators import analysis, cache, chunks, classify, evidence, facts, flags, ingest, insights, models, priors, redline, relevance, report, segment, sentences, sentiment, vectors
+from quire.operators import analysis, cache, chunks, classify, composites, evidence, facts, flags, ingest, insights, models, priors, redline, relevance, report, segment, sentences, sentiment, vectors
 from quire.plans.registry import KEYWORDS, LEXICON, PRIORITY, TITLES
 from quire.sources import files, html
 from quire.streaming import progress
@@ -501,13 +501,13 @@ def keyword_dimensions(spark, d):
 
 @query(f"""with recursive {_SCORED}, q as (select conv_id, reading, sentence, row_number() over (partition by conv_id order by score desc, reading) as k from scored),
     r as (select conv_id, 0::bigint as k, 0::bigint as used, false as full, []::bigint[] as took from (select distinct conv_id from q)
-        union all select r.conv_id, q.k, case when not r.full and r.used + length(q.sentence) + 1 <= 200 then r.used + length(q.sentence) + 1 else r.used end, r.full or (r.used + length(q.sentence) + 1 <= 200 and r.used + length(q.sentence) + 1 >= 190), case when not r.full and r.used + length(q.sentence) + 1 <= 200 then list_append(r.took, q.reading) else r.took end
+        union all select r.conv_id, q.k, case when not r.full and r.used + length(q.sentence) + 1 <= 1500 then r.used + length(q.sentence) + 1 else r.used end, r.full or (r.used + length(q.sentence) + 1 <= 1500 and r.used + length(q.sentence) + 1 >= 1425), case when not r.full and r.used + length(q.sentence) + 1 <= 1500 then list_append(r.took, q.reading) else r.took end
         from r join q on q.conv_id = r.conv_id and q.k = r.k + 1),
     l as (select *, row_number() over (partition by conv_id order by k desc) as n from r), w as (select conv_id, used, took from l where n = 1)
     select w.conv_id, coalesce((select string_agg(sentence, ' ' order by reading) from q where q.conv_id = w.conv_id and list_contains(w.took, q.reading)), '') as excerpt, used::int as used from w""")
 def budget_pack(spark, d):
-    """WIN5, CMP9: excerpts of 200 characters."""
-    return relevance.pack(relevance.scored(P.statements(spark, d), _DIMS, "conv_id"), 200, "conv_id")
+    """WIN5, CMP9: excerpts of 1,500 characters."""
+    return relevance.pack(relevance.scored(P.statements(spark, d), _DIMS, "conv_id"), 1500, "conv_id")
 
 
 @query(f"with {_SCORED}, m as (select conv_id, lower(substr(sentence, 1, 80)) as key, min(struct_pack(s := -score, r := reading)) as b from scored group by 1, 2), k as (select conv_id, (b).r as reading, row_number() over (partition by conv_id order by (b).s, (b).r) as place from m) select s.conv_id, s.sent_idx::int as sent_idx, k.place::int as place from k join scored s on s.conv_id = k.conv_id and s.reading = k.reading where place <= 2")
@@ -556,32 +556,64 @@ def centrality_topn(spark, d):
 def blended_rerank(spark, d):
     """NUM11, CMP10: keyword score and similarity to one query, blended."""
     e = P.table(spark, d, "embeddings")
-    first = e.where("vec_id = 0").select("embedding").first()[0]
-    return vectors.similarity_to(e, list(first)).select("vec_id", F.round(relevance.blended(F.col("vec_id") % 8, F.col("similarity")), 6).alias("blend"))
+    first = e.where("vec_id = 0").select("embedding").first()
+    return vectors.similarity_to(e if first else e.limit(0), list(first[0]) if first else []).select("vec_id", F.round(relevance.blended(F.col("vec_id") % 8, F.col("similarity")), 6).alias("blend"))
 
 
 # ── redline ──────────────────────────────────────────────────────────────────
 
 _LINES = "(select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1)::int as ord from documents)"
 _ALIGNED = rf"""
-    cur as (select doc_id, ord, substr(line, 1, 40) as section_id, line as text from {_LINES}),
-    pri0 as (select doc_id + 20 as doc_id, ord, substr(line, 1, 40) as section_id, line as text, row_number() over (partition by doc_id, substr(line, 1, 40) order by ord desc) as n from {_LINES}),
+    ver as ({P.VERSIONS_SQL}),
+    cur as (select doc_id, ord, md5(line) as section_id, line as text from {_LINES} where doc_id in (select doc_id from ver)),
+    pri0 as (select v.doc_id, ord, md5(line) as section_id, line as text, row_number() over (partition by v.doc_id, md5(line) order by ord desc) as n from ver v join {_LINES} l on l.doc_id = v.prior_id),
     pri as (select * from pri0 where n = 1),
     al as (select coalesce(c.doc_id, p.doc_id) as doc_id, coalesce(c.section_id, p.section_id) as section_id, case when p.ord is null then 'added' when c.ord is null then 'removed' else 'matched' end as status, c.ord as current_ord, p.ord as prior_ord, c.text as ct, p.text as pt
         from cur c full outer join pri p on c.doc_id = p.doc_id and c.section_id = p.section_id)"""
 
 
+def _two_versions(spark, d):
+    """Lines, named by what they say, of documents that have an earlier version, and of that version."""
+    lines = sentences.lines(P.table(spark, d, "documents"), "doc_id").select("doc_id", F.md5("line").alias("section_id"), "ord", F.col("line").alias("text"))
+    pairs = P.versions(spark, d)
+    prior = lines.withColumnRenamed("doc_id", "prior_id").join(pairs, "prior_id").drop("prior_id")
+    return lines.join(pairs.select("doc_id"), "doc_id", "left_semi"), prior.select("doc_id", "section_id", "ord", "text")
+
+
 def _aligned(spark, d):
-    lines = sentences.lines(P.table(spark, d, "documents"), "doc_id").select("doc_id", F.substring("line", 1, 40).alias("section_id"), "ord", F.col("line").alias("text"))
-    return redline.align(lines, lines.withColumn("doc_id", F.col("doc_id") + 20), "doc_id")
+    return redline.align(*_two_versions(spark, d), "doc_id")
 
 
 @query(f"with {_ALIGNED} select doc_id, section_id, status, current_ord, prior_ord from al")
 def section_alignment(spark, d):
-    """JN2, SET8: lines of a document against those of the one of its source before."""
+    """JN2, SET8: lines of a document against those of the latest earlier one that shares a long line with it."""
     return _aligned(spark, d).select("doc_id", "section_id", "status", "current_ord", "prior_ord")
 
 
+_ALIKE = _NORM % "substr({}, 1, 4000)"
+
+
+def _token_sql(column: str) -> str:
+    return f"list_filter(list_distinct(string_split({_ALIKE.format(column)}, ' ')), lambda x: x <> '')"
+
+
+@query(f"""with {_ALIGNED}, a as (select doc_id, current_ord as a, {_token_sql('ct')} as s from al where status = 'added'), r as (select doc_id, prior_ord as r, {_token_sql('pt')} as t from al where status = 'removed'),
+    p as (select doc_id, a, r, case when len(s) = 0 and len(t) = 0 then 1.0 else len(list_intersect(s, t)) / (len(s) + len(t) - len(list_intersect(s, t)))::double end as score from a join r using (doc_id)),
+    k as (select *, row_number() over (partition by doc_id order by score desc, a, r) as n from p where score >= 0.2)
+    select doc_id, a, r, round(score, 6) as score from (select *, row_number() over (partition by doc_id, a order by n) as x, row_number() over (partition by doc_id, r order by n) as y from k) where x = 1 and y = 1""")
+def alignment_best_pairs(spark, d):
+    """JN3: of leftover lines those that are each other's first choice; the greedy pairs contain them all."""
+    found = redline.similar_leftovers(_aligned(spark, d), "doc_id", least=0.2)
+    aligned = _aligned(spark, d)
+    tokens = lambda c: T.token_set(F.substring(F.col(c), 1, 4000))
+    added = aligned.where("status = 'added'").select("doc_id", F.col("current_ord").alias("a"), tokens("current_text").alias("s"))
+    removed = aligned.where("status = 'removed'").select("doc_id", F.col("prior_ord").alias("r"), tokens("prior_text").alias("t"))
+    scored = added.join(removed, "doc_id").withColumn("score", T.jaccard(F.col("s"), F.col("t"))).where("score >= 0.2")
+    order = [F.col("score").desc(), "a", "r"]
+    best = scored.withColumn("x", F.row_number().over(Window.partitionBy("doc_id", "a").orderBy(*order))).withColumn("y", F.row_number().over(Window.partitionBy("doc_id", "r").orderBy(*order))).where("x = 1 and y = 1")
+    return found.join(best.select("doc_id", "a", "r"), ["doc_id", "a", "r"]).select("doc_id", "a", "r", F.round("score", 6).alias("score"))
+
+
 @query()
 def alignment_fallback(spark, d):
     """JN3, GRD1: leftover lines that are alike, one to one."""
@@ -602,7 +634,7 @@ def section_redline(spark, d):
     return r.select("doc_id", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), F.round("magnitude", 6).alias("magnitude"), "added_sentences", "removed_sentences", "reworded_sentences", "pct_changed", "summary")
 
 
-@query("select doc_id, quality::int as added, toxic::int as removed, case when quality + toxic = 0 then 'No substantive changes detected in this section.' else array_to_string(list_filter([case when quality = 1 then '1 addition' end, case when toxic = 1 then '1 removal' end], lambda x: x is not null), ', ') || '; ~' || (doc_id % 100) || '% of section text changed.' end as summary from labels")
+@query("select doc_id, quality::int as added, toxic::int as removed, case when quality + toxic = 0 then 'The two versions say the same.' else array_to_string(list_filter([case when quality = 1 then '1 new sentence' end, case when toxic = 1 then '1 dropped sentence' end], lambda x: x is not null), ', ') || '; about ' || (doc_id % 100) || ' % of the text differs.' end as summary from labels")
 def change_summaries(spark, d):
     """STR21 from counts alone."""
     rows = P.table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("added"), F.col("toxic").cast("int").alias("removed"))
@@ -619,10 +651,16 @@ def change_cards(spark, d):
 # ── guards ───────────────────────────────────────────────────────────────────
 
 
-@query("select item_id, doc_id, (position(lower(quote) in lower(text)) - 1)::int as q_start, length(quote)::int as size from (select item_id, trim(substr(text, 1, 120)) as quote from benchmark) b, documents where position(lower(quote) in lower(text)) > 0")
+_QUOTES = "select item_id, text as quote from benchmark union all select item_id + 100000, substr(text, 1, 14) from benchmark union all select item_id + 200000, substr(text, 8, 19) from benchmark union all select item_id + 300000, substr(text, 3, 26) from benchmark"
+
+
+@query(f"with b as (select item_id, trim(substr(trim(quote), 1, 240)) as quote from ({_QUOTES})) select item_id, doc_id, (position(lower(quote) in lower(text)) - 1)::int as q_start, length(quote)::int as size from b, documents where length(quote) >= 12 and position(lower(quote) in lower(text)) > 0")
 def evidence_lookup(spark, d):
-    """JN14, STR8: quotes of the benchmark in all documents, over shared runs of words."""
-    quotes = P.table(spark, d, "benchmark").select("item_id", F.trim(F.substring("text", 1, 120)).alias("quote"))
+    """JN14, STR8: items of the benchmark, and pieces of one to four words cut out of them, in all documents."""
+    items = P.table(spark, d, "benchmark").select("item_id", "text")
+    quotes = items.select("item_id", F.col("text").alias("quote"))
+    for k, (at, size) in enumerate(((1, 14), (8, 19), (3, 26)), 1):
+        quotes = quotes.unionByName(items.select((F.col("item_id") + k * 100000).alias("item_id"), F.substring("text", at, size).alias("quote")))
     docs = P.table(spark, d, "documents").select("doc_id", F.lit(1).alias("ord"), "text")
     return evidence.find_quotes(quotes, docs, "item_id", "doc_id").select("item_id", "doc_id", F.col("start").alias("q_start"), (F.col("end") - F.col("start")).alias("size"))
 
@@ -641,7 +679,7 @@ def advice_scrub(spark, d):
 @query()
 def insight_titles(spark, d):
     """STR13, STR14, FLT25, WIN7: titles of statements, made distinct."""
-    s = P.statements(spark, d, whole=True).withColumn("title", insights.ensure_title(F.lit(""), F.col("sentence"), F.lit("Operations"))).withColumnRenamed("sentence", "summary")
+    s = P.statements(spark, d).withColumn("title", insights.ensure_title(F.lit(""), F.col("sentence"), F.lit("Operations"))).withColumnRenamed("sentence", "summary")
     return insights.unique_titles(s, "conv_id", order="sent_idx").select("conv_id", "sent_idx", "title")
 
 
@@ -704,10 +742,7 @@ def ema_latency(spark, d):
 @query("with e as (select user_id, event_type, ts, event_id, lag(event_type) over (partition by user_id order by ts, event_id) as was from events), k as (select * from e where was is null or was <> event_type), n as (select *, lead(ts) over (partition by user_id order by ts, event_id) as nx from k) select user_id, event_id, floor(epoch(nx))::bigint - floor(epoch(ts))::bigint as wait from n where floor(epoch(nx))::bigint - floor(epoch(ts))::bigint > 86400")
 def stall_gaps(spark, d):
     """ST8: waits of over a day between events that differ."""
-    ev = P.table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
-    w = Window.partitionBy("user_id").orderBy("at")
-    rows = ev.withColumn("was", F.lag("event_type").over(w)).where("was is null or was <> event_type")
-    return cache.gaps(rows.withColumn("k", F.lit(1)), "user_id", seconds=86400).select("user_id", "event_id", "wait")
+    return cache.gaps(P.table(spark, d, "events"), "user_id", value="event_type", seconds=86400, tie="event_id").select("user_id", "event_id", "wait")
 
 
 @query(f"""with recursive c as (select user_id, ms, row_number() over (partition by user_id order by ms, event_id) as k from ({P.CLOCK_SQL})),
@@ -731,21 +766,21 @@ def load_progress(spark, d):
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_progressive_counts(spark, d):
     """ST1: counts per hour through the incremental plan."""
-    s = progress.running_counts(progress.read_events(spark, f"{d}/events.parquet"), "event_type", delay="40 days")
+    s = progress.running_counts(progress.read_events(spark, P.event_files(spark, d, again=0)), "event_type", delay="40 days")
     return progress.run_once(s).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 5 minutes then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from e) select user_id, count(*) as n, min(ts) as first from s group by user_id, k")
 def stream_sessions(spark, d):
     """ST3, ST7: sessions with a gap of five minutes."""
-    s = progress.sessions(progress.read_events(spark, f"{d}/events.parquet"), "user_id", delay="40 days")
+    s = progress.sessions(progress.read_events(spark, P.event_files(spark, d, again=0)), "user_id", delay="40 days")
     return progress.run_once(s).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("first"))
 
 
 @query("select count(distinct event_id) as n, count(distinct user_id) as users from events")
 def stream_dedup(spark, d):
-    """ST11: repeated events dropped within the watermark."""
-    s = progress.distinct_events(progress.read_events(spark, f"{d}/events.parquet"), "event_id", delay="40 days")
+    """ST11: events that a later file repeats, dropped within the watermark."""
+    s = progress.distinct_events(progress.read_events(spark, P.event_files(spark, d)), "event_id", delay="40 days")
     return progress.run_once(s, "append").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
@@ -790,10 +825,13 @@ def report_names(spark, d):
 
 @query()
 def export_report_rows(spark, d):
-    """SNK5, SNK6: a JSON report per document with its flags and sentences."""
+    """SNK5, SNK6, AG12: a JSON report per document: flags, sentences, tone, and the passages that changed."""
     docs = P.table(spark, d, "documents").select("doc_id", "source", "lang")
     every = sentences.sentences(P.table(spark, d, "documents"), "doc_id")
-    return report.assemble(docs, {"flags": _flags(spark, d), "sentences": every}, "doc_id")
+    tone = sentiment.tally(models.classify(every), "doc_id")
+    versions = _versions(spark, d)
+    changed = redline.redline(versions, "doc_id").join(versions, "doc_id").select("doc_id", "summary", report.shown_passages(F.transform("added", lambda r: F.substring(F.col("current_text"), r["start"] + 1, r["end"] - r["start"]))).alias("added"))
+    return report.assemble(docs, {"flags": _flags(spark, d), "sentences": every, "sentiment": tone, "redline": changed}, "doc_id")
 
 
 # ── further operators ────────────────────────────────────────────────────────
@@ -818,12 +856,9 @@ def document_capabilities(spark, d):
 @query("select conv_id, case when length(b) >= 200 then b else a end as text from (select conv_id, max(case when turn = 0 then text end) as a, arg_max(text, struct_pack(l := length(text), t := turn)) filter (turn > 0) as b from conversations group by conv_id) where coalesce(length(b), 0) >= 200 or a is not null")
 def longest_frames(spark, d):
     """SRC3, AG20: the first turn stands for the top document, the others for its frames."""
-    c = P.table(spark, d, "conversations")
-    frames = c.withColumn("is_top", F.col("turn") == 0)
+    frames = P.table(spark, d, "conversations").withColumn("is_top", F.col("turn") == 0)
     # of equally long frames the last counts, in both engines
-    inner = F.max_by("text", F.when(~F.col("is_top"), F.struct(F.length("text"), "turn")))
-    out = frames.groupBy("conv_id").agg(inner.alias("b"), F.max(F.when(F.col("is_top"), F.col("text"))).alias("a"))
-    return out.select("conv_id", F.when(F.length("b") >= 200, F.col("b")).otherwise(F.col("a")).alias("text")).where("text is not null")
+    return html.longest_frame(frames, "conv_id", least=200, order="turn").where("text is not null")
 
 
 @query("with r as (select o_custkey, o_orderkey from orders where o_orderkey % 3 <> 0), x as (select distinct o_custkey from r) select o_custkey, o_orderkey from r union all select o.o_custkey, o.o_orderkey from orders o where o.o_orderkey % 3 = 0 and o.o_custkey not in (select o_custkey from x)")
@@ -938,7 +973,7 @@ def page_ingest(spark, d):
 @query()
 def finalised_insights(spark, d):
     """CMP12: statements through all guards against their own conversation."""
-    st = P.statements(spark, d, whole=True).select("conv_id", "sent_idx", F.lit("A title").alias("title"), F.col("sentence").alias("summary"), F.lit("Investors should buy. It matters.").alias("why"), F.lit("").alias("meaning"), F.lit("High").alias("confidence"))
+    st = P.statements(spark, d).select("conv_id", "sent_idx", F.lit("A title").alias("title"), F.col("sentence").alias("summary"), F.lit("Investors should buy. It matters.").alias("why"), F.lit("").alias("meaning"), F.lit("High").alias("confidence"))
     src = P.table(spark, d, "conversations").select("conv_id", F.concat("text", F.lit(" 12%")).alias("text"))
     return evidence.finalise(st, src, "conv_id").select("conv_id", "sent_idx", "summary", "why", "confidence")
 
@@ -946,7 +981,7 @@ def finalised_insights(spark, d):
 @query()
 def deterministic_analysis(spark, d):
     """CMP11, CMP16, AG17: the analysis of conversations as filings."""
-    st = P.statements(spark, d, whole=True)
+    st = P.statements(spark, d)
     docs = st.select("conv_id").distinct().select("conv_id", F.lit("Acme").alias("company"), F.lit("10-K").alias("form"))
     sents = models.classify(st).select("conv_id", "label")
     fl = flags.flag(P.table(spark, d, "conversations"), flags.lexicon(spark), "conv_id")
@@ -955,8 +990,208 @@ def deterministic_analysis(spark, d):
     return analysis.analyse(docs, st, sents, fl, red, fx, "conv_id")
 
 
-@query()
+@query("select user_id, count(*) as n, round(list_reduce(list(value order by ts, event_id), lambda m, v: m * 0.7 + v * 0.3), 6) as mean from events group by user_id")
 def running_means(spark, d):
     """ST2, WIN8: exponential means kept as state over micro-batches."""
-    s = progress.running_means(progress.read_events(spark, f"{d}/events.parquet"), "user_id")
+    s = progress.running_means(progress.read_events(spark, P.event_files(spark, d, again=0)), "user_id", order=("ts", "event_id"))
     return progress.run_once(s, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("mean", "n"), 6).alias("mean"))
+
+
+# ── composites and what belongs to them ──────────────────────────────────────
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%B %-d, %Y') as long, strftime(o_orderdate, '%b %-d, %Y') as short from orders union all select * from (values (-1, '', ''), (-2, 'soon', 'soon'))")
+def calendar_dates(spark, d):
+    """DAT2: dates for display, whatever the time zone."""
+    few = spark.createDataFrame([(-1, None), (-2, "soon")], "o_orderkey bigint, iso string")
+    rows = P.table(spark, d, "orders").select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T23:59:59Z")).alias("iso")).unionByName(few)
+    return rows.select("o_orderkey", T.calendar_date(F.col("iso")).alias("long"), T.calendar_date(F.col("iso"), short=True).alias("short"))
+
+
+@query(r"""with c as (select doc_id, [trim(regexp_replace(x, '\s+', ' ', 'g')) for x in string_split(text, chr(10))[1:6]] as flat, [trim(regexp_replace(x, '\s+', ' ', 'g')) for x in string_split(text, chr(10))[1:4]] as few from documents)
+    select doc_id, array_to_string([case when length(x) > 220 then substr(x, 1, 220) || '…' else x end for x in flat], '|') as shown, array_to_string([case when length(x) > 280 then substr(x, 1, 280) || '…' else x end for x in few], '|') as prompted from c""")
+def display_limits(spark, d):
+    """ORD8: six passages of 220 characters on display, four of 280 in a prompt."""
+    lines = F.split("text", "\n")
+    shown, prompted = report.shown_passages(lines), report.shown_passages(lines, report.SNIPPETS, report.SNIPPET_CHARS)
+    return P.table(spark, d, "documents").select("doc_id", F.array_join(shown, "|").alias("shown"), F.array_join(prompted, "|").alias("prompted"))
+
+
+@query("select event_id, lead(event_id) over (partition by user_id, event_type order by ts, event_id) is not null as aborted, lead(ts) over (partition by user_id, event_type order by ts, event_id) as aborted_at from events")
+def last_in_flight(spark, d):
+    """ST9: of the runs of a key only the newest isn't aborted."""
+    ev = P.table(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
+    return cache.last_in_flight(ev, "user_id", "event_type", tie="event_id").select("event_id", "aborted", "aborted_at")
+
+
+@query("with c as (select * from events where event_type = 'view' and event_id % 2 = 0), k as (select distinct user_id from c) select event_id, true as replayed from c union all select event_id, false from events where event_type = 'click' and user_id not in (select user_id from k)")
+def cached_replay(spark, d):
+    """ST10: events of users in the cache are replayed, those of others come live."""
+    ev = P.table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return cache.replay(ev.where("event_type = 'view' and event_id % 2 = 0"), ev.where("event_type = 'click'"), "user_id").select("event_id", "replayed")
+
+
+@query(f"with {_FLAGS}, m as (select max(doc_id) as doc_id from documents) select m.doc_id, 0::bigint as others, coalesce((select count(*) from flags f where f.doc_id = m.doc_id), 0) as n_flags, 0::bigint as after_clearing from m")
+def session_store(spark, d):
+    """SNK3, SNK4, SRC14: a document opened evicts all others; read back with its flags; then every cache is cleared."""
+    docs = P.table(spark, d, "documents").select("doc_id", "text")
+    opened = docs.join(F.broadcast(docs.agg(F.max("doc_id").alias("doc_id"))), "doc_id", "left_semi")
+    store = cache.session_of(docs, opened, "doc_id")
+    read = cache.read_session(store, _flags(spark, d).select("doc_id", "type", "start", "end"), "doc_id")
+    (cleared,) = cache.drop_all(store)
+    counts = read.select("doc_id", F.size("flags").cast("bigint").alias("n_flags"))
+    others = store.agg((F.count("*") - 1).alias("others"))
+    return counts.join(F.broadcast(others), F.lit(True)).join(F.broadcast(cleared.agg(F.count("*").alias("after_clearing"))), F.lit(True)).select("doc_id", "others", "n_flags", "after_clearing")
+
+
+_URGENT = "select o_custkey as c, o_orderkey as k, strftime(o_orderdate, '%Y-%m-%d') as d, o_orderkey % 3 <> 0 as recent from orders where o_orderpriority = '1-URGENT'"
+_CHOSEN = """select q.c, coalesce(max(struct_pack(d := o.d, k := o.k)) filter (o.d < q.period).k, case when q.period is not null then list_sort(list(o.k) filter (o.d = q.period), 'DESC')[2] end, case when q.period is null then list_sort(list(struct_pack(d := o.d, k := o.k)), 'DESC')[2].k end) as k
+    from q join o on o.c = q.c where {} group by q.c, q.period"""
+
+
+@query(f"""with o as ({_URGENT}), q as (select o_custkey as c, case when o_custkey % 2 = 0 then max(strftime(o_orderdate, '%Y-%m-%d')) end as period from orders group by 1),
+    a as ({_CHOSEN.format('o.recent')}), first as (select * from a where k is not null), b as ({_CHOSEN.format('q.c not in (select c from first)')})
+    select c as o_custkey, k::varchar as accession, 'https://www.sec.gov/Archives/edgar/data/' || c || '/' || k || '/doc.htm' as url from (select * from first union all select * from b where k is not null)""")
+def resolved_priors(spark, d):
+    """CMP15, SRC10, STR19: priors by period, in words or unknown, from recent filings, else with those of the continuation."""
+    o = P.table(spark, d, "orders")
+    rows = o.select("o_custkey", F.format_string("%012d", "o_orderkey").alias("accession"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("report_date"), F.lit("").alias("filing_date"), F.col("o_orderpriority").alias("form"), F.lit("doc.htm").alias("document"), (F.col("o_orderkey") % 3 != 0).alias("recent"))
+    asked = o.groupBy("o_custkey").agg(F.max("o_orderdate").alias("day")).select("o_custkey", F.lit("1-URGENT").alias("wanted_form"), F.when(F.col("o_custkey") % 2 == 0, F.date_format("day", "MMMM d, yyyy")).otherwise("unknown").alias("period"))
+    found = composites.resolve_priors(asked, rows.where("recent").drop("recent"), rows.where("not recent").drop("recent"), "o_custkey", cik="o_custkey")
+    plain = F.regexp_replace("accession", "^0+(?=.)", "")
+    return found.select("o_custkey", plain.alias("accession"), F.regexp_replace("url", "/0+([0-9]+/doc)", "/$1").alias("url"))
+
+
+@query()
+def filing_comparison(spark, d):
+    """CMP8, SET7, JN2, JN3: turns as sections against versions with edited, dropped and renamed ones, section by section."""
+    turns = P.table(spark, d, "conversations")
+    ids = F.array(*[F.lit(x) for x in ("item_7_mdna", "item_1a_risk_factors", "item_2_properties", "item_7a_market_risk")])
+    now = turns.groupBy("conv_id", (F.col("turn") % 4).cast("int").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    now = now.select("conv_id", F.get(ids, F.col("ord")).alias("section_id"), "ord", "text")
+    renamed = F.when((F.col("conv_id") % 4 == 1) & (F.col("ord") == 0), "item_99_other").otherwise(F.col("section_id"))
+    was = now.where("ord <> 1 or conv_id % 3 <> 0").withColumn("section_id", renamed).withColumn("text", F.regexp_replace("text", r"(\w+)\. ", "$1 indeed. "))
+    told = redline.compare_filings(now, was, "conv_id")
+    return told.select("conv_id", "section_id", "status", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), F.round("magnitude", 6).alias("magnitude"), "summary")
+
+
+@query()
+def semantic_excerpts(spark, d):
+    """CMP10, ORD6: excerpts ranked by words and by meaning."""
+    return composites.semantic_excerpts(P.statements(spark, d), ["revenue", "risk"], 1500, "conv_id").select("conv_id", F.sha2("excerpt", 256).alias("excerpt_sha256"), "used")
+
+
+def card_model(prompt: str) -> str | None:
+    """A stand-in for a generative model: no answer for some prompts, else a card about the prompt's first statement."""
+    import json
+
+    stage, _, body = prompt.partition("\n")
+    if len(body) % 4 == 0:
+        return None
+    first = body.split(". ")[0][:200]
+    return "```json\n" + json.dumps([{"title": "", "summary": first, "why": "Investors should buy. It matters 99,999.", "label": "Odd", "severity": "High", "confidence": "High", "evidence": first[:30]}]) + "\n```"
+
+
+@query()
+def staged_analysis(spark, d):
+    """CMP14, CMP12, MDL3, MDL4, JSN1: a model's cards over the deterministic floor."""
+    st = P.statements(spark, d)
+    cards, docs = composites.staged_analysis(st, analysis.dimension_cards(st, 2, "conv_id"), "conv_id", model=card_model)
+    return cards.join(docs.select("conv_id", "degraded"), "conv_id").select("conv_id", "stage", "pos", "category", "title", "confidence", "source", "degraded")
+
+
+@query()
+def section_summaries(spark, d):
+    """CMP17, JN12, SNK1: cached summaries, a model's notes, and extracts where it has none."""
+    sections = segment.item_sections(P.filings(spark, d), "conv_id").select("conv_id", "section_id", "text")
+    anchors = F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("end")))
+    store = sections.where("conv_id % 5 = 0").select("conv_id", "section_id", F.lit("extractive").alias("register"), F.lit("cached").alias("summary"), anchors.alias("anchors"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    told, _ = composites.summarise(sections, store, "builtin", "conv_id", "section_id", model=card_model)
+    return told.select("conv_id", "section_id", "register", F.sha2("summary", 256).alias("summary_sha256"), "from_cache")
+
+
+@query()
+def insight_notes(spark, d):
+    """STR30: why statements matter and what they mean."""
+    st = P.statements(spark, d).select("conv_id", "sent_idx", "sentence", F.explode(relevance.dimensions(F.col("sentence"))).alias("dim"))
+    numeric = F.col("sentence").rlike(relevance.NUMERIC)
+    return st.select("conv_id", "sent_idx", "dim", insights.why_it_matters(F.col("sentence"), F.col("dim")).alias("why"), insights.what_it_means(F.col("sentence"), numeric, F.lit(3), F.lit(0.2), F.lit("Bullish")).alias("meaning"))
+
+
+@query(f"""with {_FLAGS}, k as (select doc_id, type, count(*) as n from flags group by 1, 2), f as (select doc_id, string_agg(replace(type, '_', ' ') || ' ' || n, ', ' order by n desc, type) as flagged from k group by 1)
+    select doc_id, 'Facts: Revenue $' || doc_id || 'M' || coalesce(chr(10) || 'Flags: ' || flagged, '') as hints from documents left join f using (doc_id)""")
+def analysis_hints(spark, d):
+    """CMP16: what is known without a model, as hints."""
+    docs = P.table(spark, d, "documents").select("doc_id")
+    types = _flags(spark, d).groupBy("doc_id", "type").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("type", "n")).alias("types"))
+    nothing = F.lit(0).cast("bigint")
+    rows = docs.join(types, "doc_id", "left").withColumn("types", F.coalesce("types", F.array().cast("array<struct<type:string,n:bigint>>")))
+    head = F.concat(F.lit("Revenue $"), F.col("doc_id").cast("string"), F.lit("M"))
+    return rows.select("doc_id", analysis.hints(head, nothing, nothing, nothing, F.col("types"), F.array().cast("array<string>")).alias("hints"))
+
+
+@query("with o as (select event_id as id, 400 + event_id % 700 as first, (event_id % 11 + 1) * 900 as later from events) select id as event_id, (case when first >= 750 and later >= 500 then 500 when later + 500 <= 8000 then later + 500 else 8000 end)::bigint as ready_ms, (first >= 750 and later >= 500) or later + 500 <= 8000 as settled from o")
+def ready_pages(spark, d):
+    """SRC15: when a growing page may be read: enough text, at rest, or after the longest wait."""
+    ev = P.table(spark, d, "events").select("event_id", (F.col("event_id") % 700 + 400).alias("first"), ((F.col("event_id") % 11 + 1) * 900).alias("later"))
+    seen = F.array(F.struct(F.lit(0).cast("bigint").alias("ms"), F.col("first").alias("size")), F.struct(F.col("later").alias("ms"), (F.col("first") + 5000).alias("size")))
+    return progress.ready_at(ev.select("event_id", F.explode(seen).alias("s")).select("event_id", "s.ms", "s.size"), "event_id")
+
+
+@query(r"""select doc_id, trim(regexp_replace(translate(text, '‘’“”–—•' || chr(160), '''''""--* '), '\s+', ' ', 'g')) as plain, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as shown from (select doc_id, text, string_split(text, chr(10))[1] as line from documents)""")
+def report_texts(spark, d):
+    """STR22, STR31: plain text for reports, and a text that stands in HTML as it is."""
+    docs = P.table(spark, d, "documents")
+    return docs.select("doc_id", T.report_text(F.col("text")).alias("plain"), report.escaped(F.split("text", "\n")[0]).alias("shown"))
+
+
+@query("select conv_id, turn, case when turn % 3 = 0 then 'true:point ' || turn || '|false:' || role when turn % 3 = 1 then 'true:' || substr(text, 3, 5) else 'false:note' end as items from conversations where length(text) >= 7")
+def summary_items(spark, d):
+    """STR23, SNK6: cached summaries as items of a report: notes without their marks, passages, plain notes."""
+    c = P.table(spark, d, "conversations").where("length(text) >= 7")
+    third = F.col("turn") % 3
+    note = F.when(third == 0, F.concat(F.lit("  - **point "), F.col("turn").cast("string"), F.lit("**\n\n"), F.col("role"))).when(third == 2, "note").otherwise("")
+    anchors = F.when(third == 1, F.array(F.struct(F.lit(2).alias("start"), F.lit(7).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    items = report.summary_items(F.when(third == 0, "builtin").otherwise("extractive"), note, anchors, F.col("text"))
+    return c.select("conv_id", "turn", F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["bullet"].cast("string"), x["text"])), "|").alias("items"))
+
+
+@query("select o_custkey, 'https://data.sec.gov/submissions/CIK' || lpad(o_custkey::varchar, 10, '0') || '.json' as url, 'https://data.sec.gov/submissions/CIK' || lpad(o_custkey::varchar, 10, '0') || '-submissions-001.json' as older from (select distinct o_custkey from orders)")
+def submission_addresses(spark, d):
+    """STR19, SRC9, SRC10: where a company's submissions and their continuation are."""
+    rows = P.table(spark, d, "orders").select("o_custkey").distinct()
+    name = F.concat(F.lit("CIK"), classify.padded_cik(F.col("o_custkey")), F.lit("-submissions-001.json"))
+    return rows.select("o_custkey", classify.submissions_url(F.col("o_custkey")).alias("url"), composites.continuation_url(name).alias("older"))
+
+
+@query("""with m as (select user_id, 2020 + event_id % 3 as y from events union all select user_id, 2020 + user_id % 4 from events), c as (select user_id, y, count(*) as n from m group by 1, 2), k as (select *, row_number() over (partition by user_id order by n desc, y) as r, coalesce(lead(n) over (partition by user_id order by n desc, y), 0) as nx from c)
+    select user_id, y::int as year, n from k where r = 1 and n >= 3 and n >= 2 * nx""")
+def fiscal_years_of_texts(spark, d):
+    """AG14, FLT26: the year that the texts of a user name most."""
+    said = F.concat(F.lit("Fiscal "), (F.col("event_id") % 3 + 2020).cast("string"), F.lit(", fiscal years "), (F.col("user_id") % 4 + 2020).cast("string"), F.lit(" and FY2021"))
+    named = P.table(spark, d, "events").select("user_id", F.explode(facts.year_mentions(said)).alias("year"))
+    return facts.dominant_year(named, "user_id")
+
+
+@query(f"with {_FLAGS}, {_SENT_A}, b as (select doc_id, s_start as lo, s_end as hi from sent where sent_idx = 0) select f.doc_id, type, term, f_start + 10 as f_start from flags f left join b using (doc_id) where lo is null or f_start < lo or f_start >= hi")
+def flags_outside_tables(spark, d):
+    """FLT13, ARR2: flags lifted by an offset, without those that begin in a table range (the first sentence of each document)."""
+    docs = P.table(spark, d, "documents")
+    first = F.get(T.sentence_spans(F.col("text")), F.lit(0))
+    ranged = docs.withColumn("at", F.lit(10)).withColumn("tables", F.when(first.isNotNull(), F.array(F.struct((first["start"] + 10).alias("s"), (first["end"] + 10).alias("e")))))
+    return flags.flag(ranged, flags.lexicon(spark), "doc_id", offset="at", tables="tables").select("doc_id", "type", "term", F.col("start").alias("f_start"))
+
+
+@query(r"select doc_id, lower(term) as term, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '(?i)\bund\b')) as term from documents) group by 1, 2")
+def own_terms(spark, d):
+    """SET4, MDL5: a user's own term on top of the lexicon."""
+    terms = flags.lexicon(spark, [("own", "und", "a word of the user's", False)])
+    found = flags.flag(P.table(spark, d, "documents"), terms, "doc_id").where("type = 'own'")
+    return found.groupBy("doc_id", F.lower("term").alias("term")).agg(F.count("*").alias("n"))
+
+
+@query()
+def form_keywords(spark, d):
+    """FLT19: a form's own words on top of those of the dimensions, over whole turns."""
+    st = P.statements(spark, d).withColumn("form", F.when(F.col("conv_id") % 2 == 0, "S-1").otherwise("10-K")).withColumn("sentence", F.concat("sentence", F.lit(" use of proceeds")))
+    return st.select("conv_id", "sent_idx", F.array_join(relevance.dimensions(F.col("sentence"), F.col("form")), ",").alias("dims"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,6 +23,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); in our own only where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="quire-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        root = _OWN[app]
+    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}/{name}"
+
+
+def written(df, name: str):
+    """The rows as a table in the shared folder: what a model or a fold made is not made again by later actions."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("quire")

@@ -197,9 +197,10 @@ def facts_of(inline: DataFrame, *keys: str) -> DataFrame:
     return inline.select(*keys, "seq", "concept", "period_end", days.alias("duration"), fact_value(F.col("raw"), F.col("scale"), F.col("sign")).alias("value"), F.nullif(code, F.lit("")).alias("currency"), "dimensional")
 
 
-def longest_frame(frames: DataFrame, *keys: str, text: str = "text", least: int = LEAST_FRAME, top: str = "is_top") -> DataFrame:
+def longest_frame(frames: DataFrame, *keys: str, text: str = "text", least: int = LEAST_FRAME, top: str = "is_top", order: str | None = None) -> DataFrame:
     """(keys, text): of each page the frame with the longest text, if that has ``least`` characters; else the top document."""
     from pyspark.sql import functions as F
 
-    inner = F.max_by(text, F.when(~F.col(top), F.length(text)))
+    size = F.length(text) if order is None else F.struct(F.length(text), order)  # of equally long frames the last in an order
+    inner = F.max_by(text, F.when(~F.col(top), size))
     return frames.groupBy(*keys).agg(inner.alias("_inner"), F.max_by(text, F.when(F.col(top), F.length(text))).alias("_top")).select(*keys, F.when(F.length("_inner") >= least, F.col("_inner")).otherwise(F.col("_top")).alias("text"))

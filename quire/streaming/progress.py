@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.session import shared_folder
 
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events of a folder or file as a stream with a proper timestamp."""
-    import os
 
-    schema = spark.read.parquet(path).schema
-    folder, name = os.path.split(path.rstrip("/"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(folder)
+def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """The events of a folder of Parquet files as a stream with a proper timestamp, so many new files to a micro-batch."""
+    schema = spark.read.parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -32,16 +31,24 @@ def distinct_events(events: DataFrame, *keys: str, delay: str = "1 hour") -> Dat
 
 
 def run_once(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there by now, as a batch table, through the incremental plan."""
-    import uuid
+    """Everything that is there by now, as a batch table, through the incremental plan.
 
+    Each micro-batch is written to a table in the shared folder, under its number, so one that runs twice leaves the same;
+    the state lies beside them.  In complete mode the last batch is the result, else all of them are.
+    """
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return spark.table(name)
+    root = checkpoint or shared_folder(spark, "stream")
+    seen: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batches/{batch_id}")
+        seen.append(batch_id)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    wanted = sorted(set(seen))[-1:] if mode == "complete" else sorted(set(seen))
+    if not wanted:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{root}/batches/{k}" for k in wanted])
 
 
 def upsert_batches(stream: DataFrame, merge, checkpoint: str):
@@ -49,19 +56,37 @@ def upsert_batches(stream: DataFrame, merge, checkpoint: str):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_means(events: DataFrame, key: str, value: str = "value", keep: float = 0.7) -> DataFrame:
-    """(key, n, mean): an exponential mean per key, kept as state over micro-batches; rows in order of ts within a batch."""
+def running_means(events: DataFrame, key: str, value: str = "value", keep: float = 0.7, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """(key, n, mean): an exponential mean per key, kept as state over micro-batches; rows of a batch in the order given."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(k, frames, state: GroupState):
         n, mean = state.get if state.exists else (0, 0.0)
-        for f in frames:
-            for v in f.sort_values("ts")[value]:
-                mean = v if n == 0 else mean * keep + v * (1 - keep)
-                n += 1
+        rows = pd.concat(list(frames))  # of one key in one micro-batch, which maxFilesPerTrigger bounds
+        for v in rows.sort_values(list(order))[value]:
+            mean = v if n == 0 else mean * keep + v * (1 - keep)
+            n += 1
         state.update((n, mean))
         yield pd.DataFrame({key: [k[0]], "n": [n], "mean": [mean]})
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, n bigint, mean double", "n bigint, mean double", "update", GroupStateTimeout.NoTimeout)
+
+
+#: Characters that a page must have, growth that counts, how long it must rest, and how long it is waited for (fixed values).
+READY_CHARS, GROWTH, REST_MS, WAIT_MS = 750, 32, 500, 8_000
+
+
+def ready_at(sizes: DataFrame, *keys: str, ms: str = "ms", size: str = "size") -> DataFrame:
+    """(keys, ready_ms, settled): when a page may be read, from observations of its text's length since it was opened (ms 0).
+
+    It is settled once it has READY_CHARS and has not grown by more than GROWTH for REST_MS; else it is read as it is
+    after WAIT_MS.
+    """
+    w = Window.partitionBy(*keys).orderBy(ms)
+    grown = sizes.withColumn("_was", F.lag(size).over(w)).where(F.col("_was").isNull() | (F.abs(F.col(size) - F.col("_was")) > GROWTH))
+    rest = grown.withColumn("_next", F.lead(ms).over(w)).where((F.col(size) >= READY_CHARS) & (F.coalesce("_next", F.lit(1 << 60)) - F.col(ms) >= REST_MS))
+    first = rest.groupBy(*keys).agg(F.min(F.col(ms) + REST_MS).alias("_at"))
+    settled = F.coalesce(F.col("_at") <= WAIT_MS, F.lit(False))
+    return sizes.select(*keys).distinct().join(first, list(keys), "left").select(*keys, F.when(settled, F.col("_at")).otherwise(WAIT_MS).cast("bigint").alias("ready_ms"), settled.alias("settled"))
