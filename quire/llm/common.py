@@ -12,7 +12,6 @@ import gc
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,13 +64,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
@@ -93,10 +85,14 @@ def slices_by_size(sizes: list[int], most: int):
         yield start, len(sizes)
 
 
-def row_order_key(*names: str):
-    """A hash of a row's columns, the same wherever and whenever it is computed."""
-    return F.xxhash64(*[F.col(n) for n in names])
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def popcount64(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def wrapped(docs: DataFrame, **keys) -> DataFrame:
+    """Rows as a struct ``doc`` beside key columns, so that joins meet no other names; ``doc.*`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[v.alias(k) for k, v in keys.items()])
