@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators.sentences import outside_tables
 from quire.plans.registry import FORM_KEYWORDS, KEYWORDS, PRIORITY, bounded, keywords
 
+# Fixed value: what counts as a figure.
 NUMERIC = r"\$\s?[\d,.]+|\d+(?:\.\d+)?\s?%|(?<![A-Za-z0-9_])\d{2,}(?![A-Za-z0-9_])"
 CANDIDATES = 200
 

@@ -9,6 +9,7 @@ from quire.plans.registry import ITEM_FORMS, TITLES, items
 
 #: A header is in a table of contents if so many item numbers start within so many characters of it.
 CLUSTER_REACH, CLUSTER_KEYS = 2000, 3
+# An item header, and wording that points elsewhere.
 ITEM_HEADER = r"(?i)(^|\n)(\s{0,4})(ITEM\s+(\d+(?:[A-Z]|\.\d{2}|\.[A-Z])?)\s*[.:\-–—]?\s+[^\n]{2,100})"
 BY_REFERENCE = r"(?i)incorporat\w*\s+(?:herein\s+)?by reference"
 POINTER = r"(?i)\b(?:appears|set forth|included|contained)\b[^.]{0,80}\b(?:on pages?|under the heading|as exhibit|in exhibit|in (?:the|its) annual report)"
