@@ -14,6 +14,8 @@ from quire.operators import classify, segment
 # Capabilities of a document, and the sections that are summarised first.
 CAPABILITIES = ["summary", "analyst", "sentiment", "changes"]
 SUMMARISED_FIRST = ["item_7_mdna", "item_7a", "item_1a_risk", "item_1_business", "part_ii_item_7", "part_i_item_1a", "part_i_item_1"]
+#: Categories of pages that are cut at their headings instead of at items.
+READABLE = ("ir_or_financial", "sec_data_report", "sec_search")
 ORGANISATION = re.compile(r"Organization|Corporation|LocalBusiness", re.I)
 
 
@@ -93,7 +95,7 @@ def ingest(pages: DataFrame, *keys: str, url: str = "url", html: str = "html") -
 
     documents: keys, url, category, bucket, form, confidence, company, period, accession, text, tables, text_hash,
     segmentation, n_sections.  sections: keys, section_id, section_order, start, end, text.  Pages that are not
-    filings are read by their headings' count; a filing's sections come from its item headers.
+    filings are cut at their headings; a filing's sections come from its item headers.
     """
     from quire.sources.html import normalised
 
@@ -102,10 +104,15 @@ def ingest(pages: DataFrame, *keys: str, url: str = "url", html: str = "html") -
     form = classify.detect_form(dei_fact(F.col(html), "DocumentType"), F.col(url), F.col("text"))
     docs = found.select(
         *keys, F.col(url).alias("url"), classify.page_category(F.col(url), F.col(html)).alias("category"), form.alias("f"), company_name(F.col(html)).alias("company"),
-        iso_date(dei_fact(F.col(html), "DocumentPeriodEndDate")).alias("period"), classify.accession(F.col(url))["accession"].alias("accession"), "text", "tables", content_hash(F.col("text")).alias("text_hash"),
+        iso_date(dei_fact(F.col(html), "DocumentPeriodEndDate")).alias("period"), classify.accession(F.col(url))["accession"].alias("accession"), "text", "tables", content_hash(F.col("text")).alias("text_hash"), F.col(html).alias("_source"),
     )
     docs = docs.withColumn("bucket", classify.host_bucket(F.col("category"))).withColumn("form", F.col("f.form")).withColumn("confidence", F.col("f.confidence")).drop("f")
-    sections = segment.item_sections(docs, *keys)
+    # a page that is no filing is cut at its headings
+    readable = F.col("category").isin(*READABLE)
+    own = ["section_id", "section_order", "start", "end", "text"]
+    headed = segment.heading_texts(docs.where(readable), *keys, html="_source").join(docs.select(*keys, "form"), list(keys)).select(*keys, "form", *own)
+    sections = segment.item_sections(docs.where(~readable), *keys).unionByName(headed)
+    docs = docs.drop("_source")
     seg = segment.confidence(sections, *keys, count="n_sections")
     out = docs.join(seg, list(keys), "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0)))
     return out.withColumn("segmentation", F.coalesce("segmentation", F.lit("low"))), sections

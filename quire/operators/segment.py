@@ -125,3 +125,36 @@ def heading_sections(pages: DataFrame, *keys: str, html: str = "html") -> DataFr
     rows = pages.select(*keys, F.posexplode(F.filter(F.transform(heads, lambda h: F.trim(F.regexp_replace(F.regexp_replace(h, "<[^>]*>", ""), r"\s+", " "))), lambda x: F.length(x).between(1, 160))).alias("n", "raw"))
     base = slug(label)
     return rows.select(*keys, F.concat(F.lit("report_"), (F.col("n") + 1).cast("string"), F.lit("_"), F.when(base == "", "section").otherwise(base)).alias("section_id"), label.alias("label"), (F.col("n") + 1).alias("section_order"))
+
+
+#: Characters that make what precedes the first heading a section (fixed value).
+PREAMBLE = 40
+
+
+def heading_texts(docs: DataFrame, *keys: str, html: str = "html", text: str = "text") -> DataFrame:
+    """(keys, section_id, label, section_order, start, end, text): the text below each heading, up to the next one.
+
+    Headings are looked for in the normalised text one after the other, each behind the one before; what precedes the
+    first is a preamble if it has ``PREAMBLE`` characters.  Sections without text are left out, and a document without
+    headings is one section.
+    """
+    from quire.functions.text import slug
+
+    heads = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<h[123]\b[^>]*>(.*?)</h[123]>"), F.lit(1))
+    labels = F.filter(F.transform(heads, lambda h: F.trim(F.regexp_replace(F.regexp_replace(h, "<[^>]*>", ""), r"\s+", " "))), lambda x: F.length(x).between(1, 160))
+    held = "array<struct<label:string,head:int,start:int>>"
+    # acc.at: behind the last heading found; a label is looked for as a line of its own, and passed over if there is none
+    place = "locate(concat('\\n', x, '\\n'), concat('\\n', _t, '\\n'), acc.at + 1)"
+    fold = f"""aggregate(_l, struct(0 as at, cast(array() as {held}) as out), (acc, x) -> if({place} > 0,
+        struct({place} - 1 + length(x) as at, concat(acc.out, array(named_struct('label', x, 'head', {place} - 1, 'start', {place} - 1 + length(x)))) as out), acc), acc -> acc.out)"""
+    placed = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_t"), labels.alias("_l")).withColumn("_h", F.expr(fold))
+    opening = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(0).alias("head"), F.lit(0).alias("start")))
+    rows = placed.withColumn("_all", F.concat(opening.cast(held), "_h"))
+    each = rows.select(*keys, "_t", "_h", "_all", F.posexplode("_all").alias("section_order", "h"))
+    end = F.coalesce(F.get("_all", F.col("section_order") + 1)["head"], F.length("_t"))
+    cut = each.select(*keys, "_h", "section_order", "h.label", F.col("h.start").alias("start"), end.alias("end"), F.regexp_replace(F.substring(F.col("_t"), F.col("h.start") + 1, end - F.col("h.start")), r"^\s+|\s+$", "").alias("text"))
+    opens, alone = F.col("section_order") == 0, F.size("_h") == 0
+    kept = cut.where((F.col("text") != "") & (~opens | alone | (F.length("text") >= PREAMBLE)))
+    base = slug(F.col("label"))
+    name = F.when(alone, "document_body").when(opens, "report_0_preamble").otherwise(F.concat(F.lit("report_"), F.col("section_order").cast("string"), F.lit("_"), F.when(base == "", "section").otherwise(base)))
+    return kept.select(*keys, name.alias("section_id"), F.coalesce("label", F.lit("Preamble")).alias("label"), "section_order", "start", "end", "text")

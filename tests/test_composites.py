@@ -252,3 +252,17 @@ def test_files(spark, tmp_path):
 def test_vectors_of_a_comparison():
     sim = redline.cosines(lambda texts: [[1.0, 0.0] if "a" in t else [0.0, 1.0] for t in texts])
     assert np.allclose(sim(["a", "b"], ["a"]), [[1.0], [0.0]])
+
+
+def test_sections_by_headings(spark):
+    from quire.operators import segment
+
+    page = "<p>Opening words that are long enough to count as one.</p><h1>About <b>us</b></h1><p>We are a company.</p><h2>!</h2><h2>News</h2><p>About us: news.</p><h3>About us</h3>"
+    text = "Opening words that are long enough to count as one.\n\nAbout us\n\nWe are a company.\n\n!\n\nNews\n\nAbout us: news.\n\nAbout us"
+    docs = spark.createDataFrame([(1, page, text), (2, "<p>plain</p>", "plain"), (3, "", None), (4, "<p>short</p><h1>T</h1><p>body</p>", "short\n\nT\n\nbody")], "doc int, html string, text string")
+    got = sorted((r.doc, r.section_order, r.section_id, r.label, r.text) for r in segment.heading_texts(docs, "doc").collect())
+    assert got == [
+        (1, 0, "report_0_preamble", "Preamble", "Opening words that are long enough to count as one."), (1, 1, "report_1_about_us", "About us", "We are a company."), (1, 3, "report_3_news", "News", "About us: news."),
+        (2, 0, "document_body", "Preamble", "plain"), (4, 1, "report_1_t", "T", "body"),
+    ]
+    assert all(r.text in (text, "plain", "short\n\nT\n\nbody")[{1: 0, 2: 1, 4: 2}[r.doc]][r.start : r.end] for r in segment.heading_texts(docs, "doc").collect())
