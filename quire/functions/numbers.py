@@ -29,14 +29,36 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))
 
 
-def money(value: Column, prefix: str = "$") -> Column:
+#: Steps of compact numbers, and signs of currencies (fixed values).
+STEPS = [(1e12, "T", 2), (1e9, "B", 2), (1e6, "M", 1), (1e3, "K", 1)]
+SIGNS = {"USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "CNY": "CN¥"}
+
+
+def compact(size: Column, digits: int) -> Column:
+    """A size without its sign as ``1.25B``, ``3.4M``; below a thousand with so many digits."""
+    plain = F.format_string(f"%.{digits}f", size)
+    return F.coalesce(*[F.when(size >= least, F.concat(F.format_string(f"%.{n}f", size / least), F.lit(mark))) for least, mark, n in STEPS], plain)
+
+
+def currency_sign(code: Column) -> Column:
+    """What stands before an amount; dollars without a code, a code without a sign as it is."""
+    return F.coalesce(*[F.when(code == c, F.lit(sign)) for c, sign in SIGNS.items()], F.concat(code, F.lit(" ")), F.lit("$"))
+
+
+def money(value: Column, prefix: str | Column = "$") -> Column:
     """Compact amounts for reports: ``$1.25B``, ``$3.4M``."""
-    size = F.abs(value)
-    body = (
-        F.when(size >= 1e12, F.concat(F.format_string("%.2f", size / 1e12), F.lit("T")))
-        .when(size >= 1e9, F.concat(F.format_string("%.2f", size / 1e9), F.lit("B")))
-        .when(size >= 1e6, F.concat(F.format_string("%.1f", size / 1e6), F.lit("M")))
-        .when(size >= 1e3, F.concat(F.format_string("%.1f", size / 1e3), F.lit("K")))
-        .otherwise(F.format_string("%.2f", size))
-    )
-    return F.concat(F.when(value < 0, "-").otherwise(""), F.lit(prefix), body)
+    before = F.lit(prefix) if isinstance(prefix, str) else prefix
+    return F.concat(F.when(value < 0, "-").otherwise(""), before, compact(F.abs(value), 2))
+
+
+def value_text(value: Column, unit: Column, currency: Column) -> Column:
+    """A value as its unit wants it shown: an amount, one for each share, a number of shares, a share of one; else as it is."""
+    sign = currency_sign(currency)
+    return (
+        F.when(unit == "USD", money(value, sign)).when(unit == "USD/shares", F.concat(sign, F.format_string("%.2f", value)))
+        .when(unit == "shares", compact(F.abs(value), 0)).when(unit == "pure", F.format_string("%.1f%%", value * 100)).otherwise(value.cast("string"))
+    )
+
+
+def signed_percent(change: Column) -> Column:
+    return F.concat(F.when(change > 0, "+").otherwise(""), F.format_string("%.1f%%", change * 100))

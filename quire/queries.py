@@ -1195,3 +1195,15 @@ def form_keywords(spark, d):
     """FLT19: a form's own words on top of those of the dimensions, over whole turns."""
     st = P.statements(spark, d).withColumn("form", F.when(F.col("conv_id") % 2 == 0, "S-1").otherwise("10-K")).withColumn("sentence", F.concat("sentence", F.lit(" use of proceeds")))
     return st.select("conv_id", "sent_idx", F.array_join(relevance.dimensions(F.col("sentence"), F.col("form")), ",").alias("dims"))
+
+
+@query("""with v as (select o_orderkey, o_orderkey % 5 as u, case o_orderkey % 3 when 0 then (o_orderkey % 900) * 1e6 when 1 then (o_orderkey % 900) * 1e9 else -(o_orderkey % 900) * 1e3 end as x from orders),
+    c as (select *, case when abs(x) >= 1e12 then printf('%.2fT', abs(x) / 1e12) when abs(x) >= 1e9 then printf('%.2fB', abs(x) / 1e9) when abs(x) >= 1e6 then printf('%.1fM', abs(x) / 1e6) when abs(x) >= 1e3 then printf('%.1fK', abs(x) / 1e3) end as body from v)
+    select o_orderkey, case u when 0 then case when x < 0 then '-' else '' end || '$' || coalesce(body, printf('%.2f', abs(x))) when 1 then case when x < 0 then '-' else '' end || '€' || coalesce(body, printf('%.2f', abs(x))) when 2 then coalesce(body, printf('%.0f', abs(x))) when 3 then printf('CHF %.2f', x) else printf('%.1f%%', x * 100) end as shown, case when x > 0 then '+' else '' end || printf('%.1f%%', x * 100) as change from c""")
+def shown_values(spark, d):
+    """NUM5: amounts, shares, per-share values and percentages as they are shown."""
+    k = F.col("o_orderkey")
+    x = F.when(k % 3 == 0, (k % 900) * 1e6).when(k % 3 == 1, (k % 900) * 1e9).otherwise(-(k % 900) * 1e3)
+    unit = F.when(k % 5 < 2, "USD").when(k % 5 == 2, "shares").when(k % 5 == 3, "USD/shares").otherwise("pure")
+    currency = F.when(k % 5 == 1, "EUR").when(k % 5 == 3, "CHF")
+    return P.table(spark, d, "orders").select("o_orderkey", N.value_text(x, unit, currency).alias("shown"), N.signed_percent(x).alias("change"))
