@@ -113,7 +113,7 @@ def test_redline(spark):
     assert redline.matched_flags(list("abcbd"), list("abd")) == ([True, True, False, False, True], [True, True, True])
     rows = spark.createDataFrame([(1, a, b), (2, None, None)], "id int, current_text string, prior_text string")
     got = {r.id: r.summary for r in redline.redline(rows, "id").collect()}
-    assert got[2].startswith("No substantive") and got[1].startswith("1 addition, 1 removal, 1 reworded passage; ~")
+    assert got[2].startswith("The two versions say") and got[1].startswith("1 new sentence, 1 dropped sentence, 1 edited sentence; about ")
     pairs = spark.createDataFrame([(1, 0, 0, 0.9), (1, 0, 1, 0.8), (1, 1, 0, 0.85), (1, 1, 1, 0.1)], "d int, a int, r int, score double")
     assert sorted((p.a, p.r) for p in redline.greedy_pairs(pairs, "d").collect()) == [(0, 0), (1, 1)]
 
@@ -130,7 +130,7 @@ def test_evidence(spark):
 
 def test_insights(spark):
     assert one(spark, insights.compact_figure(F.col("t")), t="Sales of $50.3 billion") == "$50.3B"
-    assert one(spark, insights.topic_title(F.col("t"), F.lit("Margins")), t="The gross margin was 44% of sales.") == "Gross margin · 44%"
+    assert one(spark, insights.topic_title(F.col("t"), F.lit("Margins")), t="The gross margin was 44% of sales.") == "What sales leave · 44%"
     assert one(spark, insights.is_bad_title(F.lit("The gross margin was"), F.col("t")), t="The gross margin was 44%.")
     rows = spark.createDataFrame([(1, 0, "A", "x"), (1, 1, "a", "up 5% now"), (1, 2, "A", "y")], "d int, pos int, title string, summary string")
     assert [r.title for r in insights.unique_titles(rows, "d").orderBy("pos").collect()] == ["A", "a · 5%", "A (3)"]
