@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm.common import slices_by_size
+from quire.llm.common import slices_by_size, sparing
 
 #: The piece pattern of byte-level vocabularies of this family (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -172,4 +172,4 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = True, keep_text:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(sparing(run), f"doc_id {kind}, ids array<int>, decoded string, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

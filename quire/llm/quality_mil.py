@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices_by_size, utf8
+from quire.llm.common import give_back, slices_by_size, sparing, utf8
 
 PASSAGE_WORDS = 64
 #: Documented bounds of the training sample: this many labelled rows at most, those with the smallest hashes of doc_id, and
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Gat
                 yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], pa.array([int(q) for q in quality[s:e]], pa.int32())], ["x", "words", "sizes", "quality"])
 
     # at most train_rows ids and labels are broadcast, and as many rows of TRAIN_PASSAGES passages come back
-    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "quality").mapInArrow(run, "x binary, words binary, sizes binary, quality int").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "quality").mapInArrow(sparing(run), "x binary, words binary, sizes binary, quality int").collect()
     found = sorted({(bytes(r.x), bytes(r.words), bytes(r.sizes), r.quality) for r in found})  # the fit doesn't depend on the order of rows
     y = np.array([r[3] for r in found], float)
     if len(set(y.tolist())) < 2:
@@ -227,6 +227,8 @@ def score(docs: DataFrame, model: GatedAttention | float, name: str = "quality_s
             return pd.Series([model] * len(texts), dtype="float64")
         held = texts.tolist()
         parts = [model.score(passages([utf8(t) for t in held[s:e]])) for s, e in slices_by_size([len(t or "") for t in held], SLICE_BYTES)]
+        del held
+        give_back()
         return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
     return docs.withColumn(name, of(F.col("text")))

@@ -205,12 +205,3 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: in
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
-
-def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The rows of docs that name their component: one document of each group of near copies.
-
-    Of rows that repeat a doc_id one is kept.  Rows with a null doc_id stay, one of them, only where no
-    row of their component has an id.
-    """
-    heads = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, docs.doc_id.eqNullSafe(F.col("_head")), "left_semi").dropDuplicates(["doc_id"])

@@ -119,7 +119,7 @@ def test_simhash_components(docs, corpus, limit):
 
 def test_simhash_links_random_fingerprints(spark, empty):
     from quire.llm.components import connected_components
-    from quire.llm.simhash import allocate, fingerprint_links, keep_one, near_duplicates
+    from quire.llm.simhash import allocate, fingerprint_links, near_duplicates
 
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(30)]
@@ -135,7 +135,7 @@ def test_simhash_links_random_fingerprints(spark, empty):
         assert all(roots[a] == roots[b] for a, b in near)
         assert all(((x.u ^ x.v) & (2**64 - 1)).bit_count() <= 2 for x in links.collect())
     assert allocate([[0, 5, 9, 99], [0, 1, 20, 99]], 2)[1] == [1, 0] and allocate([[0, 1e9, 1e9, 1e9], [0, 1, 2, 3]], 2)[1] == [-1, 2]
-    assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
+    assert near_duplicates(empty).count() == 0
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -214,6 +214,11 @@ def test_secrets(spark, docs, corpus, empty):
     rows = [(i, f"x {copied} y", "en", f"s{i}", 1) for i in range(5)] + [(9, f"a {own} b", "en", "s1", 1), (10, None, None, None, None)]
     got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, DOCS)).withColumn("shown", redact(F.col("text"), F.filter("added", lambda x: x["kind"] == "live"))).collect()}
     assert all([s.kind for s in got[i].added] == ["example"] for i in range(5)) and got[0].shown == rows[0][1]
+    # who holds a value decides: one owner in many repositories, two in few, two in many, three
+    value = "token=Zx81kQp20Lm3"
+    for holders, kind in (([("a", str(k)) for k in range(9)], "live"), ([("a", "1"), ("b", "1")], "shared"), ([("a", str(k)) for k in range(4)] + [("b", "1")], "example"), ([("a", "1"), ("b", "1"), ("c", "1")], "example")):
+        held = spark.createDataFrame([(i, value, r, o, 0) for i, (o, r) in enumerate(holders * 2)], DOCS)
+        assert {secrets_of(r) for r in scan(held).collect()} == {((kind, 6, 18),)}
     assert [(s.kind, s.start, s.end) for s in got[9].added] == [("live", 8, 24)] and got[9].shown == "a token=[SECRET] b" and got[10].shown is None
 
 
@@ -248,12 +253,12 @@ def test_decontamination(spark, docs, corpus, empty):
     items = [(1, words(70, 1, 500)), (2, " ".join(w)), (3, "too short here"), (4, None), (5, ""), (6, words(12, 8, 900)), (7, "a b c d e f a b c d e f a b c d e f")]
     more = [
         (900, " ".join(["q"] * 9 + w + ["r"] * 9), "", "", 0), (901, " ".join(w[:30] + ["odd"] + w[31:]), "", "", 0), (902, " ".join(w[2:]), "", "", 0), (903, " ".join(w[:30]), "", "", 0),
-        (904, words(12, 8, 900).upper() + "!!", "", "", 0), (905, " ".join(w[:57] + ["x", "y", "z"]), "", "", 0), (906, "a b c d e f " * 5, "", "", 0),
+        (904, words(12, 8, 900).upper() + "!!", "", "", 0), (907, "it is Too short -- here, too short here", "", "", 0), (908, "too short", "", "", 0), (905, " ".join(w[:57] + ["x", "y", "z"]), "", "", 0), (906, "a b c d e f " * 5, "", "", 0),
     ]
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("length", F.lit("x"))
     both = docs.select(*DOCS.replace(",", "").split()[::2]).union(spark.createDataFrame(more, DOCS))
     got = {(r.doc_id, r.item_id): r.similarity for r in window_hits(both, bench).collect()}
-    want = brute_windows([*corpus, *more], items)
+    want = brute_windows([*corpus, *more], items) | {(907, 3): 1.0}  # an item without a shingle is found by its exact words
     assert set(got) == set(want) and len(want) >= 10
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     kept = Counter(r.doc_id for r in decontaminate(both, bench).collect())
@@ -261,6 +266,55 @@ def test_decontamination(spark, docs, corpus, empty):
     assert window_hits(empty, bench).count() == 0 and window_hits(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_items(spark):
+    """Texts with edited items: before SimHash no window is lost, after it nine in ten pairs or more are found, at their best window."""
+    from quire.llm import decontaminate as d
+
+    r = random.Random(21)
+    items = [(j, words(r.choice([8, 20, 60, 150, 400]), 7000 + j, 3000)) for j in range(40)]
+    rows = []
+    for i in range(400):
+        w = items[i % 40][1].split()
+        rate = r.uniform(0, 0.035)
+        out = []
+        for x in w:
+            k = r.random()
+            out += [] if k < rate / 3 else [f"z{r.randrange(10**6)}"] if k < 2 * rate / 3 else [x, f"z{r.randrange(10**6)}"] if k < rate else [x]
+        cut = r.randrange(max(1, len(out) // 7))
+        out = out[cut:] if r.random() < 0.3 else out[: len(out) - cut] if r.random() < 0.5 else out
+        around = [words(r.randrange(80), 8000 + i, 3000).split(), words(r.randrange(80), 9000 + i, 3000).split()] if r.random() < 0.8 else [[], []]
+        rows.append((i, " ".join(around[0] + out + around[1])))
+    want = brute_windows(rows, items)
+    assert 150 < len(want) < 400 and any(v < 0.83 for v in want.values())
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    every = {(x.doc_id, x.item_id): x.similarity for x in d.window_hits(docs, bench, radius=64).collect()}
+    assert set(every) == set(want) and all(abs(every[k] - want[k]) < 1e-9 for k in want)
+    got = {(x.doc_id, x.item_id): x.similarity for x in d.window_hits(docs, bench).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and sum(abs(got[k] - want[k]) < 1e-9 for k in got) >= 0.98 * len(got)
+    # the index and its candidates don't grow with each other: a window meets the items of its own anchors only
+    found = d.stretches(docs, d.anchors_of(d.item_index(bench)))
+    one = d.stretches(docs, d.anchors_of(d.item_index(bench.where("item_id < 4"))))
+    assert found.count() < 15 * one.count()
+
+
+def test_shuffled_sides_give_the_same(spark, monkeypatch):
+    """Beyond the rows that are broadcast, the operators join by a shuffle and find the same."""
+    from quire.llm import decontaminate, secrets
+
+    items = [(j, words(30, 600 + j, 900)) for j in range(5)]
+    rows = [(i, words(20, i, 900) + " " + items[i % 5][1] + f" token=abcdefgh1234567{i % 3}", f"s{i % 4}", "en") for i in range(30)] + [(None, items[0][1], None, None), (31, None, "s1", None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string"), spark.createDataFrame(items, "item_id bigint, text string")
+    few = [bag(decontaminate.window_hits(docs, bench).collect()), bag((r.doc_id,) for r in decontaminate.decontaminate(docs, bench).collect()), bag((r.doc_id, secrets_of(r)) for r in secrets.scan(docs).collect())]
+    for module in (decontaminate, secrets):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+    assert few == [bag(decontaminate.window_hits(docs, bench).collect()), bag((r.doc_id,) for r in decontaminate.decontaminate(docs, bench).collect()), bag((r.doc_id, secrets_of(r)) for r in secrets.scan(docs).collect())]
+    assert few[1] == bag([(31,)]) and len(few[0]) == 31
+
+
+def secrets_of(row):
+    return tuple((s.kind, s.start, s.end) for s in row.added)
+
+
 # ── HMM ──
 
 
@@ -370,7 +424,7 @@ def test_suffix_dedup_of_nothing(empty):
 
 
 def test_quality_classifier(spark, docs, empty):
-    from quire.llm.quality_mil import FEATURES, GatedAttention, fit, passages, score, training_labels
+    from quire.llm.quality_mil import FEATURES, fit, passages, score, training_labels
 
     good = [(i, words(40 + i % 90, i, 700), "en", "s", 0) for i in range(150)]
     bad = [(1000 + i, ("BUY NOW!! " * 50 if i % 2 else "a### b$$$ c%%% " * 30) + str(i), "en", "s", 0) for i in range(150)]
@@ -384,33 +438,54 @@ def test_quality_classifier(spark, docs, empty):
     assert score(empty, model).count() == 0
     assert score(docs.select("doc_id", "text"), fit(df, labels.limit(0))).first().quality_score == 0.5
     assert isinstance(fit(df, labels.where("quality = 1")), float)
-    x, bags = passages([words(130, 1).encode(), b"", b"one"])
-    assert bags.tolist() == [3, 1, 1] and x.shape == (5, FEATURES) and not x[3].any()
-    # the gradient is that of the loss
-    m, y, eps = GatedAttention(), np.array([1.0, 0.0, 1.0]), 1e-6
-    x = np.random.default_rng(0).normal(size=x.shape)
-    before = {k: v.copy() for k, v in m.p.items()}
+    data = passages([words(130, 1).encode(), b"", b"one"])
+    assert data.bags.tolist() == [3, 1, 1] and data.x.shape == (5, FEATURES) and not data.x[3].any() and data.sizes.tolist() == [64, 64, 2, 0, 1] and len(data.words) == 131
+    assert [x.tolist() for x in data.of(np.array([2, 0]))[2:]] == [[1, 64, 64, 2], [1, 3]]
+
+
+def test_quality_gradients():
+    """The derivatives of the loss by each weight, against differences of the loss."""
+    from quire.llm.quality_mil import GatedAttention, passages
+
+    data, y = passages([words(130, 1).encode(), b"", b"one", words(70, 2).encode()]), np.array([1.0, 0.0, 1.0, 0.0])
+    m, r = GatedAttention(), np.random.default_rng(0)
+    m.mean, m.scale = data.x.mean(0), data.x.std(0) + 1e-3
 
     def loss():
-        p = m.score(x, bags)
+        p = m.score(data)
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
-    import quire.llm.quality_mil as q
+    for k, g in m.gradients(data, y).items():
+        at = r.choice(np.flatnonzero(g), 3) if g.size > 1 else [0]
+        for i in at:
+            m.p[k].flat[i] += 1e-5
+            up = loss()
+            m.p[k].flat[i] -= 2e-5
+            down = loss()
+            m.p[k].flat[i] += 1e-5
+            assert abs((up - down) / 2e-5 - g.flat[i]) < 1e-6 + 1e-4 * abs(g.flat[i]), k
+
+
+def test_attention_finds_the_bad_passage():
+    """Texts are bad for one passage of words that good ones lack; labels of whole texts teach which passage it is."""
+    from quire.llm.quality_mil import GatedAttention, passages
+
+    r = random.Random(5)
+
+    def text(bad):
+        parts = [" ".join(f"w{r.randrange(300)}" for _ in range(64)) for _ in range(6)]
+        at = r.randrange(6)
+        if bad:
+            parts[at] = " ".join(f"{'x' if r.random() < 0.5 else 'w'}{r.randrange(40)}" for _ in range(64))
+        return " ".join(parts).encode(), at
 
-    numeric = {}
-    for k in ("V", "U", "w", "W"):
-        m.p[k].flat[0] += eps
-        up = loss()
-        m.p[k].flat[0] -= 2 * eps
-        numeric[k] = (up - loss()) / (2 * eps)
-        m.p[k].flat[0] += eps
-    old, q.EPOCHS = q.EPOCHS, 1
-    m.mean, m.scale = x.mean(0), x.std(0)
-    try:
-        m.fit(x, bags, y)
-    finally:
-        q.EPOCHS = old
-    assert all(np.isfinite(v) for v in numeric.values()) and any((m.p[k] != before[k]).any() for k in before)
+    train, held = ([(*text(i % 2), i % 2) for i in range(n)] for n in (300, 100))
+    model = GatedAttention().fit(passages([t for t, _, _ in train]), np.array([1.0 - b for _, _, b in train]))
+    data = passages([t for t, _, _ in held])
+    weight, score = model.attention(data).reshape(-1, 6), model.score(data)
+    right = [(s < 0.5) == b for s, (_, _, b) in zip(score, held, strict=True)]
+    found = [weight[i].argmax() == at for i, (_, at, b) in enumerate(held) if b]
+    assert np.mean(right) > 0.9 and np.mean(found) > 0.9
 
 
 # ── line rules ──
@@ -466,6 +541,49 @@ def test_html(spark):
     assert extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_html_counts_decide(spark):
+    """Blocks without telling names, with other words on every page: only the counts of their shapes remove them."""
+    from quire.llm.html_template import BROADCAST_ROWS, extract, template_subtrees
+
+    schema = "page_id bigint, url string, html string"
+
+    def page(i):
+        links = "".join(f"<li><a href='/{k}'>{words(2, 50 * i + k)}</a></li>" for k in range(3 + i % 3))
+        return f"<body><div class='x1'><ul>{links}</ul></div><article><h1>T{i}</h1><p>{words(30, i)}</p><div class='wide'><p>{words(5, 300 + i)}</p></div><div class='share'>{words(3, 900 + i)}</div></article><div class='q7'>{words(6, 700 + i)}</div></body>"
+
+    def want(i):
+        return f"T{i} {words(30, i)} {words(5, 300 + i)}"
+
+    df = spark.createDataFrame([(i, f"https://user@Many.org:80/{i}", page(i)) for i in range(9)], schema)
+    assert bag((r.page_id, r.text) for r in extract(df).collect()) == bag((i, want(i)) for i in range(9))
+    # the same counts, none of them a verdict: the blocks stay
+    counts = template_subtrees(df)
+    assert counts.where("template").count() >= 3
+    kept = {r.page_id: r.text for r in extract(df, counts.withColumn("template", F.lit(False))).collect()}
+    assert all(len(kept[i]) > len(want(i)) and words(6, 700 + i) in kept[i] and words(3, 900 + i) in kept[i] for i in range(9))
+    # a host of one page has nothing to count: names and the article decide
+    one = spark.createDataFrame([(1, "http://one.org", page(1))], schema)
+    assert template_subtrees(one).count() == 0 and extract(one).first().text == want(1)
+    # a page without an article: its largest block is the content, small recurring blocks go, recurring pages stay
+    plain = [(i, f"http://plain.org/{i}", f"<body><div class='a'>{words(3, i)}</div><div class='b'><p>{words(40, 100 + i)}</p><p>{words(20, 200 + i)}</p></div></body>") for i in range(6)]
+    plain += [(10 + i, "http://plain.org/again", plain[0][2]) for i in range(3)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(plain, schema)).collect()}
+    assert all(got[i] == f"{words(40, 100 + i)} {words(20, 200 + i)}" for i in range(6)) and got[11] == got[0]
+    # broken and deep nesting; a form around the whole page
+    odd = ["<div>" * 400 + "deep" + "</div>" * 10, "<article><p>a<b>b</p></i>c</article></div></div>", "<form><nav>n</nav><article>x<p>y</article>z</form>", "<p>a<table><tr><td>b</table>c"]
+    got = [r.text for r in extract(spark.createDataFrame([(i, None, h) for i, h in enumerate(odd)], schema)).orderBy("page_id").collect()]
+    assert got == ["deep", "ab c", "x y", "a b c"] and BROADCAST_ROWS > 0
+
+
+def test_html_beyond_the_broadcast(spark, monkeypatch):
+    from quire.llm import html_template
+
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", f"<div class='z'>{words(2, i)}</div><article>{words(9, i)}</article>") for i in range(20)], "page_id bigint, url string, html string")
+    few = bag(html_template.extract(df).collect())
+    monkeypatch.setattr(html_template, "BROADCAST_ROWS", -1)
+    assert bag(html_template.extract(df).collect()) == few and {r.text for r in html_template.extract(df).collect()} == {words(9, i) for i in range(20)}
+
+
 # ── the pipeline ──
 
 
@@ -489,12 +607,12 @@ def brute_near_copies(rows):
     return {min(rows[b][0] for b in range(len(rows)) if find(b) == find(a)) for a in range(len(rows))}
 
 
-@pytest.mark.parametrize("often", [8, 1_000_000])
-def test_pipeline_finds_near_copies_with_edits(spark, tmp_path, monkeypatch, often):
+@pytest.mark.parametrize("hot", [200, 5])
+def test_pipeline_finds_near_copies_with_edits(spark, tmp_path, monkeypatch, hot):
     import corpus_pipeline as cp
     from quire.llm import near_copies
 
-    monkeypatch.setattr(near_copies, "OFTEN", often)
+    monkeypatch.setattr(near_copies.keep_one, "__defaults__", (near_copies.RECALL, hot))
     r = random.Random(11)
     texts = [words(r.randrange(30, 300), 300 + i, 5000) for i in range(12)]
     for t in list(texts):
@@ -511,7 +629,39 @@ def test_pipeline_finds_near_copies_with_edits(spark, tmp_path, monkeypatch, oft
     rows = [(i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = [x.doc_id for x in cp.dedup_stage(spark, docs, str(tmp_path)).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_near_copies(rows)
+    want = brute_near_copies(rows)
+    # nothing goes that no chain of similar texts explains; at the very limit a pair in fifty may be missed
+    assert len(got) == len(set(got)) and set(got) >= want and len(got) <= len(want) + 2
+
+
+def test_wide_fingerprints_and_their_plan():
+    from quire.llm import near_copies as n
+
+    r = np.random.default_rng(4)
+    for size, shared in ((9, 8), (90, 80), (2250, 2000)):
+        apart = []
+        for _ in range(40):
+            both = r.integers(-(2**63), 2**63 - 1, shared)
+            a, b = (n.wide_fingerprint(np.concatenate([both, r.integers(-(2**63), 2**63 - 1, size - shared)])) for _ in range(2))
+            apart.append(np.bitwise_count(a ^ b).sum() / (64 * n.WORDS))
+        assert abs(np.mean(apart) - n.bit_difference(0.8)) < 0.03
+    assert not n.wide_fingerprint(np.zeros(0, np.int64)).any()
+    # cheap groups are probed, dear ones skipped, and what is asked of them is reached
+    options = [[(0.0, 0.0), (0.3, 1.0 if i % 2 else 50.0), (0.6, 9.0 if i % 2 else 99.0)] for i in range(20)]
+    cost, picked = n.allocate_for_recall(options, 0.95)
+    assert 1 - np.prod([1 - options[i][k][0] for i, k in enumerate(picked)]) >= 0.95 and all(picked[i] == 0 for i in range(0, 20, 2)) and cost < 50
+
+
+def test_near_copies_keep_rows_apart_that_share_an_id(spark):
+    from quire.llm.near_copies import keep_one
+
+    rows = [(1, words(40, 1), "p"), (1, words(40, 2), "q"), (1, words(40, 1), "p"), (2, words(40, 2), "x"), (None, words(40, 1), "n"), (None, words(40, 3), "n"), (5, words(40, 4), "a"), (5, words(40, 4), "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _head string").withColumn("row_key", F.lit(1)).withColumn("cls", F.lit("z")).withColumn("doc", F.lit(2))
+    got = keep_one(df.repartition(3))
+    assert got.columns == df.columns
+    kept = [(x.doc_id, x.text, x._head, x.row_key, x.cls, x.doc) for x in got.collect()]
+    assert Counter(k[:2] for k in kept) == Counter([(1, rows[0][1]), (1, rows[1][1]), (None, rows[5][1]), (5, rows[6][1])])
+    assert {k[3:] for k in kept} == {(1, "z", 2)} and keep_one(df.repartition(5)).exceptAll(got).count() == 0
 
 
 def test_pipeline(spark, corpus, tmp_path):
