@@ -13,6 +13,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _OWN_ROOT: dict[str, str] = {}
+#: Paths of the scratch tables that a thread has made within ``passing_tables``.
+_MADE = threading.local()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -56,9 +59,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    getattr(_MADE, "paths", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession):
+    """Scratch tables made within (by this thread) are deleted at its end; what is given out must not read them."""
+    before, _MADE.paths = getattr(_MADE, "paths", None), []
+    try:
+        yield
+    finally:
+        conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+        for path in _MADE.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        _MADE.paths = before if before is not None else []
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of tables that are written out by now.
 
