@@ -87,4 +87,12 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op3_decontaminate, op4_warc, op5_secrets, op6_hmm, op7_simhash, op8_suffix, op9_quality, op10_lines)}
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm.token_align import align
+
+    return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op3_decontaminate, op4_warc, op5_secrets, op6_hmm, op7_simhash, op8_suffix, op9_quality, op10_lines, op12_align)}
