@@ -87,6 +87,13 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.click_dedup import copies, cut, deduplicate
+    from quire.llm.common import scratch_path
+
+    return deduplicate(*cut(spark, copies(_table(spark, sf_dir, "clicks")), scratch_path(spark, "click-batches")))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -95,4 +102,10 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op3_decontaminate, op4_warc, op5_secrets, op6_hmm, op7_simhash, op8_suffix, op9_quality, op10_lines, op12_align)}
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.vector_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_bpe, op3_decontaminate, op4_warc, op5_secrets, op6_hmm, op7_simhash, op8_suffix, op9_quality, op10_lines, op11_clicks, op12_align, op13_vectors)}
