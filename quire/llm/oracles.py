@@ -63,4 +63,14 @@ LINES = rf"""
     f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (n_words - lost < 0.3 * n_words) as kept from f"""
 
-ORACLES = {"op1_html": HTML, "op4_warc": WARC, "op5_secrets": SECRETS, "op10_lines": LINES}
+# Every pair of a label; vectors of these tables have ids of their own.
+VECTORS = """
+    with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+    links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+        where isfinite(list_cosine_similarity(a.e, b.e)) and list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach as (select vec_id as x, vec_id as y from v union select reach.x, links.y from reach join links on reach.y = links.x),
+    told as (select x as vec_id, min(y) as component_id from reach group by x)
+    select vec_id, count(links.y)::bigint as n_links, any_value(component_id) as component_id, vec_id = any_value(component_id) as kept
+    from told left join links on links.x = told.vec_id group by vec_id"""
+
+ORACLES = {"op1_html": HTML, "op4_warc": WARC, "op5_secrets": SECRETS, "op10_lines": LINES, "op13_vectors": VECTORS}

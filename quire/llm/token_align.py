@@ -15,6 +15,7 @@ steps; no task holds more than a matrix and the sums of a few chunks.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 from functools import lru_cache
@@ -359,7 +360,7 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     made = materialise(docs.select("doc_id", "text").mapInArrow(sparing(run), f"doc_id {kind}, {_MADE}"), "token-links")
     links = made.where("stripe is not null")
-    salts = max(1, -(-links.count() // (STRIPES * ROWS_A_TASK)))
+    salts = max(1, math.ceil(links.count() / (STRIPES * ROWS_A_TASK)))
     sizes = _vocabulary(a_path, b_path)
     high = -(-sizes[0] // STRIPES)
 
