@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import proxies as P
 from quire.functions import numbers as N
 from quire.functions import text as T
-from quire.operators import analysis, cache, chunks, classify, composites, evidence, facts, flags, ingest, insights, models, priors, redline, relevance, report, segment, sentences, sentiment, vectors
+from quire.operators import analysis, cache, chunks, classify, composites, evidence, facts, flags, ingest, insights, models, priors, redline, relevance, report, segment, sentences, sentiment, similarity, vectors
 from quire.plans.registry import KEYWORDS, LEXICON, PRIORITY, TITLES
 from quire.sources import files, html
 from quire.streaming import progress
@@ -590,34 +590,45 @@ def section_alignment(spark, d):
     return _aligned(spark, d).select("doc_id", "section_id", "status", "current_ord", "prior_ord")
 
 
-_ALIKE = _NORM % "substr({}, 1, 4000)"
+def _token_sql(column: str) -> str:
+    return f"list_filter(list_distinct(string_split({_NORM % column}, ' ')), lambda x: x <> '')"
 
 
-def _token_sql(column: str) -> str:
-    return f"list_filter(list_distinct(string_split({_ALIKE.format(column)}, ' ')), lambda x: x <> '')"
+_JACCARD = "case when len(s) = 0 and len(t) = 0 then 1.0 else len(list_intersect(s, t)) / (len(s) + len(t) - len(list_intersect(s, t)))::double end"
+# Of the scored pairs of a document the best one by one: a pair a step, kept if both of its sides are free.
+_GREEDY = f"""{_ALIGNED}, a as (select doc_id, current_ord as a, {_token_sql('ct')} as s from al where status = 'added'), r as (select doc_id, prior_ord as r, {_token_sql('pt')} as t from al where status = 'removed'),
+    p as (select doc_id, a, r, {_JACCARD} as score from a join r using (doc_id)),
+    k as (select *, row_number() over (partition by doc_id order by score desc, a, r) as n from p where score >= 0.2),
+    walk as (select doc_id, 0::bigint as n, []::int[] as ua, []::int[] as ur from k where n = 1 union all
+        select k.doc_id, k.n, case when list_contains(ua, a) or list_contains(ur, r) then ua else list_append(ua, a) end, case when list_contains(ua, a) or list_contains(ur, r) then ur else list_append(ur, r) end from walk join k on k.doc_id = walk.doc_id and k.n = walk.n + 1),
+    ends as (select doc_id, arg_max(ua, n) as ua, arg_max(ur, n) as ur from walk group by doc_id),
+    pick as (select doc_id, unnest(ua) as a, unnest(ur) as r from ends)"""
 
 
-@query(f"""with {_ALIGNED}, a as (select doc_id, current_ord as a, {_token_sql('ct')} as s from al where status = 'added'), r as (select doc_id, prior_ord as r, {_token_sql('pt')} as t from al where status = 'removed'),
-    p as (select doc_id, a, r, case when len(s) = 0 and len(t) = 0 then 1.0 else len(list_intersect(s, t)) / (len(s) + len(t) - len(list_intersect(s, t)))::double end as score from a join r using (doc_id)),
-    k as (select *, row_number() over (partition by doc_id order by score desc, a, r) as n from p where score >= 0.2)
-    select doc_id, a, r, round(score, 6) as score from (select *, row_number() over (partition by doc_id, a order by n) as x, row_number() over (partition by doc_id, r order by n) as y from k) where x = 1 and y = 1""")
+@query(f"with recursive {_GREEDY} select doc_id, a, r, round(score, 6) as score from pick join k using (doc_id, a, r)")
 def alignment_best_pairs(spark, d):
-    """JN3: of leftover lines those that are each other's first choice; the greedy pairs contain them all."""
-    found = redline.similar_leftovers(_aligned(spark, d), "doc_id", least=0.2)
-    aligned = _aligned(spark, d)
-    tokens = lambda c: T.token_set(F.substring(F.col(c), 1, 4000))
-    added = aligned.where("status = 'added'").select("doc_id", F.col("current_ord").alias("a"), tokens("current_text").alias("s"))
-    removed = aligned.where("status = 'removed'").select("doc_id", F.col("prior_ord").alias("r"), tokens("prior_text").alias("t"))
-    scored = added.join(removed, "doc_id").withColumn("score", T.jaccard(F.col("s"), F.col("t"))).where("score >= 0.2")
-    order = [F.col("score").desc(), "a", "r"]
-    best = scored.withColumn("x", F.row_number().over(Window.partitionBy("doc_id", "a").orderBy(*order))).withColumn("y", F.row_number().over(Window.partitionBy("doc_id", "r").orderBy(*order))).where("x = 1 and y = 1")
-    return found.join(best.select("doc_id", "a", "r"), ["doc_id", "a", "r"]).select("doc_id", "a", "r", F.round("score", 6).alias("score"))
+    """JN3: all leftover lines that are alike, one to one, the best first."""
+    return redline.similar_leftovers(_aligned(spark, d), "doc_id", least=0.2).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""with recursive {_GREEDY}
+    select al.doc_id, al.section_id, case when pick.r is not null then 'matched' else status end as status, current_ord, coalesce(prior_ord, pick.r) as prior_ord from al left join pick on pick.doc_id = al.doc_id and pick.a = al.current_ord and al.status = 'added'
+    where not (status = 'removed' and exists (select 1 from pick q where q.doc_id = al.doc_id and q.r = al.prior_ord))""")
 def alignment_fallback(spark, d):
-    """JN3, GRD1: leftover lines that are alike, one to one."""
-    return redline.similar_leftovers(_aligned(spark, d), "doc_id", least=0.2).withColumn("score", F.round("score", 6))
+    """JN3, GRD1: lines aligned by what they say, and the leftover ones that are alike as matched."""
+    return redline.align_with_fallback(*_two_versions(spark, d), "doc_id", least=0.2).select("doc_id", "section_id", "status", "current_ord", "prior_ord")
+
+
+@query(f"""with ver as ({P.VERSIONS_SQL}), {_SENT_A}, x as (select doc_id, sent_idx, {_token_sql('sentence')} as s from sent),
+    p as (select v.doc_id, c.sent_idx as a, o.sent_idx as r, c.s, o.s as t from ver v join x c on c.doc_id = v.doc_id join x o on o.doc_id = v.prior_id)
+    select doc_id, a, r, round({_JACCARD}, 6) as score from p where {_JACCARD} >= 0.5""")
+def similar_sentences(spark, d):
+    """JN4, SET2, SET3: sentences of a document and of its earlier version with half of their words in common; a join over rare words."""
+    pairs = P.versions(spark, d)
+    said = sentences.sentences(P.table(spark, d, "documents"), "doc_id").select("doc_id", "sent_idx", T.token_set(F.col("sentence")).alias("tokens"))
+    now = said.join(pairs.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("sent_idx", "a")
+    was = said.withColumnsRenamed({"doc_id": "prior_id", "sent_idx": "r"}).join(pairs, "prior_id").select("doc_id", "r", "tokens")
+    return similarity.similar_sets(now, was, "doc_id").withColumn("score", F.round("score", 6))
 
 
 def _versions(spark, d):

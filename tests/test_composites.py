@@ -9,7 +9,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from quire.operators import analysis, cache, chunks, composites, evidence, flags, ingest, insights, priors, redline, relevance, report
+from quire.functions import sequences
+from quire.operators import analysis, cache, chunks, composites, evidence, flags, ingest, insights, priors, redline, relevance, report, similarity
 from quire.sources import files
 from quire.streaming import progress
 
@@ -40,11 +41,34 @@ def test_matches_of_sequences():
     for _ in range(400):
         a, b = ([r.choice("abcdef") for _ in range(r.randrange(20))] for _ in range(2))
         assert redline.matched_flags(a, b) == plain_flags(a, b)
-    scores = redline.token_scores(["a b c", "", "x y"], ["a b d", "!!", "q"], 0.5)
-    assert sorted(scores) == [(0.5, 0, 0), (1.0, 1, 1)]
+    # long equal runs, and more edits than fronts that are kept
+    for size, kinds in ((300, 4), (300, 40), (900, 900)):
+        a = [r.randrange(kinds) for _ in range(size)]
+        b = [x for x in a if r.random() > 0.1] + [r.randrange(kinds) for _ in range(size // 9)]
+        assert redline.matched_flags(a, b) == plain_flags(a, b)
+    a = list(range(100_000))
+    b = [x for x in a if x % 1_000]
+    assert sum(redline.matched_flags(a, [-1, *b])[1]) == len(b)
     assert redline.one_to_one([(0.5, 0, 0), (0.9, 0, 1), (0.9, 1, 1), (0.5, 1, 0)]) == [(0.9, 0, 1), (0.5, 1, 0)]
 
 
+def test_sets_that_are_alike(spark):
+    """Pairs by the first tokens of each are all pairs, as sets in memory and as rows."""
+    r = random.Random(2)
+    left, right = ([[f"t{k}" for k in r.sample(range(30), r.randrange(0, 9))] for _ in range(50)] for _ in range(2))
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    rows = lambda sets, name: spark.createDataFrame([(i % 2, i, s) for i, s in enumerate(sets)], f"k int, {name} int, tokens array<string>")
+    for least in (0.2, 0.5, 0.8, 1.0):
+        want = sorted((jaccard(set(x), set(y)), a, b) for a, x in enumerate(left) for b, y in enumerate(right) if jaccard(set(x), set(y)) >= least)
+        assert sorted(sequences.alike_sets([frozenset(x) for x in left], [frozenset(x) for x in right], least)) == want
+        if least in (0.2, 0.8):
+            got = similarity.similar_sets(rows(left, "a"), rows(right, "r"), "k", least=least).collect()
+            assert sorted((x.score, x.a, x.r) for x in got) == [x for x in want if x[1] % 2 == x[2] % 2]
+    # one token that all hold makes no pairs to look at
+    common = spark.createDataFrame([(i, ["all", f"a{i}", f"b{i}"]) for i in range(200)], "a int, tokens array<string>")
+    assert similarity.candidates(common, common.withColumnRenamed("a", "r"), least=0.5).count() == 200
+
+
 def test_difference_of_sections():
     was = "The first sentence stays as it is. The second one will be changed a lot. This sentence is dropped here."
     now = "The first sentence stays as it is. The second one will be altered a lot. An entirely different thing came."
