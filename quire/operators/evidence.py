@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,68 +40,62 @@ def quote_pattern(quote: Column) -> Column:
     return F.when(F.length(q) >= SHORTEST, F.concat(F.lit("(?i)"), F.regexp_replace(safe, r"\s+", r"\\s+")))
 
 
-#: Characters of a short quote's probe at most: of one word, and of each word beside a seam; quotes whose probes are broadcast at most.
-PROBE, SEAM, BROADCAST_ROWS = 12, 3, 100_000
+#: Quotes that one automaton holds; a larger set is looked for in blocks, a pass over the texts for each.
+BLOCK_QUOTES = 100_000
+
+
+def _holding(texts: Column, quotes: list[str]) -> Column:
+    """Numbers of the quotes that stand in a text, both in matching form: one pass a text, however many quotes there are."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        held: dict[str, list[int]] = {}
+        for k, x in enumerate(quotes):
+            held.setdefault(x, []).append(k)
+        automaton = ahocorasick.Automaton()
+        for x in held:
+            automaton.add_word(x, x)
+        if held:
+            automaton.make_automaton()
+        for part in batches:
+            found = [{x for _, x in automaton.iter(t)} if t and held else () for t in part.to_pylist()]
+            yield pa.array([sorted(k for x in said for k in held[x]) for said in found], pa.list_(pa.int32()))
+
+    return run(texts)
 
 
 def find_quotes(quotes: DataFrame, sections: DataFrame, quote_id: str, *keys: str, quote: str = "quote", text: str = "text", order: str = "ord", offset: str | None = None, within: bool = False) -> DataFrame:
     """(quote_id, keys, section order, start, end): where each quote stands first in each document.
 
-    ``within``: quotes have the keys as well, and are looked for in their own document only.
-
-    A quote is only tried on texts that share a probe with it, by an equi-join rather than every text against every
-    quote; texts don't travel with the probes.  As a quote may be cut within its first and last word, its probe is a run
-    of three words from within, of two or one where it has four or three; of two words, how the first ends and the second
-    begins; of one, what it begins with, anywhere in a word.  A quote without any letter or digit has none and is not found.
+    ``within``: quotes have the keys as well, and are looked for in their own document only, by a join on the keys.
+    Else every quote is looked for in every text.  Where a quote stands, its matching form stands in that of the text,
+    so one automaton of all quotes finds the texts that can hold each, and only these are searched for its place; texts
+    are not shuffled.  A quote without any letter or digit has no matching form and is not found, nor is a null one.
     """
     from quire.functions.text import norm_for_match
 
-    none = F.array().cast("array<bigint>")
-    # words are a column of their own: within a lambda an expression would be evaluated for every run
-    words, n = F.col("_w"), F.size("_w")
-
-    def first_word(k: int) -> Column:
-        return F.get(words, F.lit(k))
-
-    def runs(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(none)
-
-    def ends(x: Column, y: Column, i: int, j: int) -> Column:
-        return F.xxhash64(F.lit(i), F.right(x, F.lit(i)), F.left(y, F.lit(j)))
-
-    def seams(i: int, j: int) -> Column:
-        return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: ends(F.get(words, k - 1), F.get(words, k), i, j))).otherwise(none)
-
-    def pieces(k: int) -> Column:
-        long = F.filter(words, lambda x: F.length(x) >= k)
-        return F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - k + 1), lambda i: F.xxhash64(F.lit("piece"), F.substring(x, i, F.lit(k))))))
-
-    own_keys = list(keys) if within else []
-    head = F.split(norm_for_match(F.substring(F.trim(quote), 1, LONGEST)), " ")
-    q = quotes.select(quote_id, *own_keys, quote_pattern(F.col(quote)).alias("_p"), F.filter(head, lambda x: x != "").alias("_w")).where(F.col("_p").isNotNull() & (F.size("_w") > 0))
-    size = F.least(F.length(first_word(0)), F.lit(PROBE))
-    left, right = F.least(F.length(first_word(0)), F.lit(SEAM)), F.least(F.length(first_word(1)), F.lit(SEAM))
-    kind = F.when(n >= 3, F.struct(F.lit("run").alias("k"), F.least(n - 2, F.lit(3)).alias("i"), F.lit(0).alias("j"))).when(n == 2, F.struct(F.lit("seam").alias("k"), left.alias("i"), right.alias("j"))).otherwise(F.struct(F.lit("piece").alias("k"), size.alias("i"), F.lit(0).alias("j")))
-    kinds = q.withColumn("_kind", kind)
-    inner = F.xxhash64(F.slice(words, F.lit(2), F.col("_kind.i")))
-    seam = F.xxhash64(F.col("_kind.i"), F.right(first_word(0), F.col("_kind.i")), F.left(first_word(1), F.col("_kind.j")))
-    piece = F.xxhash64(F.lit("piece"), F.substring(first_word(0), F.lit(1), F.col("_kind.i")))
-    probes = kinds.select(quote_id, *own_keys, "_p", F.when(F.col("_kind.k") == "run", inner).when(F.col("_kind.k") == "seam", seam).otherwise(piece).alias("_g"))
-    # what kinds of probes there are: three runs, SEAM * SEAM seams and PROBE pieces at most
-    found = {"run": runs, "seam": seams, "piece": pieces}
-    parts = [found[r.k](r.i) if r.k != "seam" else seams(r.i, r.j) for r in sorted(kinds.select("_kind.*").distinct().collect())]
-    own = sections.select(*keys, F.col(order).alias("_ord"), F.filter(F.split(norm_for_match(F.col(text)), " "), lambda x: x != "").alias("_w"))
-    held = own.select(*keys, "_ord", F.explode_outer(F.array_distinct(F.concat(none, *parts))).alias("_g"))
-    met = held.join(F.broadcast(probes) if quotes.count() <= BROADCAST_ROWS else probes, [*own_keys, "_g"]).select(quote_id, "_p", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_ord").alias("_o")).distinct()
+    q = quotes.select(quote_id, *(keys if within else ()), quote_pattern(F.col(quote)).alias("_p"), norm_for_match(F.substring(F.trim(quote), 1, LONGEST)).alias("_w")).where(F.col("_p").isNotNull() & (F.col("_w") != ""))
     lift = F.lit(0) if offset is None else F.col(offset)
-    texts = sections.select(*keys, F.col(order).alias("_ord"), lift.alias("_off"), F.col(text).alias("_t"))
-    same = F.col("_ord").eqNullSafe(F.col("_o"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    hits = met.join(texts, same).withColumn("start", F.regexp_instr("_t", F.col("_p")) - 1).where(F.col("start") >= 0)
-    hits = hits.withColumn("_len", F.length(F.regexp_substr("_t", F.col("_p"))))
+    own = sections.select(*keys, F.col(order).alias("_ord"), lift.alias("_off"), F.col(text).alias("_t"))
+    if within:
+        met = own.join(q.drop("_w"), list(keys))
+    else:
+        met = None
+        blocks = max(1, -(-q.count() // BLOCK_QUOTES))
+        for b in range(blocks):
+            block = q.where(F.pmod(F.xxhash64("_w"), F.lit(blocks)) == b) if blocks > 1 else q
+            rows = block.select(quote_id, "_p", "_w").collect()  # of a bounded number
+            named = sections.sparkSession.createDataFrame([(r[0], r[1], k) for k, r in enumerate(rows)], f"`{quote_id}` {quotes.schema[quote_id].dataType.simpleString()}, _p string, _k int")
+            some = own.withColumn("_q", _holding(norm_for_match(F.col("_t")), [r[2] for r in rows])).where(F.size("_q") > 0)
+            part = some.withColumn("_k", F.explode("_q")).join(F.broadcast(named), "_k").drop("_k", "_q")
+            met = part if met is None else met.unionByName(part)
+    hits = met.withColumn("start", F.regexp_instr("_t", F.col("_p")) - 1).where(F.col("start") >= 0).withColumn("_len", F.length(F.regexp_substr("_t", F.col("_p"))))
     first = Window.partitionBy(quote_id, *keys).orderBy("_ord", "start")
-    return hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(quote_id, *keys, F.col("_ord").alias(order), (F.col("_off") + F.col("start")).alias("start"), (F.col("_off") + F.col("start") + F.col("_len")).alias("end"))
+    placed = hits.select(quote_id, *keys, "_ord", "_off", "start", "_len").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return placed.select(quote_id, *keys, F.col("_ord").alias(order), (F.col("_off") + F.col("start")).alias("start"), (F.col("_off") + F.col("start") + F.col("_len")).alias("end"))
 
 
 def unverified_figures(statements: DataFrame, sources: DataFrame, statement_id: str, *keys: str, statement: str = "statement", text: str = "text") -> DataFrame:

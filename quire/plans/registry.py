@@ -159,7 +159,37 @@ _TERMS = {
     "constraining": ("ties hands", "required to|restricted from|covenant|covenants|obligated to|limits our ability|prohibited|must comply"),
     "weak_modal": ("hedges", "possibly|this work|appears to|perhaps|seems to|tends to|suggests that|somewhat"),
 }
-LEXICON = [(kind, term, note, term != term.lower()) for kind, (note, terms) in _TERMS.items() for term in terms.split("|")]
+
+#: The layer below it: single words, by type a note and verbs of which all forms are taken.
+_VERBS = {
+    "uncertainty": ("a word of doubt", "anticipate|appear|approximate|assume|believe|deviate|differ|doubt|estimate|expose|fluctuate|hesitate|imply|pend|predict|presume|probe|project|reassess|recalculate|reconsider|revise|risk|speculate|suggest|vary|waver"),
+    "litigious": ("a word of law", "adjudicate|allege|appeal|arbitrate|attest|claim|contest|convict|depose|enjoin|indemnify|indict|infringe|legislate|license|litigate|mediate|plead|prosecute|rule|settle|stipulate|sue|summon|testify|waive|witness"),
+    "negative": ("a word of bad news", "abandon|abuse|aggravate|breach|cancel|close|collapse|complain|concern|damage|decline|default|defraud|delay|delist|deteriorate|diminish|disappoint|disrupt|downgrade|erode|exploit|fail|fall|forfeit|hinder|impair|lose|miss|penalize|recall|resign|restate|shrink|suffer|suspend|terminate|threaten|violate|weaken|worsen"),
+    "constraining": ("a word of duty", "bind|commit|compel|comply|confine|constrain|dictate|encumber|forbid|impose|inhibit|limit|mandate|oblige|preclude|prevent|prohibit|require|restrain|restrict|stipulate"),
+    "weak_modal": ("a word of hedging", "depend|hint|incline|seem|suppose|tend"),
+}
+
+
+def inflected(verb: str) -> list[str]:
+    """The regular forms of a verb."""
+    if verb.endswith("e"):
+        return [verb, f"{verb}s", f"{verb}d", f"{verb[:-1]}ing"]
+    if verb.endswith("y") and verb[-2] not in "aeiou":
+        return [verb, f"{verb[:-1]}ies", f"{verb[:-1]}ied", f"{verb}ing"]
+    return [verb, f"{verb}{'es' if verb.endswith(('s', 'sh', 'ch')) else 's'}", f"{verb}ed", f"{verb}ing"]
+
+
+def layered(*layers: list[tuple[str, str, str, bool]]) -> list[tuple[str, str, str, bool]]:
+    """Terms (type, term, note, case counts) of all layers; of one type and term, in any case, the first layer's."""
+    out: dict[tuple[str, str], tuple[str, str, str, bool]] = {}
+    for row in (r for layer in layers for r in layer):
+        out.setdefault((row[0], row[1].lower()), row)
+    return list(out.values())
+
+
+PHRASES = [(kind, term, note, term != term.lower()) for kind, (note, terms) in _TERMS.items() for term in terms.split("|")]
+WORDS = [(kind, form, note, False) for kind, (note, verbs) in _VERBS.items() for verb in verbs.split("|") for form in inflected(verb)]
+LEXICON = layered(PHRASES, WORDS)
 
 
 def items(form: str) -> list[tuple[str, str, int]]:

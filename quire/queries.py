@@ -156,23 +156,23 @@ def line_heads(spark, d):
 
 # ── flags and tone ───────────────────────────────────────────────────────────
 
-_LEX = "(values " + ", ".join(f"({q(t)}, {q(w)}, {str(c).lower()})" for t, w, _, c in LEXICON) + ") as lex(type, word, cs)"
+_LEX = "(values " + ", ".join(f"({q(t)}, {q(w)}, {q(n)}, {str(c).lower()})" for t, w, n, c in LEXICON) + ") as lex(type, word, note, cs)"
 _FLAGS = rf"""
-    f0 as (select doc_id, source, type, regexp_replace(translate(text, chr(1) || chr(2), '  '), case when cs then '' else '(?i)' end || '\b' || word || '\b', chr(1) || '\0' || chr(2), 'g') as m from documents, {_LEX} where contains(lower(text), lower(word))),
-    f1 as (select doc_id, source, type, string_split(m, chr(1)) as parts from f0),
-    f2 as (select doc_id, source, type, parts, unnest(parts) as piece, generate_subscripts(parts, 1) as n from f1),
-    f3 as (select doc_id, source, type, n, piece, coalesce(sum(length(replace(piece, chr(2), ''))) over (partition by doc_id, type, parts order by n rows between unbounded preceding and 1 preceding), 0) as off from f2),
-    flags as (select doc_id, source, type, string_split(piece, chr(2))[1] as term, cast(off as int) as f_start, cast(off + length(string_split(piece, chr(2))[1]) as int) as f_end from f3 where n > 1)"""
+    f0 as (select doc_id, source, type, word, note, regexp_replace(translate(text, chr(1) || chr(2), '  '), case when cs then '' else '(?i)' end || '\b' || word || '\b', chr(1) || '\0' || chr(2), 'g') as m from documents, {_LEX} where contains(lower(text), lower(word))),
+    f1 as (select doc_id, source, type, word, note, string_split(m, chr(1)) as parts from f0),
+    f2 as (select doc_id, source, type, word, note, unnest(parts) as piece, generate_subscripts(parts, 1) as n from f1),
+    f3 as (select doc_id, source, type, note, n, piece, coalesce(sum(length(replace(piece, chr(2), ''))) over (partition by doc_id, type, word order by n rows between unbounded preceding and 1 preceding), 0) as off from f2),
+    flags as (select doc_id, source, type, note, string_split(piece, chr(2))[1] as term, cast(off as int) as f_start, cast(off + length(string_split(piece, chr(2))[1]) as int) as f_end from f3 where n > 1)"""
 
 
 def _flags(spark, d, *more: str):
     return flags.flag(P.table(spark, d, "documents"), flags.lexicon(spark), "doc_id", *more)
 
 
-@query(f"with {_FLAGS} select doc_id, type, term, f_start, f_end from flags")
+@query(f"with {_FLAGS} select doc_id, type, term, note, f_start, f_end from flags")
 def lexicon_flags(spark, d):
-    """STR5, CMP4: every hit of every term with its place."""
-    return _flags(spark, d).select("doc_id", "type", "term", F.col("start").alias("f_start"), F.col("end").alias("f_end"))
+    """STR5, SRC12, CMP4: every hit of every term with its place, and the note of the layer that has the term first."""
+    return _flags(spark, d).select("doc_id", "type", "term", "note", F.col("start").alias("f_start"), F.col("end").alias("f_end"))
 
 
 @query(f"with {_FLAGS} select source, type, count(*) as n, count(distinct doc_id) as n_docs from flags where type <> 'weak_modal' group by source, type")

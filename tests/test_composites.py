@@ -237,6 +237,45 @@ def test_flags_of_a_users_own_lexicon(spark):
     assert "CartesianProduct" not in flags.flag(docs, terms, "doc")._jdf.queryExecution().toString() and "NestedLoop" not in flags.flag(docs, terms, "doc")._jdf.queryExecution().toString()
 
 
+def test_every_hit_of_many_terms():
+    """The automaton finds what an expression a term finds, also where terms overlap and with five thousand of them."""
+    import re
+    import time
+
+    r = random.Random(3)
+    some = ["a", "a a", "ab", "b-c", "a ab", "Ab", "%x", "c.", "é", "A"]
+    terms = [(t, t != t.lower()) for t in some]
+    automaton = flags.Automaton(terms)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "b", "ab", "A", "Ab", " ", " ", "-", "c", ".", "%x", "é", "İ", "K", "_"]) for _ in range(r.randrange(30)))
+        want = sorted((k, *m.span()) for k, (t, cased) in enumerate(terms) for m in re.finditer(rf"(?<![A-Za-z0-9_]){re.escape(t)}(?![A-Za-z0-9_])", text, re.ASCII | (0 if cased else re.I)))
+        assert sorted(automaton.hits(text)) == want, text
+    assert flags.Automaton([]).hits("x") == [] and flags.Automaton([("", False)]).hits("x") == []
+    words = [f"w{r.randrange(10**6)}" for _ in range(5_000)]
+    text = " ".join(r.choice(words) if r.random() < 0.05 else f"v{r.randrange(10**6)}" for _ in range(200_000))
+    many, start = flags.Automaton([(w, False) for w in words]), time.process_time()
+    assert len(many.hits(text)) > 9_000 and time.process_time() - start < 5
+
+
+def test_layers_of_the_lexicon(spark):
+    from quire.plans import registry as R
+
+    assert R.layered([("t", "Loss", "first", True)], [("t", "loss", "second", False), ("u", "loss", "other", False)]) == [("t", "Loss", "first", True), ("u", "loss", "other", False)]
+    assert R.inflected("vary") == ["vary", "varies", "varied", "varying"] and R.inflected("breach")[1] == "breaches" and R.inflected("imply")[2] == "implied"
+    notes = {r.term: r.note for r in flags.lexicon(spark).where("type = 'negative'").collect()}
+    assert notes["decline"] == notes["shortfall"] != notes["declines"]  # a phrase's note stands where both layers have the term
+    assert flags.lexicon(spark, words=False).count() == len(R.PHRASES) < flags.lexicon(spark, [("own", "x", "", False)]).count() - 300
+
+
+def test_quotes_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, 1, f"The gross margin of year {k} rose sharply, to {k} percent.") for k in range(30)] + [(99, 1, None)], "doc int, ord int, text string")
+    quotes = spark.createDataFrame([(k, f"margin of year {k} rose") for k in range(30)] + [(100 + k, f"margin of year {k} rose") for k in range(3)], "id int, quote string")
+    want = sorted([(k, k) for k in range(30)] + [(100 + k, k) for k in range(3)])
+    for most in (100_000, 7):
+        monkeypatch.setattr(evidence, "BLOCK_QUOTES", most)
+        assert sorted((r.id, r.doc) for r in evidence.find_quotes(quotes, docs, "id", "doc").collect()) == want
+
+
 def test_stores(spark):
     ev = spark.createDataFrame([(1, "a", 1, 10), (1, "a", 2, 20), (2, "a", 3, 5)], "k int, v string, seq int, ts int")
     assert [(r.seq, r.aborted) for r in cache.last_in_flight(ev, "k").orderBy("seq").collect()] == [(1, True), (2, False), (3, False)]
