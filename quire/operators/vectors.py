@@ -7,40 +7,41 @@ from pyspark.sql import functions as F
 
 from quire.functions.numbers import cosine
 
-#: Vectors of a group compared in one block; a larger group is cut into pairs of blocks.
-BLOCK = 256
+#: Vectors of a group in one block, and rows of a block multiplied at once.
+BLOCK, TILE = 2_048, 256
 
 
 def centrality(vectors: DataFrame, *keys: str, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(keys, id, score): mean of the positive similarities to the others of the group; 1 for a group of one.
 
-    Groups are dealt in blocks, so that a large one is spread over tasks and no block pair exceeds BLOCK squared.
+    A group is dealt into blocks of BLOCK vectors, and each pair of blocks is one product in a task, of which only the
+    sum of each vector leaves: a vector is sent once for each block of its group, and no row is made for a pair.
+    Vectors of a group are of one length and unit norm; rows of one id are not compared with each other.
     """
     import numpy as np
     import pyarrow as pa
 
-    parts = vectors.select(*keys, id_col, vector).withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(1 << 30)))
     sizes = vectors.groupBy(*keys).agg(F.count("*").alias("_n"))
-    dealt = parts.join(sizes, list(keys)).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.col("_b"), F.col("_blocks")).cast("int"))
-    # each vector meets every block once as a row, and every block of rows once as a column
-    rows = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*keys, F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.lit(0).alias("_side"), id_col, vector)
-    cols = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*keys, F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.lit(1).alias("_side"), id_col, vector)
+    dealt = vectors.select(*keys, id_col, vector).join(sizes, list(keys)).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = dealt.select(*keys, id_col, vector, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("_side").to_numpy()
-        x = np.array([v for v in table.column(vector).to_pylist()], dtype=np.float64).reshape(len(side), -1)
-        ids = table.column(id_col).to_numpy()
-        a, b, own, other = x[side == 0], x[side == 1], ids[side == 0], ids[side == 1]
-        total = np.zeros(len(a))
-        for s in range(0, len(b), BLOCK):
-            sim = np.clip(a @ b[s : s + BLOCK].T, 0, 1)
-            sim[own[:, None] == other[None, s : s + BLOCK]] = 0
-            total += sim.sum(1)
-        first = table.slice(0, 1)
-        return pa.table([pa.array(first.column(k).to_pylist() * len(a), table.schema.field(k).type) for k in keys] + [pa.array(own, table.schema.field(id_col).type), pa.array(total)], names=[*keys, id_col, "s"])
+        own, first = table.column("_own").to_numpy(), table.column("_i")[0].as_py()
+        flat = table.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        x, ids, total = flat.reshape(len(own), -1), table.column(id_col).to_numpy(), np.zeros(len(own))
+        rows, cols = np.flatnonzero(own == first), np.flatnonzero(own == table.column("_j")[0].as_py())
+        for s in range(0, len(rows), TILE):
+            at = rows[s : s + TILE]
+            sim = np.clip(x[at] @ x[cols].T, 0, 1)
+            sim[ids[at, None] == ids[None, cols]] = 0
+            total[at] += sim.sum(axis=1)
+            if first != table.column("_j")[0].as_py():
+                total[cols] += sim.sum(axis=0)
+        return table.select([*keys, id_col]).append_column("s", pa.array(total))
 
     fields = ", ".join(f"`{k}` {vectors.schema[k].dataType.simpleString()}" for k in (*keys, id_col))
-    sums = rows.unionByName(cols).groupBy(*keys, "_i", "_j").applyInArrow(run, f"{fields}, s double")
+    sums = met.groupBy(*keys, "_i", "_j").applyInArrow(run, f"{fields}, s double")
     total = sums.groupBy(*keys, id_col).agg(F.sum("s").alias("s")).join(sizes, list(keys))
     return total.select(*keys, id_col, F.when(F.col("_n") == 1, 1.0).otherwise(F.col("s") / (F.col("_n") - 1)).alias("score"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from quire import proxies as P
 from quire.functions import numbers as N
 from quire.functions import text as T
-from quire.operators import analysis, cache, chunks, classify, composites, evidence, facts, flags, ingest, insights, models, priors, redline, relevance, report, segment, sentences, sentiment, similarity, vectors
+from quire.operators import analysis, cache, chunks, classify, composites, evidence, facts, flags, ingest, insights, models, priors, redline, relevance, report, scoring, segment, sentences, sentiment, similarity, vectors
 from quire.plans.registry import KEYWORDS, LEXICON, PRIORITY, TITLES
 from quire.sources import files, html
-from quire.streaming import progress
+from quire.session import shared_folder
+from quire.streaming import progress, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -781,6 +783,30 @@ def stream_progressive_counts(spark, d):
     return progress.run_once(s).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("select user_id, count(*) as n, round(sum(value), 4) as total, max(struct_pack(ts := ts, event_id := event_id)).event_id as last_event from events group by user_id")
+def stream_folded_table(spark, d):
+    """SNK1, SNK9: events of each user folded into a keyed table, every micro-batch given twice and an old one once more; none counts again."""
+    events = progress.read_events(spark, P.event_files(spark, d, again=0))
+    rows = events.select("user_id", F.lit(1).cast("bigint").alias("n"), F.coalesce("value", F.lit(0.0)).alias("total"), F.struct("ts", "event_id").alias("last"))
+    table = sinks.FoldedTable(spark, shared_folder(spark, "users"), rows.schema, ["user_id"], {"n": F.sum("n"), "total": F.sum("total"), "last": F.max("last")}, buckets=8)
+
+    def again(batch, batch_id):
+        table.merge(batch, batch_id)
+        table.merge(batch, 0)
+
+    sinks.fold_stream(rows, table, shared_folder(spark, "checkpoint"), again)
+    return table.current(spark).select("user_id", "n", F.round("total", 4).alias("total"), F.col("last.event_id").alias("last_event"))
+
+
+@query("""with e as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from (select user_id, ts, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) <= 10800000000 then 0 else 1 end as new from events)),
+    s as (select user_id, k, min(epoch_us(ts)) as first_us, max(epoch_us(ts)) as last_us, count(*) as n, k = max(k) over (partition by user_id) as final from e group by user_id, k)
+    select user_id, first_us, last_us, n from s where not final or last_us // 1000 + 10800000 < (select max(epoch_us(ts)) // 1000 - 600000 from events)""")
+def stream_silences(spark, d):
+    """ST3, ST8: spells of activity that three hours of silence end, the last of a user by a timer."""
+    events = progress.read_events(spark, P.event_files(spark, d, again=0))
+    return progress.run_once(progress.silences(events, "user_id", 3 * 3_600_000), mode="append")
+
+
 @query("with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 5 minutes then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from e) select user_id, count(*) as n, min(ts) as first from s group by user_id, k")
 def stream_sessions(spark, d):
     """ST3, ST7: sessions with a gap of five minutes."""
@@ -817,6 +843,26 @@ def sentence_sentiment(spark, d):
     return sentiment.tally(s, "doc_id")
 
 
+_LOSS = r"loss(?:es)?|declin\w+|decreas\w+|weak\w*|threat\w*|adverse\w*|worthless|impair\w+|litigation"
+
+
+@query(rf"""with {_SENT_A}, l as (select doc_id, md5(coalesce(text, '')) as h, min(position(chr(10) in text)) as cut from documents group by all),
+    st as (select distinct h from l where doc_id % 4 = 0),
+    s as (select sent.doc_id, h, len(regexp_extract_all(sentence, '(?i)\b(?:{_TONE})\b')) as p, len(regexp_extract_all(sentence, '(?i)\b(?:{_LOSS})\b')) as n from sent join l using (doc_id) where not (cut > 0 and s_start < cut) and h not in (select h from st)),
+    k as (select doc_id, case when p > n and p / (p + n)::double >= 0.6 then 'positive' when n > p and n / (p + n)::double >= 0.6 then 'negative' else 'neutral' end as label, case when p = n then 1.0 else greatest(p, n) / (p + n)::double end as score from s)
+    select doc_id, false as cached, count(*) as n, count_if(label = 'positive') as positive, count_if(label = 'negative') as negative, round(sum(score), 6) as score from k group by doc_id
+    union all select doc_id, true, 1, 0, 1, 0.75 from l where h in (select h from st)""")
+def sentiment_pass(spark, d):
+    """CMP6, MDL1, SRC13: documents that the store has are taken from there, the sentences of the others are scored once each, outside their first lines."""
+    docs = P.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    first = F.when(F.instr("text", "\n") > 0, F.array(F.struct(F.lit(0).alias("s"), (F.instr("text", "\n") - 1).cast("int").alias("e"))))
+    sections = docs.select("doc_id", F.md5("text").alias("text_hash"), F.lit("item_7_mdna").alias("section_id"), F.lit(1).alias("section_order"), F.lit(0).alias("start"), "text", first.alias("tables"))
+    one = F.array(F.struct(F.lit(1).alias("place"), F.lit("item_7_mdna").alias("section_id"), F.lit(0).alias("sent_idx"), F.lit("negative").alias("label"), F.lit(0.75).alias("score"), F.lit(0).alias("start"), F.lit(1).alias("end")))
+    store = sections.where("doc_id % 4 < 2").select("doc_id", "text_hash", F.when(F.col("doc_id") % 4 == 0, "words").otherwise("another").alias("model"), one.alias("results"))
+    results, _ = scoring.sentiment_pass(sections, store, "doc_id", model="words", tables="tables")
+    return results.groupBy("doc_id", "cached").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "positive").alias("positive"), F.count_if(F.col("label") == "negative").alias("negative"), F.round(F.sum("score"), 6).alias("score"))
+
+
 @query()
 def extractive_summary(spark, d):
     """CMP7, VEC2: the most central sentences of each document in reading order."""
@@ -1121,12 +1167,25 @@ def section_summaries(spark, d):
     return told.select("conv_id", "section_id", "register", F.sha2("summary", 256).alias("summary_sha256"), "from_cache")
 
 
-@query()
+def _type_sql(kind: str) -> str:
+    return q(r"(?i)\b(?:" + "|".join(re.escape(term) for t, term, *_ in LEXICON if t == kind) + r")\b")
+
+
+_WHY_SQL = "concat_ws(' ', case dim " + " ".join(f"when {q(x)} then {q(n)}" for x, n in insights.SUBJECT.items()) + " end, " + ", ".join(f"case when regexp_matches(sentence, {_type_sql(k)}) then {q(n)} end" for k, n in insights.CAVEAT.items()) + ")"
+_NUMERIC_SQL = r"regexp_matches(sentence, '\$\s?[\d,.]+|\d+(?:\.\d+)?\s?%|\b\d{2,}\b')"
+
+
+@query(rf"""with st as ({P.STATEMENTS_SQL}), t as (select *, len(regexp_extract_all(sentence, '(?i)\b(?:{_TONE})\b')) - len(regexp_extract_all(sentence, {_type_sql('negative')})) as b, {_NUMERIC_SQL} as fig,
+        conv_id % 3 as k from st),
+    x as (select conv_id, sent_idx, sentence, b, fig, k, unnest(list_filter([{", ".join(f"case when {_hit(x)} then {q(x)} end" for x in KEYWORDS)}], lambda x: x is not null)) as dim from t)
+    select conv_id, sent_idx, dim, {_WHY_SQL} as why,
+        case when b <> 0 then case when b > 0 then 'More good than bad news' else 'More bad than good news' end || case when fig then ', with figures to compare.' else ', without a figure.' end
+            when fig then 'A figure to compare with the period before.' when k = 0 then '' else case when k = 1 then 'The text around it leans to the good.' else 'The text around it leans to the bad.' end end as meaning from x""")
 def insight_notes(spark, d):
     """STR30: why statements matter and what they mean."""
     st = P.statements(spark, d).select("conv_id", "sent_idx", "sentence", F.explode(relevance.dimensions(F.col("sentence"))).alias("dim"))
-    numeric = F.col("sentence").rlike(relevance.NUMERIC)
-    return st.select("conv_id", "sent_idx", "dim", insights.why_it_matters(F.col("sentence"), F.col("dim")).alias("why"), insights.what_it_means(F.col("sentence"), numeric, F.lit(3), F.lit(0.2), F.lit("Bullish")).alias("meaning"))
+    numeric, around = F.col("sentence").rlike(relevance.NUMERIC), F.col("conv_id") % 3  # the tone around: none, good, bad
+    return st.select("conv_id", "sent_idx", "dim", insights.why_it_matters(F.col("sentence"), F.col("dim")).alias("why"), insights.what_it_means(F.col("sentence"), numeric, around + 2, 1.5 - around, F.when(around == 0, "Neutral").otherwise("Mixed")).alias("meaning"))
 
 
 @query(f"""with {_FLAGS}, k as (select doc_id, type, count(*) as n from flags group by 1, 2), f as (select doc_id, string_agg(replace(type, '_', ' ') || ' ' || n, ', ' order by n desc, type) as flagged from k group by 1)

@@ -51,11 +51,6 @@ def run_once(stream: DataFrame, mode: str = "complete", checkpoint: str | None =
     return spark.read.schema(stream.schema).parquet(*[f"{root}/batches/{k}" for k in wanted])
 
 
-def upsert_batches(stream: DataFrame, merge, checkpoint: str):
-    """Give each micro-batch to ``merge`` (DataFrame, batch id), such as an upsert into a store."""
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def running_means(events: DataFrame, key: str, value: str = "value", keep: float = 0.7, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """(key, n, mean): an exponential mean per key, kept as state over micro-batches; rows of a batch in the order given."""
     import pandas as pd
@@ -74,6 +69,45 @@ def running_means(events: DataFrame, key: str, value: str = "value", keep: float
     return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, n bigint, mean double", "n bigint, mean double", "update", GroupStateTimeout.NoTimeout)
 
 
+def silences(events: DataFrame, key: str, gap_ms: int, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """(key, first_us, last_us, n): spells of activity, each told once nothing has followed for ``gap_ms``.
+
+    A spell ends by a timer on event time, so the last one of a key is told without a next event, as soon as the
+    watermark has passed its end by the gap; rows behind the watermark are dropped.  State is three numbers a key;
+    a key's rows of one micro-batch are sorted, which maxFilesPerTrigger bounds.  Rows without key or time are passed over.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    gap = gap_ms * 1_000
+
+    def step(k, frames, state: GroupState):
+        first, last, n = state.get if state.exists else (0, -1, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], "first_us": [first], "last_us": [last], "n": [n]})
+            return
+        at = np.sort(np.concatenate([f["_us"].to_numpy(np.int64) for f in frames]))
+        inside = (at >= first) & (at <= last)
+        at, n = at[~inside], n + int(inside.sum())
+        # what is open is one stretch among the single events
+        begin, end, count = at, at, np.ones(len(at), np.int64)
+        if n:
+            place = int(np.searchsorted(at, first))
+            begin, end, count = np.insert(at, place, first), np.insert(at, place, last), np.insert(count, place, n)
+        cuts = np.concatenate([[0], np.flatnonzero(begin[1:] - end[:-1] > gap) + 1])
+        first, last, n = begin[cuts], end[np.append(cuts[1:], len(end)) - 1], np.add.reduceat(count, cuts)
+        if len(cuts) > 1:
+            yield pd.DataFrame({key: [k[0]] * (len(cuts) - 1), "first_us": first[:-1], "last_us": last[:-1], "n": n[:-1]})
+        state.update((int(first[-1]), int(last[-1]), int(n[-1])))
+        state.setTimeoutTimestamp(max(int(last[-1]) // 1_000 + gap_ms, state.getCurrentWatermarkMs() + 1))
+
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts, F.unix_micros(ts).alias("_us")).withWatermark(ts, delay)
+    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, first_us bigint, last_us bigint, n bigint", "first bigint, last bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 #: Characters that a page must have, growth that counts, how long it must rest, and how long it is waited for (fixed values).
 READY_CHARS, GROWTH, REST_MS, WAIT_MS = 750, 32, 500, 8_000
 

@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quire.functions import sequences
-from quire.operators import analysis, cache, chunks, composites, evidence, flags, ingest, insights, priors, redline, relevance, report, similarity
+from quire.operators import analysis, cache, chunks, composites, evidence, flags, ingest, insights, priors, redline, relevance, report, scoring, similarity
 from quire.sources import files
 from quire.streaming import progress
 
@@ -218,7 +218,8 @@ def test_summaries_of_sections(spark):
 
 def test_notes_and_digests(spark):
     say = lambda c: spark.range(1).select(c.alias("x")).first().x
-    assert say(insights.why_it_matters(F.lit("Our largest customer left"), F.lit("revenue"))) == insights.WHY[0][2] and say(insights.why_it_matters(F.lit("x"), F.lit("margins"))) == insights.WHY_ELSE["margins"]
+    assert say(insights.why_it_matters(F.lit("A lawsuit may follow"), F.lit("revenue"))) == "It tells what comes in. The wording is a lawyer's. The wording leaves room."
+    assert say(insights.why_it_matters(F.lit("x"), F.lit("margins"))) == insights.SUBJECT["margins"] and say(insights.why_it_matters(F.lit("x"), F.lit("none"))) == ""
     zero = F.lit(0)
     assert say(insights.what_it_means(F.lit("Sales grew"), F.lit(True), zero, zero, F.lit("Neutral"))) != say(insights.what_it_means(F.lit("Sales grew"), F.lit(False), zero, zero, F.lit("Neutral")))
     assert say(insights.what_it_means(F.lit("x"), F.lit(False), F.lit(3), F.lit(-1), F.lit("Bearish"))).endswith("bad.") and say(insights.what_it_means(F.lit("x"), F.lit(False), F.lit(2), F.lit(-1), F.lit("Bearish"))) == ""
@@ -297,9 +298,80 @@ def test_streams_keep_state_over_batches(spark, tmp_path):
         for i in range(u, 30, 3):
             mean = float(i) if mean is None else mean * 0.7 + i * 0.3
         assert last[u][0] == 10 and abs(last[u][1] - mean) < 1e-9
-    seen = []
-    progress.upsert_batches(progress.read_events(spark, f"{tmp_path}/e"), lambda df, k: seen.append((k, df.count())), f"{tmp_path}/up").awaitTermination()
-    assert [n for _, n in sorted(seen)] == [10, 10, 10]
+
+
+def test_batches_are_folded_into_a_table_once(spark, tmp_path):
+    """Given twice, again later, or after a failure halfway, a batch counts once; readers never see half of one."""
+    from quire.streaming.sinks import FoldedTable
+
+    schema = "k string, n bigint, top int"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    table = FoldedTable(spark, str(tmp_path / "t"), batch(("a", 1, 1)).schema, ["k"], {"n": F.sum("n"), "top": F.max("top")}, buckets=4)
+    now = lambda t=table: sorted(map(tuple, t.current(spark).collect()), key=str)
+    assert now() == []
+    first = batch(("a", 1, 5), ("a", 1, 2), ("b", 1, None), (None, 1, 7))
+    for _ in range(2):
+        table.merge(first, 0)
+    assert now() == sorted([("a", 2, 5), ("b", 1, None), (None, 1, 7)], key=str)
+    # rows of a batch that failed before it was told to the ledger are not seen, and written over later
+    spark.createDataFrame([("a", 99, 99, 1, 0), ("z", 9, 9, 1, 3)], schema + ", version int, bucket int").write.mode("append").partitionBy("version", "bucket").parquet(table.rows)
+    assert len(now()) == 3 and ("a", 2, 5) in now()
+    table.merge(batch(("a", 10, 1), ("c", 1, 1)), 1)
+    table.merge(first, 0)
+    again = FoldedTable(spark, str(tmp_path / "t"), first.schema, ["k"], {"n": F.sum("n"), "top": F.max("top")}, buckets=4)  # another job
+    again.merge(batch(("a", 10, 1), ("c", 1, 1)), 1)
+    assert now() == now(again) == sorted([("a", 12, 5), ("b", 1, None), ("c", 1, 1), (None, 1, 7)], key=str)
+    again.merge(batch(), 2)
+    assert len(now()) == 4
+
+
+def test_sentiment_pass(spark):
+    """The model sees each new sentence once, in batches by length; a call that fails leaves its own texts; the store is used and filled."""
+    texts = ["Sales grew and margins improved a lot. Nothing else was said here. Losses were feared by everyone.", "Sales grew and margins improved a lot. A bad apple spoils the whole model.", "Stored long ago, as it was told."]
+    rows = [(i, f"h{i}", "item_1a_risk_factors" if k else "item_7_mdna", 9 - k, 1_000 * k, t, None) for i, t in enumerate(texts) for k in range(2)]
+    sections = spark.createDataFrame(rows, "doc int, text_hash string, section_id string, section_order int, start int, text string, tables array<struct<s:int,e:int>>").coalesce(1)
+    kind = "text_hash string, model string, results array<struct<place:int,section_id:string,sent_idx:int,label:string,score:double,start:int,end:int>>"
+    store = spark.createDataFrame([("h2", "m", [(1, "x", 0, "positive", 0.9, 0, 5)]), ("h1", "another", [(1, "x", 0, "positive", 0.9, 0, 5)])], kind)
+    calls, loads = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+
+        def model(batch):
+            calls.add(1)
+            if any("bad apple" in t for t in batch):
+                raise RuntimeError("no")
+            assert [len(t) for t in batch] == sorted(len(t) for t in batch)
+            return [("POSITIVE", 0.8 if "grew" in t else 0.4) for t in batch]
+
+        return model
+
+    results, records = scoring.sentiment_pass(sections, store, "doc", model="m", load=load, tables="tables")
+    got = sorted((r.doc, r.place, r.sent_idx, r.label, r.start, r.degraded, r.cached) for r in results.collect())
+    assert [(x[1], x[2]) for x in got if x[0] == 0] == [(p, i) for p in (1, 2) for i in range(3)]
+    assert [x[1:] for x in got if x[0] == 2] == [(1, 0, "positive", 0, False, True)]  # stored, whatever the sections
+    assert all(x[3] == "neutral" and x[5] for x in got if x[0] < 2)  # all four texts were in the call that failed
+    assert records.count() == 0 and calls.value == 1 and loads.value == 1
+    results, records = scoring.sentiment_pass(sections.where("doc <> 1"), store, "doc", model="m", load=load)
+    assert [(r.text_hash, len(r.results)) for r in records.collect()] == [("h0", 6)] and results.count() == 7 and calls.value == 2
+    again, none = scoring.sentiment_pass(sections.where("doc <> 1"), store.unionByName(records), "doc", model="m", load=load)
+    assert sorted(map(tuple, again.drop("cached").collect())) == sorted(map(tuple, results.drop("cached").collect())) and none.count() == 0 and calls.value == 2
+    few = scoring.score_texts(sections.select(F.col("text").alias("sentence")).unionByName(spark.createDataFrame([(None,)], "sentence string")), load, batch=1)
+    told = few.collect()
+    assert [r.degraded for r in told if r.sentence is None] == [True] and {r.degraded for r in told if r.sentence == texts[0]} == {False} and {r.degraded for r in told if r.sentence == texts[1]} == {True}
+
+
+def test_silence_is_told_without_a_next_event(spark, tmp_path):
+    minute = 60_000_000
+    at = {"a": [0, 5, 8, 60, 62, 300], "b": [1, 299], "c": [2, 3], None: [4]}
+    since = 1_700_000_000_000_000
+    rows = [(u, m) for u, ms in at.items() for m in ms]
+    for low, high in ((0, 59), (59, 290), (290, 999)):
+        part = [(u, since + m * minute) for u, m in rows if low <= m < high] + [("a", None)]
+        spark.createDataFrame(part, "u string, us bigint").select("u", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    told = progress.run_once(progress.silences(progress.read_events(spark, f"{tmp_path}/e"), "u", 30 * 60_000), mode="append")
+    got = sorted((r.u, (r.first_us - since) // minute, (r.last_us - since) // minute, r.n) for r in told.collect())
+    assert got == [("a", 0, 8, 3), ("a", 60, 62, 2), ("b", 1, 1, 1), ("c", 2, 3, 2)]  # what is open within the last half hour is not told
 
 
 def test_files(spark, tmp_path):
