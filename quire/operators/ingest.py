@@ -95,7 +95,7 @@ def ingest(pages: DataFrame, *keys: str, url: str = "url", html: str = "html") -
 
     documents: keys, url, category, bucket, form, confidence, company, period, accession, text, tables, text_hash,
     segmentation, n_sections.  sections: keys, section_id, section_order, start, end, text.  Pages that are not
-    filings are cut at their headings; a filing's sections come from its item headers.
+    filings are cut at their headings; a filing's sections come from its item headers or titles, as its form has them.
     """
     from quire.sources.html import normalised
 
@@ -111,13 +111,34 @@ def ingest(pages: DataFrame, *keys: str, url: str = "url", html: str = "html") -
     readable = F.col("category").isin(*READABLE)
     own = ["section_id", "section_order", "start", "end", "text"]
     headed = segment.heading_texts(docs.where(readable), *keys, html="_source").join(docs.select(*keys, "form"), list(keys)).select(*keys, "form", *own)
-    sections = segment.item_sections(docs.where(~readable), *keys).unionByName(headed)
+    sections = segment.sections_by_form(docs.where(~readable), *keys).unionByName(headed)
     docs = docs.drop("_source")
     seg = segment.confidence(sections, *keys, count="n_sections")
     out = docs.join(seg, list(keys), "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0)))
     return out.withColumn("segmentation", F.coalesce("segmentation", F.lit("low"))), sections
 
 
+def ingest_texts(documents: DataFrame, *keys: str, url: str | None = None, parse=None) -> tuple[DataFrame, DataFrame]:
+    """(documents, sections) of files without markup: rows (keys, length, content, and the address in ``url`` if there is one).
+
+    documents: keys, text, pages, error, form, confidence, company, period, ticker, text_hash, segmentation, n_sections;
+    sections: keys, form, section_id, section_order, start, end, text.  A file that can't be read keeps its row, with its
+    error, and has no sections.
+    """
+    from quire.session import written
+    from quire.sources.files import cover
+    from quire.sources.pages import paged_texts, plain_pages
+
+    own = [*keys, *([url] if url else [])]
+    read = written(paged_texts(documents, *own, parse=parse or plain_pages), "texts")  # a parser runs once
+    form = classify.detect_form(F.lit(None).cast("string"), F.col(url) if url else F.lit(""), F.coalesce("text", F.lit("")))
+    docs = read.withColumn("_f", form).withColumn("_c", cover(F.col("text")))
+    docs = docs.select(*own, "text", "pages", "error", "_f.form", "_f.confidence", "_c.company", "_c.period", "_c.ticker", content_hash(F.col("text")).alias("text_hash"))
+    sections = segment.sections_by_form(docs.where("error is null"), *keys)
+    out = docs.join(segment.confidence(sections, *keys, count="n_sections"), list(keys), "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0)))
+    return out.withColumn("segmentation", F.coalesce("segmentation", F.lit("low"))), sections
+
+
 def capabilities(category: Column, form: Column, low: Column, n_sections: Column) -> Column:
     """What applies to a document: reports, indexes, exhibits and generic pages keep the summary only; general financial
     pages and PDFs have no prior version to compare with."""

@@ -102,6 +102,23 @@ def title_sections(docs: DataFrame, form: str, *keys: str, text: str = "text") -
     return found.unionByName(whole)
 
 
+def sections_by_form(docs: DataFrame, *keys: str, form: str = "form", text: str = "text") -> DataFrame:
+    """(keys, form, section_id, section_order, start, end, text): each document cut the way its form asks for, in one plan.
+
+    Forms with items are cut at item headers, forms with titles at these, any other document is one section; an empty
+    text has none.  Every row takes one of the ways.
+    """
+    f = F.coalesce(F.col(form), F.lit("UNKNOWN"))
+    own = docs.select(*keys, f.alias("form"), F.col(text).alias("text"))
+    out = item_sections(own.where(F.col("form").isin(*ITEM_FORMS)), *keys)
+    for name in (t for t in TITLES if t not in ITEM_FORMS):
+        cut = title_sections(own.where(F.col("form") == name), name, *keys).join(own, list(keys))
+        part = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+        out = out.unionByName(cut.select(*keys, "form", "section_id", "section_order", "start", "end", F.regexp_replace(part, r"^\s+|\s+$", "").alias("text")))
+    rest = own.where(~F.col("form").isin(*ITEM_FORMS, *TITLES) & (F.length("text") > 0))
+    return out.unionByName(rest.select(*keys, "form", F.lit("document_body").alias("section_id"), F.lit(1).alias("section_order"), F.lit(0).alias("start"), F.length("text").alias("end"), F.trim("text").alias("text")))
+
+
 def is_by_reference(section_id: Column, text: Column) -> Column:
     """Whether a discussion section only points elsewhere."""
     return section_id.rlike("mdna|operating_review") & (F.length(text) < LONG_POINTER) & (text.rlike(BY_REFERENCE) | text.rlike(POINTER))

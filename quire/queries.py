@@ -13,7 +13,7 @@ from quire.functions import numbers as N
 from quire.functions import text as T
 from quire.operators import analysis, cache, chunks, classify, composites, evidence, facts, flags, ingest, insights, models, priors, redline, relevance, report, scoring, segment, sentences, sentiment, similarity, vectors
 from quire.plans.registry import KEYWORDS, LEXICON, PRIORITY, TITLES
-from quire.sources import files, html
+from quire.sources import files, html, json
 from quire.session import shared_folder
 from quire.streaming import progress, sinks
 
@@ -307,11 +307,46 @@ def _s1_hits() -> str:
     union all select conv_id, 'document_body', 1, 0, length(text)::int from s1 where length(text) > 0 and conv_id not in (select conv_id from c where k > 1)""")
 def title_sections(spark, d):
     """STR7, WIN3: sections at the last match of each title."""
+    return _named(segment.title_sections(_titled(spark, d), "S-1", "conv_id"))
+
+
+def _titled(spark, d):
     turns = P.table(spark, d, "conversations")
     head = F.element_at(F.array(*[F.lit(x) for x in ("RISK FACTORS", "USE OF PROCEEDS", "DILUTION", "LEGAL MATTERS")]), (F.col("turn") % 4 + 1).cast("int"))
     row = F.concat(head, F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"))
-    docs = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("row")))), lambda x: x["row"]), "\n").alias("text"))
-    return _named(segment.title_sections(docs, "S-1", "conv_id"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("row")))), lambda x: x["row"]), "\n").alias("text"))
+
+
+_S1_COUNT = f"s1 as {_S1}, h as ({_s1_hits()}), c as (select *, count(*) over (partition by conv_id) as k, lead(hs) over (partition by conv_id order by hs, section_order) as nx from h)"
+_BY_FORM = f"""{_HITS}, {_SECTIONS}, {_S1_COUNT},
+    titled as (select conv_id, section_id, section_order, he as s_start, coalesce(nx, size) as s_end from c where k > 1 and he < coalesce(nx, size) union all select conv_id, 'document_body', 1, 0, length(text) from s1 where length(text) > 0 and conv_id not in (select conv_id from c where k > 1)),
+    cut as (select conv_id, '10-K' as form, section_id, section_order, s_start, s_end from sections where conv_id % 3 = 0 union all select conv_id, 'S-1', section_id, section_order, s_start, s_end from titled where conv_id % 3 = 1
+        union all select conv_id, 'UNKNOWN', 'document_body', 1, 0, length(text) from fil where conv_id % 3 = 2)"""
+
+
+def _mixed_forms(spark, d):
+    """(conv_id, form, text): conversations as filings with items, with titles, and of no known form."""
+    titled = _titled(spark, d).select("conv_id", F.lit("S-1").alias("form"), "text").where("conv_id % 3 = 1")
+    itemed = P.filings(spark, d).where("conv_id % 3 <> 1").withColumn("form", F.when(F.col("conv_id") % 3 == 0, F.col("form")).otherwise("UNKNOWN"))
+    return itemed.unionByName(titled)
+
+
+@query(f"with {_BY_FORM} select conv_id, form, section_id, section_order::int as section_order, s_start::int as s_start, s_end::int as s_end from cut")
+def sections_by_form(spark, d):
+    """CMP2: items, titles or the whole document, as each row's form asks for."""
+    return _named(segment.sections_by_form(_mixed_forms(spark, d), "conv_id").drop("text"))
+
+
+@query(f"""with {_BY_FORM}, k as (select conv_id, form, count(*) as n from cut group by all), b as (select distinct conv_id from k)
+    select conv_id, case when conv_id % 11 = 5 then 'UNKNOWN' else form end as form, case when conv_id % 11 <> 5 then 'Firm ' || conv_id || ' Corp' end as company, case when conv_id % 11 <> 5 then '2023-12-31' end as period,
+        case when conv_id % 11 = 5 then 0 else 2 end as pages, conv_id % 11 = 5 as failed, case when conv_id % 11 = 5 then 0 else n end as n_sections from k""")
+def text_ingest(spark, d):
+    """CMP1, CMP3, SRC4, SRC6, STR27: files of pages to documents; one in eleven can't be read, and says so."""
+    head = F.concat(F.lit("Firm "), F.col("conv_id").cast("string"), F.lit(" Corp\n(Exact name of registrant as specified in its charter)\nFor the fiscal year ended December 31, 2023\n"), F.when(F.col("form") != "UNKNOWN", F.concat(F.lit("FORM "), F.col("form"))).otherwise("A letter"), F.lit("  \n\f"))
+    content = F.encode(F.concat(head, "text"), "utf-8")
+    files_of = _mixed_forms(spark, d).select("conv_id", F.when(F.col("conv_id") % 11 == 5, F.concat(F.unhex(F.lit("FF")), content)).otherwise(content).alias("content"))
+    docs, _ = ingest.ingest_texts(files_of.withColumn("length", F.octet_length("content")), "conv_id")
+    return docs.select("conv_id", "form", "company", "period", "pages", F.col("error").isNotNull().alias("failed"), F.col("n_sections").cast("bigint").alias("n_sections"))
 
 
 @query(r"""select page_id, 'report_' || n || '_' || case when slug = '' then 'section' else slug end as section_id, label, n::int as section_order from (select page_id, n, label, regexp_replace(substr(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), 'zzzz$', 'zzzz') as slug from (
@@ -425,6 +460,19 @@ def submission_rows(spark, d):
 _YOY = "case when prior_value <> 0 then (current_value - prior_value) / abs(prior_value) end"
 
 
+@query("""with fit as (select *, case when json_valid(props) then coalesce(json_type(props, '$.k') in ('UBIGINT', 'BIGINT'), true) else false end as ok from clicks)
+    select click_id, arrived_at, 'read' as told, (props->>'$.k')::bigint as k, props->>'$.device.os' as os, json_array_length(props, '$.items')::int as n_items, null as raw from fit where props is null or ok
+    union all select click_id, arrived_at, 'rejected', null, null, null, props from fit where props is not null and not ok""")
+def json_two_modes(spark, d):
+    """JSN1: JSON of clicks as columns; what does not parse, or has a text for a number, lies beside it, as it was, and without it the strict reader gives the same."""
+    kind = "k bigint, device struct<os:string,ver:string>, tags array<string>, items array<struct<sku:bigint,qty:bigint>>"
+    clicks = P.table(spark, d, "clicks").select("click_id", "arrived_at", "props")
+    read, rejected = json.parsed(clicks, kind, "props")
+    strict = json.parsed_strictly(read.drop("parsed"), kind, "props")
+    one = strict.select("click_id", "arrived_at", F.lit("read").alias("told"), "parsed.k", "parsed.device.os", F.when(F.col("parsed.items").isNotNull(), F.size("parsed.items")).alias("n_items"), F.lit(None).cast("string").alias("raw"))
+    return one.unionByName(rejected.select("click_id", "arrived_at", F.lit("rejected").alias("told"), F.col("props").alias("raw")), allowMissingColumns=True)
+
+
 @query(f"with {P.PICKED_SQL} select entity, concept, current_end, current_value, prior_end, prior_value, round({_YOY}, 6) as yoy from picked")
 def facts_current_prior(spark, d):
     """AG10, WIN4, NUM2."""

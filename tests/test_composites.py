@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import sequences
 from quire.operators import analysis, cache, chunks, composites, evidence, flags, ingest, insights, priors, redline, relevance, report, scoring, similarity
-from quire.sources import files
+from quire.sources import files, pages
+from quire.sources import json as json_rows
 from quire.streaming import progress
 
 
@@ -379,9 +380,40 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"page one  \nx\fpage two")
     texts = files.read_texts(spark, f"{tmp_path}/*.txt").collect()
     assert [r.text for r in texts] == ["one\ntwo"]
+    (tmp_path / "c.bin").write_bytes(b"\xff\xfe broken")
+    (tmp_path / "d.bin").write_bytes(b"x" * 500)
     docs = files.read_documents(spark, f"{tmp_path}/*.bin")
-    got = files.page_texts(docs, lambda raw: raw.decode().split("\f")).collect()
-    assert [(r.text, r.pages) for r in got] == [("page one\nx\n\npage two", 2)] and files.read_documents(spark, f"{tmp_path}/*.bin", most_bytes=3).count() == 0
+    got = {r.path[-5:]: (r.text, r.pages, r.error and r.error.split(":")[0]) for r in pages.paged_texts(docs, "path", most_bytes=400).collect()}
+    assert got == {"b.bin": ("page one\nx\n\npage two", 2, None), "c.bin": (None, 0, "UnicodeDecodeError"), "d.bin": (None, 0, "larger than 400 bytes")}
+    odd = spark.createDataFrame([(1, None, None), (2, 0, b"")], "k int, length bigint, content binary")
+    assert sorted(map(tuple, pages.paged_texts(odd, "k").collect())) == [(1, "", 0, None), (2, "", 1, None)]
+
+
+def test_texts_to_documents(spark):
+    """Files of different forms, one broken, through detection, sections and cover."""
+    ten_k = "Firm A\n(Exact name of registrant as specified in its charter)\nFORM 10-K\nFor the fiscal year ended June 30, 2022\fITEM 1. Business\n" + "We sell. " * 40 + "\nITEM 1A. Risk Factors\n" + "It may rain. " * 40
+    s_1 = "FORM S-1\n  RISK FACTORS here\nfirst part\nUSE OF PROCEEDS\nlast words"
+    rows = [(1, ten_k.encode(), None), (2, s_1.encode(), None), (3, b"\xff", None), (4, b"A plain letter.", None), (5, b"", None), (6, ten_k.encode(), "https://x.com/a-8-k_b.htm")]
+    files_ = spark.createDataFrame(rows, "doc int, content binary, url string").withColumn("length", F.octet_length("content"))
+    docs, sections = ingest.ingest_texts(files_, "doc", url="url")
+    got = {r.doc: r for r in docs.collect()}
+    assert {k: (r.form, r.n_sections) for k, r in got.items() if k != 6} == {1: ("10-K", 2), 2: ("S-1", 2), 3: ("UNKNOWN", 0), 4: ("UNKNOWN", 1), 5: ("UNKNOWN", 0)}
+    assert (got[1].company, got[1].period, got[1].pages) == ("Firm A", "2022-06-30", 2) and got[3].error and got[6].form == "8-K"
+    ids = {(r.doc, r.section_id) for r in sections.collect()}
+    assert {(1, "item_1_business"), (1, "item_1a_risk_factors"), (2, "s1_use_of_proceeds"), (4, "document_body")} <= ids
+    whole = {r.doc: r.text for r in docs.collect()}
+    assert all(whole[r.doc][r.start : r.end].strip() == r.text for r in sections.collect())
+
+
+def test_json_that_does_not_parse(spark):
+    rows = spark.createDataFrame([(1, '{"k": 1, "o": {"x": "a"}}', "c"), (2, '{"k": 2, "o": {"x": "a"}', "c"), (3, None, "c"), (4, "", "c"), (5, '{"k": "x"}', "c"), (6, "{}", "c"), (7, "[1", "c")], "id int, json string, _broken string")
+    kind = "k bigint, o struct<x:string>"
+    read, rejected = json_rows.parsed(rows, kind)
+    assert sorted((r.id, r.parsed and r.parsed.k) for r in read.collect()) == [(1, 1), (3, None), (6, None)] or sorted((r.id, r.parsed and r.parsed.k) for r in read.collect()) == [(1, 1), (3, None), (4, None), (6, None)]
+    assert {r.id for r in rejected.collect()} >= {2, 5, 7} and read.count() + rejected.count() == 7 and rejected.columns == rows.columns
+    assert json_rows.parsed_strictly(rows.where("id in (1, 3, 6)"), kind).count() == 3
+    with pytest.raises(Exception, match="(?i)malformed"):
+        json_rows.parsed_strictly(rows.where("id = 2"), kind).collect()
 
 
 def test_vectors_of_a_comparison():

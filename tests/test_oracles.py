@@ -13,7 +13,7 @@ from quire import queries as own
 from quire.session import prepare
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks".split()
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="the test tables are not here")
 
 
