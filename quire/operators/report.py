@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +31,30 @@ def has_content(*sizes: Column) -> Column:
     return out
 
 
-def assemble(docs: DataFrame, parts: dict[str, DataFrame], *keys: str) -> DataFrame:
-    """(keys, report): a JSON row per document with the rows of each part; parts without rows are empty lists.
+def assemble(docs: DataFrame, parts: dict[str, tuple[DataFrame, str | None]], *keys: str) -> DataFrame:
+    """(keys, report): a JSON object per document with its fields, then the rows of each part as a list, empty without rows.
 
-    Each part is grouped before it is joined, so a report costs one join per part.
+    ``parts`` gives for each name its rows, which have the keys, and the number that orders them within a document; rows
+    of equal ones are ordered by their JSON.  All parts are grouped at once: a report costs one shuffle, however many
+    parts it has, and holds what belongs to one document.  Rows of parts whose document is not among ``docs`` are left out; repeated
+    documents give one report.
     """
-    out = docs
-    for name, part in parts.items():
-        cols = [c for c in part.columns if c not in keys]
-        rows = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))  # of one document
-        out = out.join(rows, list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.array()))
-    return out.select(*keys, F.to_json(F.struct(*[c for c in out.columns if c not in keys])).alias("report"))
+    def rows(df: DataFrame, part: int, order: str | None) -> DataFrame:
+        own = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+        place = F.lit(0).cast("bigint") if order is None else F.coalesce(F.col(order).cast("bigint"), F.lit(0).cast("bigint"))
+        return df.select(*keys, F.struct(F.lit(part).alias("part"), place.alias("place"), F.to_json(F.struct(*own) if own else F.struct(F.lit(None).alias("none"))).alias("row")).alias("_r"))
+
+    every = rows(docs, -1, None)
+    for i, (df, order) in enumerate(parts.values()):
+        every = every.unionByName(rows(df, i, order))
+    held = every.groupBy(*keys).agg(F.array_sort(F.collect_list("_r")).alias("_r")).where(F.get("_r", F.lit(0))["part"] == -1)
+
+    def listed(i: int) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.transform(F.filter("_r", lambda x: x["part"] == i), lambda x: x["row"]), ","), F.lit("]"))
+
+    fields = F.regexp_replace(F.get("_r", F.lit(0))["row"], r"^\{|\}$", "")
+    body = F.concat_ws(",", F.nullif(fields, F.lit("")), *[F.concat(F.lit(f"{json.dumps(name)}:"), listed(i)) for i, name in enumerate(parts)])
+    return held.select(*keys, F.concat(F.lit("{"), body, F.lit("}")).alias("report"))
 
 
 #: Passages of a comparison that are shown, their length, and how many go into a prompt, how long (fixed values).

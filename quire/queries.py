@@ -928,15 +928,40 @@ def report_names(spark, d):
     return P.table(spark, d, "documents").select("doc_id", name.alias("name"), report.has_content(F.length("text")).alias("filled"))
 
 
-@query()
-def export_report_rows(spark, d):
-    """SNK5, SNK6, AG12: a JSON report per document: flags, sentences, tone, and the passages that changed."""
+def _report(spark, d):
     docs = P.table(spark, d, "documents").select("doc_id", "source", "lang")
     every = sentences.sentences(P.table(spark, d, "documents"), "doc_id")
     tone = sentiment.tally(models.classify(every), "doc_id")
     versions = _versions(spark, d)
     changed = redline.redline(versions, "doc_id").join(versions, "doc_id").select("doc_id", "summary", report.shown_passages(F.transform("added", lambda r: F.substring(F.col("current_text"), r["start"] + 1, r["end"] - r["start"]))).alias("added"))
-    return report.assemble(docs, {"flags": _flags(spark, d), "sentences": every, "sentiment": tone, "redline": changed}, "doc_id")
+    known = facts.current_and_prior(P.facts(spark, d), "entity", "concept").withColumnRenamed("entity", "doc_id").select("doc_id", "concept", "current_end", "current_value", "prior_end", "prior_value")
+    cards = insights.change_cards(P.table(spark, d, "labels").select("doc_id", F.lit("item_7_mdna").alias("section_id"), ((F.col("doc_id") % 100) / 100).alias("magnitude"), F.lit("changed").alias("summary")), "doc_id")
+    best = extractive_summary(spark, d).join(every, ["doc_id", "sent_idx"]).select("doc_id", "place", "sentence")
+    parts = {"fundamentals": (known, None), "insights": (cards, "rank"), "summary": (best, "place"), "flags": (_flags(spark, d), "start"), "sentences": (every, "sent_idx"), "sentiment": (tone, None), "redline": (changed, None)}
+    return report.assemble(docs, parts, "doc_id")
+
+
+@query()
+def export_report_rows(spark, d):
+    """SNK5, SNK6, AG12: a JSON report per document: facts, insights, summary, flags, sentences, tone, and the passages that changed."""
+    return _report(spark, d)
+
+
+@query(f"""with {P.PICKED_SQL}, {_FLAGS}, {_SENT_A}, nf as (select doc_id, count(*) as n, min(f_start) as at from flags group by doc_id), ns as (select doc_id, count(*) as n, arg_max(sentence, sent_idx) as last from sent group by doc_id),
+    nk as (select entity as doc_id, count(*) as n, round(sum(current_value), 2) as total from picked group by entity)
+    select doc_id, source, coalesce(nk.n, 0) as n_facts, nk.total, (doc_id in (select doc_id from labels where doc_id % 100 >= 2))::int as n_insights,
+        least(coalesce(ns.n, 0), case when length(text) < 500 then 2 when length(text) < 2000 then 3 when length(text) < 8000 then 5 when length(text) < 20000 then 7 else 9 end) as n_summary,
+        coalesce(nf.n, 0) as n_flags, nf.at as first_flag, coalesce(ns.n, 0) as n_sentences, md5(ns.last) as last_sentence from documents left join nk using (doc_id) left join nf using (doc_id) left join ns using (doc_id)""")
+def report_parts(spark, d):
+    """SNK6: what the reports hold, read back from their JSON."""
+    kind = "source string, fundamentals array<struct<current_value:double>>, insights array<struct<label:string>>, summary array<struct<place:int>>, flags array<struct<start:int>>, sentences array<struct<sentence:string>>, sentiment array<struct<total:bigint>>, redline array<struct<summary:string>>"
+    r = json.parsed_strictly(_report(spark, d), kind, "report")
+    n = lambda part: F.size(f"parsed.{part}").cast("bigint")
+    total = F.round(F.aggregate("parsed.fundamentals", F.lit(0.0), lambda a, x: a + x["current_value"]), 2)
+    return r.select(
+        "doc_id", "parsed.source", n("fundamentals").alias("n_facts"), F.when(n("fundamentals") > 0, total).alias("total"), n("insights").cast("int").alias("n_insights"), n("summary").alias("n_summary"), n("flags").alias("n_flags"),
+        F.get("parsed.flags.start", F.lit(0)).alias("first_flag"), n("sentences").alias("n_sentences"), F.md5(F.try_element_at(F.col("parsed.sentences.sentence"), F.lit(-1))).alias("last_sentence"),
+    )
 
 
 # ── further operators ────────────────────────────────────────────────────────
