@@ -12,7 +12,7 @@ from quire import proxies as P
 from quire.functions import numbers as N
 from quire.functions import text as T
 from quire.operators import analysis, cache, chunks, classify, composites, evidence, facts, flags, ingest, insights, models, priors, redline, relevance, report, scoring, segment, sentences, sentiment, similarity, vectors
-from quire.plans.registry import KEYWORDS, LEXICON, PRIORITY, TITLES
+from quire.plans.registry import FORM_KEYWORDS, KEYWORDS, LEXICON, PRIORITY, TITLES
 from quire.sources import files, html, json
 from quire.session import shared_folder
 from quire.streaming import progress, sinks
@@ -884,16 +884,20 @@ def section_chunks(spark, d):
     return chunks.chunk_sections(P.table(spark, d, "documents"), "doc_id").select("doc_id", "chunk_idx", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
 
 
-@query()
+_LOSS = r"loss(?:es)?|declin\w+|decreas\w+|weak\w*|threat\w*|adverse\w*|worthless|impair\w+|litigation"
+
+
+_LABELS = rf"""k as (select doc_id, p, n, case when p > n and p / (p + n)::double >= 0.6 then 'positive' when n > p and n / (p + n)::double >= 0.6 then 'negative' else 'neutral' end as label
+        from (select doc_id, len(regexp_extract_all(sentence, '(?i)\b(?:{_TONE})\b')) as p, len(regexp_extract_all(sentence, '(?i)\b(?:{_LOSS})\b')) as n from sent))"""
+
+
+@query(f"with {_SENT_A}, {_LABELS} select doc_id, count_if(label = 'positive') as positive, count_if(label = 'negative') as negative, count_if(label = 'neutral') as neutral, count(*) as total from k group by doc_id")
 def sentence_sentiment(spark, d):
     """CMP6, MDL1: the stand-in classifier over all sentences."""
     s = models.classify(sentences.sentences(P.table(spark, d, "documents"), "doc_id"))
     return sentiment.tally(s, "doc_id")
 
 
-_LOSS = r"loss(?:es)?|declin\w+|decreas\w+|weak\w*|threat\w*|adverse\w*|worthless|impair\w+|litigation"
-
-
 @query(rf"""with {_SENT_A}, l as (select doc_id, md5(coalesce(text, '')) as h, min(position(chr(10) in text)) as cut from documents group by all),
     st as (select distinct h from l where doc_id % 4 = 0),
     s as (select sent.doc_id, h, len(regexp_extract_all(sentence, '(?i)\b(?:{_TONE})\b')) as p, len(regexp_extract_all(sentence, '(?i)\b(?:{_LOSS})\b')) as n from sent join l using (doc_id) where not (cut > 0 and s_start < cut) and h not in (select h from st)),
@@ -1077,12 +1081,16 @@ def content_hashes(spark, d):
     return P.table(spark, d, "documents").select("doc_id", ingest.content_hash(F.col("text")).alias("hash"))
 
 
-@query("select * from (values (1, 'Acme Corp', '2023-12-31', 'ACM'), (2, null, '2022-03-31', null), (3, null, null, null)) as t(id, company, period, ticker)")
+@query("select c_custkey, case when c_custkey % 4 <> 3 then c_name end as company, case c_custkey % 3 when 0 then strftime(date '2020-01-31' + (c_custkey % 900)::int, '%Y-%m-%d') when 1 then '2022-03-31' end as period, case when c_custkey % 5 <> 4 then substr(c_mktsegment, 1, 4) end as ticker from customer")
 def cover_pages(spark, d):
-    """STR27, SRC6."""
-    rows = [(1, "Acme Corp\n(Exact name of registrant)\nFor the fiscal year ended December 31, 2023\nTrading Symbol(s)\nACM\n"), (2, "For the quarterly period ended March 31, 2022"), (3, "")]
-    c = files.cover(F.col("text"))
-    return spark.createDataFrame(rows, "id int, text string").select("id", c["company"].alias("company"), c["period"].alias("period"), c["ticker"].alias("ticker"))
+    """STR27, SRC6: covers of customers as registrants, some without a name, a period or a symbol."""
+    c, key = P.table(spark, d, "customer"), F.col("c_custkey")
+    day = F.date_format(F.date_add(F.lit("2020-01-31").cast("date"), (key % 900).cast("int")), "MMMM d, yyyy")
+    name = F.concat("c_name", F.when(key % 4 != 3, F.lit("\n(Exact name of registrant as specified)\n")).otherwise("\n"))
+    period = F.when(key % 3 == 0, F.concat(F.lit("For the fiscal year ended "), day)).when(key % 3 == 1, "For the quarterly period ended: March 31, 2022").otherwise("No period")
+    text = F.concat(F.lit("FORM\n"), name, period, F.when(key % 5 != 4, F.concat(F.lit("\nTrading Symbol(s)\n"), F.substring("c_mktsegment", 1, 4), F.lit("\n"))).otherwise(""))
+    found = files.cover(text)
+    return c.select("c_custkey", found["company"].alias("company"), found["period"].alias("period"), found["ticker"].alias("ticker"))
 
 
 @query("select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) as company from pages union all select * from (values (-1, 'Linked Org'), (-2, 'Declared Inc'), (-3, 'Site'))")
@@ -1333,7 +1341,10 @@ def own_terms(spark, d):
     return found.groupBy("doc_id", F.lower("term").alias("term")).agg(F.count("*").alias("n"))
 
 
-@query()
+_FORM_HIT = {x: _hit(x) + (rf" or (conv_id % 2 = 0 and regexp_matches(sentence, '(?i)\b(?:{FORM_KEYWORDS['S-1'][x]})\b'))" if x in FORM_KEYWORDS["S-1"] else "") for x in KEYWORDS}
+
+
+@query(f"with st as (select * replace (sentence || ' use of proceeds' as sentence) from ({P.STATEMENTS_SQL})) select conv_id, sent_idx::int as sent_idx, array_to_string(list_filter([" + ", ".join(f"case when {_FORM_HIT[x]} then {q(x)} end" for x in KEYWORDS) + "], lambda x: x is not null), ',') as dims from st")
 def form_keywords(spark, d):
     """FLT19: a form's own words on top of those of the dimensions, over whole turns."""
     st = P.statements(spark, d).withColumn("form", F.when(F.col("conv_id") % 2 == 0, "S-1").otherwise("10-K")).withColumn("sentence", F.concat("sentence", F.lit(" use of proceeds")))
