@@ -177,6 +177,18 @@ def lexicon_flags(spark, d):
     return _flags(spark, d).select("doc_id", "type", "term", "note", F.col("start").alias("f_start"), F.col("end").alias("f_end"))
 
 
+_CAUTION = " Actual results could differ materially. It may rain."
+_CAUTIOUS = f"docs as (select doc_id, source, text || case when doc_id % 2 = 0 then {q(_CAUTION)} else '' end as text from documents)"
+
+
+@query(f"""with {_CAUTIOUS}, {_FLAGS.replace("from documents", "from docs")}, {_SENT_A.replace("from documents", "from docs")}, safe as (select * from sent where regexp_matches(sentence, {q(flags.BOILERPLATE)}))
+    select doc_id, type, term, f_start, exists (select 1 from safe where safe.doc_id = flags.doc_id and f_start >= s_start and f_start < s_end) as boilerplate from flags""")
+def boilerplate_flags(spark, d):
+    """FLT14: flags that start in a sentence of safe-harbour language, of which every other document has one."""
+    docs = P.table(spark, d, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 2 == 0, _CAUTION).otherwise("")).alias("text"))
+    return flags.flag(docs, flags.lexicon(spark), "doc_id").select("doc_id", "type", "term", F.col("start").alias("f_start"), "boilerplate")
+
+
 @query(f"with {_FLAGS} select source, type, count(*) as n, count(distinct doc_id) as n_docs from flags where type <> 'weak_modal' group by source, type")
 def flag_counts_by_type(spark, d):
     """AG8, FLT15: counts of the types that are switched on."""
@@ -1061,6 +1073,16 @@ def synthesis_digest(spark, d):
     return docs.select("doc_id", out.alias("digest")).where("digest <> ''")
 
 
+@query("""with t as (select conv_id, list(regexp_replace(text, '\\s+', ' ', 'g') order by turn) filter (role = 'user') as u, list(regexp_replace(text, '\\s+', ' ', 'g') order by turn) filter (role = 'assistant') as a from conversations where text is not null group by conv_id)
+    select conv_id, array_to_string(list_concat(['Signals'], list_concat(list_transform(coalesce(u, [])[1:4], lambda x: '[risk] ' || x), list_transform(coalesce(a, [])[1:3], lambda x: '[narrative] ' || x))), chr(10)) as digest from t""")
+def digest_items(spark, d):
+    """STR34: the first four items of a list and three of the narrative, each with its name."""
+    said = P.table(spark, d, "conversations").where("text is not null").select("conv_id", "role", F.struct("turn", F.regexp_replace("text", r"\s+", " ").alias("text")).alias("x"))
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("x")))), lambda x: x["text"])
+    rows = said.groupBy("conv_id").agg(of("user").alias("risk"), of("assistant").alias("narrative"))
+    return rows.select("conv_id", F.array_join(insights.digest_lines(F.lit("Signals"), {"risk": F.col("risk"), "narrative": F.col("narrative")}), "\n").alias("digest"))
+
+
 @query("select event_id, case when event_type in ('view', 'click') then event_type else 'other' end as kind, case when value between 1 and 5 then floor(value + 0.5)::int else 3 end as score from events")
 def coerced_values(spark, d):
     """STR33: enums and scores with defaults."""
