@@ -422,14 +422,20 @@ def form_detection(spark, d):
 
 
 _GATES = [(c, f, s, h, n) for c in ("edgar_filing", "ir_or_financial", "pdf", "sec_search") for f in ("10-K", "UNKNOWN", "DATA_REPORT") for s in ("high", "low") for h in (True, False) for n in (1, 3)]
-_GATE_SQL = "(values " + ", ".join(f"({q(c)}, {q(f)}, {q(s)}, {str(h).lower()}, {n})" for c, f, s, h, n in _GATES) + ") as g(category, form, segmentation, by_headings, n_sections)"
+_GATE_SQL = f"(select doc_id, g.* exclude (i) from labels join (values " + ", ".join(f"({i}, {q(c)}, {q(f)}, {q(s)}, {str(h).lower()}, {n})" for i, (c, f, s, h, n) in enumerate(_GATES)) + f") as g(i, category, form, segmentation, by_headings, n_sections) on doc_id % {len(_GATES)} = i)"
+
+
+def _gated(spark, d):
+    """Labelled documents, dealt out over all combinations of what gates look at."""
+    kinds = spark.createDataFrame([(i, *g) for i, g in enumerate(_GATES)], "i bigint, category string, form string, segmentation string, by_headings boolean, n_sections int")
+    return P.table(spark, d, "labels").select("doc_id", (F.col("doc_id") % len(_GATES)).alias("i")).join(F.broadcast(kinds), "i").drop("i")
 
 
 @query(f"""with g as (select *, case when segmentation = 'low' then true when category = 'edgar_filing' or form = 'DATA_REPORT' then false when by_headings or form = 'UNKNOWN' then true else n_sections <= 1 end as low from {_GATE_SQL})
     select *, low and category in ('ir_or_financial', 'pdf') as general, category = 'edgar_filing' and form = 'UNKNOWN' and n_sections <= 1 as exhibit from g""")
 def document_gates(spark, d):
     """FLT7, FLT8, over all combinations."""
-    g = spark.createDataFrame(_GATES, "category string, form string, segmentation string, by_headings boolean, n_sections int")
+    g = _gated(spark, d)
     g = g.withColumn("low", classify.low_confidence(F.col("category"), F.col("form"), F.col("segmentation"), F.col("by_headings"), F.col("n_sections")))
     return g.withColumn("general", classify.general_financial(F.col("category"), F.col("low"))).withColumn("exhibit", classify.exhibit(F.col("category"), F.col("form"), F.col("n_sections")))
 
@@ -510,13 +516,18 @@ _INLINE = """<html><ix:header><xbrli:context id="c1"><xbrli:period><xbrli:startD
 <ix:nonFraction name="us-gaap:NetIncomeLoss" contextref="c1" unitref="u" scale="6" sign="-">60</ix:nonFraction></body></html>"""
 
 
-@query("select * from (values ('Revenue', 'USD', 'EUR', 1.2e9, 1.0e9, 0.2::double), ('Gross profit', 'USD', 'EUR', 3.0e8, null, null), ('Net income', 'USD', 'EUR', -6.0e7, null, null)) as t(label, unit, currency_code, current_value, prior_value, yoy)")
+@query("""select c_custkey, t.label, 'USD' as unit, 'EUR' as currency_code, t.now as current_value, t.was as prior_value, t.yoy from customer, lateral (values ('Revenue', (c_custkey * 1200) * 1e6, c_custkey * 1e9, case when c_custkey <> 0 then 0.2::double end), ('Gross profit', (c_custkey % 97 + 3) * 1e6, null, null), ('Net income', -(c_custkey % 13 + 1) * 1e6, null, null)) as t(label, now, was, yoy)""")
 def inline_fact_lines(spark, d):
-    """SRC11, JN6, AG11, NUM1, NUM4: line items of a small inline-fact document."""
-    page = spark.createDataFrame([(1, _INLINE)], "page_id bigint, html string")
-    raw = html.facts_of(html.inline_facts(page, "page_id"), "page_id")
-    lines = facts.line_items(facts.current_and_prior(raw, "page_id", "concept"), "page_id")
-    return lines.select("label", "unit", "currency_code", "current_value", "prior_value", F.round("yoy", 6).alias("yoy"))
+    """SRC11, JN6, AG11, NUM1, NUM4: line items of inline-fact documents, one a customer."""
+    key = F.col("c_custkey")
+    html_ = F.lit(_INLINE)
+    # the smallest first, so that no value put in is taken for one to replace
+    for said, value in ((">60<", (key % 13 + 1).cast("string")), (">300<", (key % 97 + 3).cast("string")), (">1,200<", F.format_number(key * 1200, 0)), (">1,000<", F.format_number(key * 1000, 0))):
+        html_ = F.replace(html_, F.lit(said), F.concat(F.lit(">"), value, F.lit("<")))
+    page = P.table(spark, d, "customer").select("c_custkey", html_.alias("html"))
+    raw = html.facts_of(html.inline_facts(page, "c_custkey"), "c_custkey")
+    lines = facts.line_items(facts.current_and_prior(raw, "c_custkey", "concept"), "c_custkey")
+    return lines.select("c_custkey", "label", "unit", "currency_code", "current_value", "prior_value", F.round("yoy", 6).alias("yoy"))
 
 
 @query("with c as (select o_custkey, year(o_orderdate) as y, count(*) as n from orders group by 1, 2), r as (select *, row_number() over (partition by o_custkey order by n desc, y) as k, lead(n, 1, 0) over (partition by o_custkey order by n desc, y) as nx from c) select o_custkey, y::int as year, n, case when abs(y - 1996) = 1 then y::int end as shifted from r where k = 1 and n >= 3 and n >= 2 * nx")
@@ -529,12 +540,6 @@ def fiscal_dominant_year(spark, d):
 # ── relevance ────────────────────────────────────────────────────────────────
 
 
-@query("select section_id, " + "case " + " ".join(f"when starts_with(section_id, {q(p)}) then {i}" for i, p in enumerate(PRIORITY)) + f" else {len(PRIORITY)} end as rank from (values " + ", ".join(f"({q(i)})" for f in segment.ITEM_FORMS for _, i, _ in segment.items(f)) + ") as t(section_id)")
-def section_priority(spark, d):
-    """ORD1: the priority of all registered sections."""
-    return segment.registry(spark).select("section_id", relevance.priority(F.col("section_id")).alias("rank"))
-
-
 _DIMS = ["revenue", "margins", "shares", "risk"]
 
 
@@ -543,6 +548,14 @@ def _hit(dim: str) -> str:
 
 
 _RANK_CASE = "case " + " ".join(f"when starts_with(section_id, {q(p)}) then {i}" for i, p in enumerate(PRIORITY)) + f" else {len(PRIORITY)} end"
+
+
+@query(f"with {_HITS}, {_SECTIONS} select conv_id, section_id, {_RANK_CASE} as rank from sections")
+def section_priority(spark, d):
+    """ORD1: the priority of the sections of filings."""
+    return segment.item_sections(P.filings(spark, d), "conv_id").select("conv_id", "section_id", relevance.priority(F.col("section_id")).alias("rank"))
+
+
 _SCORED = rf"""st as ({P.STATEMENTS_SQL}), ord as (select *, {_RANK_CASE} as prio, {' + '.join(f'(2 * {_hit(x)}::int)' for x in _DIMS)} as kw from st),
     num as (select *, row_number() over (partition by conv_id order by prio, section_order, sent_idx) as reading from ord),
     scored as (select *, kw + 2 * regexp_matches(sentence, '\$\s?[\d,.]+|\d+(?:\.\d+)?\s?%|\b\d{{2,}}\b')::int + (prio < {len(PRIORITY)})::int as score from num where kw > 0)"""
@@ -991,10 +1004,10 @@ def gate_states(spark, d):
     return _pages(spark, d).select("page_id", classify.gate_state(F.col("html"), F.lit('class="ad"'), F.lit("<nav>")).alias("gate"))
 
 
-@query(f"with g as (select *, case when segmentation = 'low' then true when category = 'edgar_filing' or form = 'DATA_REPORT' then false when by_headings or form = 'UNKNOWN' then true else n_sections <= 1 end as low from {_GATE_SQL}) select category, form, segmentation, by_headings, n_sections, case when form = 'DATA_REPORT' or (category = 'edgar_filing' and form = 'UNKNOWN' and n_sections <= 1) or (low and category not in ('ir_or_financial', 'pdf')) then 'summary' when (low and category in ('ir_or_financial', 'pdf')) or category = 'pdf' then 'summary,analyst,sentiment' else 'summary,analyst,sentiment,changes' end as capabilities from g")
+@query(f"with g as (select *, case when segmentation = 'low' then true when category = 'edgar_filing' or form = 'DATA_REPORT' then false when by_headings or form = 'UNKNOWN' then true else n_sections <= 1 end as low from {_GATE_SQL}) select doc_id, category, form, segmentation, by_headings, n_sections, case when form = 'DATA_REPORT' or (category = 'edgar_filing' and form = 'UNKNOWN' and n_sections <= 1) or (low and category not in ('ir_or_financial', 'pdf')) then 'summary' when (low and category in ('ir_or_financial', 'pdf')) or category = 'pdf' then 'summary,analyst,sentiment' else 'summary,analyst,sentiment,changes' end as capabilities from g")
 def document_capabilities(spark, d):
     """FLT9, over all combinations."""
-    g = spark.createDataFrame(_GATES, "category string, form string, segmentation string, by_headings boolean, n_sections int")
+    g = _gated(spark, d)
     low = classify.low_confidence(F.col("category"), F.col("form"), F.col("segmentation"), F.col("by_headings"), F.col("n_sections"))
     return g.withColumn("capabilities", F.array_join(ingest.capabilities(F.col("category"), F.col("form"), low, F.col("n_sections")), ","))
 
