@@ -405,6 +405,17 @@ def test_texts_to_documents(spark):
     assert all(whole[r.doc][r.start : r.end].strip() == r.text for r in sections.collect())
 
 
+def test_reports_of_all_parts(spark):
+    """Parts in their order, ordered within; empty ones are empty lists; what has no document is left out."""
+    docs = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "doc int, source string")
+    flags_ = spark.createDataFrame([(1, 30, 'say "no"'), (1, 4, "x"), (3, 1, "orphan")], "doc int, start int, term string")
+    bare = spark.createDataFrame([(1,)], "doc int")
+    got = {r.doc: json.loads(r.report) for r in report.assemble(docs, {"flags": (flags_, "start"), "none": (flags_.limit(0), None), "bare": (bare, None)}, "doc").collect()}
+    assert got == {1: {"source": "a", "flags": [{"start": 4, "term": "x"}, {"start": 30, "term": 'say "no"'}], "none": [], "bare": [{}]}, 2: {"flags": [], "none": [], "bare": []}}
+    only = report.assemble(docs.select("doc").distinct(), {"flags": (flags_, "start")}, "doc")
+    assert {r.doc: len(json.loads(r.report)["flags"]) for r in only.collect()} == {1: 2, 2: 0}
+
+
 def test_json_that_does_not_parse(spark):
     rows = spark.createDataFrame([(1, '{"k": 1, "o": {"x": "a"}}', "c"), (2, '{"k": 2, "o": {"x": "a"}', "c"), (3, None, "c"), (4, "", "c"), (5, '{"k": "x"}', "c"), (6, "{}", "c"), (7, "[1", "c")], "id int, json string, _broken string")
     kind = "k bigint, o struct<x:string>"

@@ -197,6 +197,8 @@ def test_report_holds_every_sentence(spark, tmp_path):
 
     said = [f"Sentence number {w} is long enough to be kept." for w in ("one", "two", "three", "four", "five")]
     spark.createDataFrame([(1, " ".join(said), "en", "a")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for other in ("lineitem", "labels"):  # parts without rows
+        spark.read.parquet(f"/root/testdata/sf0.001/{other}.parquet").limit(0).write.parquet(f"{tmp_path}/{other}.parquet")
     (row,) = QUERIES["export_report_rows"](spark, str(tmp_path)).collect()
     assert all(x in row.report for x in said)
 
