@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.sequences import alike_pairs, one_to_one
 from quire.functions.text import jaccard
 
 
@@ -39,3 +42,50 @@ def similar_sets(left: DataFrame, right: DataFrame, *keys: str, a: str = "a", r:
     with_left = met.join(left.select(*keys, a, F.col(tokens).alias("_a")), [*keys, a])
     scored = with_left.join(right.select(*keys, r, F.col(tokens).alias("_r")), [*keys, r]).withColumn("score", jaccard(F.col("_a"), F.col("_r")))
     return scored.where(F.col("score") >= least).select(*keys, a, r, "score")
+
+
+#: Documents and pairs that are Python objects at a time, at most.
+DOCUMENTS, PAIRS = 32, 50_000
+
+
+def similar_within(left: DataFrame, right: DataFrame, *keys: str, a: str = "a", r: str = "r", tokens: str = "tokens", least: float = 0.5, best: bool = False) -> DataFrame:
+    """``similar_sets`` for keys that name a document: its sets meet by one grouping and are looked up by their rarest words there.
+
+    Tokens hold no white space.  Every set travels once, where a join over words carries each word of each set several times.
+    With ``best`` the pairs of a document are taken one to one, the best first; ties by ``a``, then ``r``.
+    """
+    own = {x: df.schema[x].dataType.simpleString() for x, df in ((a, left), (r, right))}
+    sides = [df.groupBy(*keys).agg(F.collect_list(x).alias(f"_{x}"), F.collect_list(F.array_join(tokens, " ")).alias(f"_{x}_said")) for df, x in ((left, a), (right, r))]
+    met = sides[0].join(sides[1], list(keys)).select(*keys, f"_{a}", f"_{a}_said", f"_{r}", f"_{r}_said")
+    return _pairs_of_rows(met, keys, own, least, best)
+
+
+def similar_of_two(documents: DataFrame, left: str, right: str, *keys: str, a: str = "a", r: str = "r", least: float = 0.5) -> DataFrame:
+    """(keys, a, r, score): ``similar_within`` of rows that hold both sides as arrays of texts, their sets as words between blanks; ``a`` and ``r`` are places."""
+    places = lambda c: F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
+    return _pairs_of_rows(documents.select(*keys, places(left).alias("_a"), left, places(right).alias("_r"), right), keys, {a: "int", r: "int"}, least, False)
+
+
+def _pairs_of_rows(met: DataFrame, keys: tuple[str, ...], own: dict[str, str], least: float, best: bool) -> DataFrame:
+    """The pairs of rows (keys, places, their sets, other places, their sets)."""
+    import pyarrow as pa
+
+    n, names = len(keys), [*keys, *own, "score"]
+
+    def pairs(row):
+        places, said, others, told = row[n:]
+        found = alike_pairs([frozenset(x.split()) for x in said], [frozenset(x.split()) for x in told], least)
+        found = ((s, places[x], others[y]) for s, x, y in found)
+        return ((*row[:n], x, y, s) for s, x, y in (one_to_one(list(found)) if best else found))
+
+    def run(batches):
+        for b in batches:
+            types = [*b.schema.types[:n], b.schema.types[n].value_type, b.schema.types[n + 2].value_type, pa.float64()]
+            for at in range(0, b.num_rows, DOCUMENTS):
+                rows = zip(*(c.to_pylist() for c in b.slice(at, DOCUMENTS).columns), strict=True)
+                found = (p for row in rows for p in pairs(row))
+                while some := list(islice(found, PAIRS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+
+    fields = [f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys] + [f"`{x}` {t}" for x, t in own.items()]
+    return met.mapInArrow(run, ", ".join([*fields, "score double"]))
