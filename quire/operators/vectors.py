@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.numbers import cosine
+from quire.session import written
 
 #: Vectors of a group in one block, and rows of a block multiplied at once.
 BLOCK, TILE = 2_048, 256
+#: Vectors of a group that goes through as one row, at most; such groups are most, and a call of Python for each would cost more than its product.
+SMALL = 64
 
 
 def centrality(vectors: DataFrame, *keys: str, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -16,13 +19,15 @@ def centrality(vectors: DataFrame, *keys: str, id_col: str = "vec_id", vector: s
 
     A group is dealt into blocks of BLOCK vectors, and each pair of blocks is one product in a task, of which only the
     sum of each vector leaves: a vector is sent once for each block of its group, and no row is made for a pair.
-    Vectors of a group are of one length and unit norm; rows of one id are not compared with each other.
+    Vectors of a group are of one length and unit norm; rows of one id are not compared with each other.  A group of SMALL vectors at most is a row.
     """
     import numpy as np
     import pyarrow as pa
 
+    vectors = written(vectors.select(*keys, id_col, vector), "vectors")  # a model runs once
     sizes = vectors.groupBy(*keys).agg(F.count("*").alias("_n"))
-    dealt = vectors.select(*keys, id_col, vector).join(sizes, list(keys)).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    few, many = sizes.where(F.col("_n") <= SMALL), sizes.where(F.col("_n") > SMALL)
+    dealt = vectors.join(many, list(keys)).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     met = dealt.select(*keys, id_col, vector, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
 
@@ -42,6 +47,22 @@ def centrality(vectors: DataFrame, *keys: str, id_col: str = "vec_id", vector: s
 
     fields = ", ".join(f"`{k}` {vectors.schema[k].dataType.simpleString()}" for k in (*keys, id_col))
     sums = met.groupBy(*keys, "_i", "_j").applyInArrow(run, f"{fields}, s double")
+
+    def whole(batches):
+        for b in batches:
+            ids, flat = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+            ends, x = ids.offsets.to_numpy() - ids.offsets[0].as_py(), flat.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            names, total = ids.flatten(), np.zeros(ends[-1])
+            own, x = names.to_numpy(zero_copy_only=False), x.reshape(ends[-1], -1) if ends[-1] else x
+            for s, e in zip(ends, ends[1:]):
+                sim = np.clip(x[s:e] @ x[s:e].T, 0, 1)
+                sim[own[s:e, None] == own[None, s:e]] = 0
+                total[s:e] = sim.sum(axis=1)
+            of = pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends)))
+            yield pa.RecordBatch.from_arrays([*[c.take(of) for c in b.columns[:-2]], names, pa.array(total)], [*keys, id_col, "s"])
+
+    rows = vectors.join(few, list(keys)).groupBy(*keys).agg(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(vector).alias("v"))).alias("_r"))
+    sums = sums.unionByName(rows.select(*keys, "_r.i", "_r.v").mapInArrow(whole, f"{fields}, s double"))
     total = sums.groupBy(*keys, id_col).agg(F.sum("s").alias("s")).join(sizes, list(keys))
     return total.select(*keys, id_col, F.when(F.col("_n") == 1, 1.0).otherwise(F.col("s") / (F.col("_n") - 1)).alias("score"))
 

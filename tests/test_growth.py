@@ -69,3 +69,23 @@ def test_frames_of_few_rows(spark):
 
     got = map_in_frames(spark.range(0, 1_000, 1, 2).toDF("id"), run, "id bigint, n int", rows=100).collect()
     assert sorted(x.id for x in got) == list(range(1_000)) and max(x.n for x in got) == 100
+
+
+def test_centrality_of_groups_of_any_size(spark):
+    """Groups that go through as rows and larger ones have the scores of all pairs; rows of one id are not compared."""
+    import numpy as np
+
+    from quire.operators import vectors
+
+    r = np.random.default_rng(4)
+    rows, want = [], {}
+    for key, n in ((1, 1), (2, 2), (3, 64), (4, 65), (5, 3)):
+        x = r.normal(size=(n, 4))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        sim = np.clip(x.astype(float) @ x.astype(float).T, 0, 1)
+        np.fill_diagonal(sim, 0)
+        rows += [(key, i, x[i].tolist()) for i in range(n)]
+        want |= {(key, i): sim[i].sum() / (n - 1) if n > 1 else 1.0 for i in range(n)}
+    got = vectors.centrality(spark.createDataFrame(rows, "k int, vec_id bigint, embedding array<float>"), "k")
+    found = {(x.k, x.vec_id): x.score for x in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
