@@ -31,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, release, scratch_path, utf8
+from quire.llm.common import give_back, materialise, release, scratch_path, slices_by_size, sparing, utf8
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a block and of strings in a bucket; bound what a task holds.
 BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 2_000_000
+#: Bytes of a block whose anchors are looked for at once.
+PART_BYTES = 1_000_000
 HOT_ROWS = 200_000
 #: Bits of an anchor's hash that are kept besides those of its bucket; a collision costs work, not correctness.
 KEPT_BYTES = 5
@@ -75,11 +77,25 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have : width - have + n])
 
 
-def anchor_runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, chunk: int = 1 << 15, part: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring windows of one text with equal anchors: (anchor, text, first window's place, number of windows).
 
     Windows are taken a cache-sized chunk at a time, and only where an anchor differs from the one before is it kept.
+    Texts are gone through in parts of so many bytes, so that what is passing does not grow with the block.
     """
+    ends = np.cumsum(sizes)
+    found = []
+    for s, e in slices_by_size(sizes.tolist(), part):
+        at = int(ends[s] - sizes[s])
+        anchor, text, place, many = _part_runs(data[at : ends[e - 1]], sizes[s:e], length, chunk)
+        found.append([anchor, text + s, place + at, many])
+    out = []
+    while found and found[0]:
+        out.append(np.concatenate([x.pop(0) for x in found]))
+    return tuple(out) or _part_runs(data, sizes, length, chunk)
+
+
+def _part_runs(data: np.ndarray, sizes: np.ndarray, length: int, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     windows = np.maximum(sizes - length + 1, 0)
     if not windows.sum():
@@ -115,8 +131,9 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches):
         part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = utf8(t)
+            # texts become objects one by one
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = utf8(t.as_py())
                 if ids and size + len(t) > block_bytes:
                     yield pa.RecordBatch.from_pylist([pack(part << 32 | n, ids, texts)], schema=schema)
                     n, ids, texts, size = n + 1, [], [], 0
@@ -127,7 +144,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_pylist([pack(part << 32 | n, ids, texts)], schema=schema)
 
     schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "block bigint, doc_ids array<bigint>, sizes array<bigint>, data binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sparing(run), "block bigint, doc_ids array<bigint>, sizes array<bigint>, data binary")
 
 
 def _block(row_ids, row_sizes, row_data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +181,8 @@ def shared_anchors(blocks: DataFrame, bits: int, length: int = LENGTH) -> DataFr
         for b in batches:
             for name, ids, sizes, data in zip(*b.columns, strict=True):
                 i, n, raw = _block(ids, sizes, data)
-                a, text, _, _ = anchor_runs(raw, n, length)
+                a, text = anchor_runs(raw, n, length)[:2]
+                del raw
                 keep = _known(ids)[text]
                 a, doc = _short(a[keep], bits), i[text[keep]]
                 order = np.lexsort((doc, a))
@@ -190,9 +208,11 @@ def shared_anchors(blocks: DataFrame, bits: int, length: int = LENGTH) -> DataFr
         keep, ends = keep[own], np.cumsum([len(x) for x in single + several])
         kept = [x[keep[e - len(x) : e]] for x, e in zip(single + several, ends, strict=True)]
         out = [_packed(np.concatenate([s, m])) for s, m in zip(kept[: len(single)], kept[len(single) :], strict=True)]
+        del every, own, keep, kept, single, several
+        give_back()
         return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "anchors"])
 
-    lists = blocks.mapInArrow(listed, "bucket int, block bigint, single binary, several binary")
+    lists = blocks.mapInArrow(sparing(listed), "bucket int, block bigint, single binary, several binary")
     return lists.groupBy("bucket").applyInArrow(judged, "block bigint, bucket int, anchors binary").where(F.length("anchors") > 0)
 
 
@@ -262,7 +282,7 @@ def shared_strings(blocks: DataFrame, shared: str, bits: int, length: int, bucke
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], _PACKED.names)
 
     kinds = _PACKED.types
-    return blocks.mapInArrow(run, "bucket bigint, block bigint, anchors array<int>, sizes binary, ids binary, text binary")
+    return blocks.mapInArrow(sparing(run), "bucket bigint, block bigint, anchors array<int>, sizes binary, ids binary, text binary")
 
 
 _PACKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("anchors", pa.list_(pa.int32())), ("sizes", pa.binary()), ("ids", pa.binary()), ("text", pa.binary())])
@@ -411,8 +431,14 @@ def resolve(strings: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS)
     schema = "block bigint, key binary, least binary"
     hot = materialise(strings.select("bucket", F.explode("anchors").alias("anchor")).groupBy("bucket", "anchor").count().where(F.col("count") > hot_rows).select("bucket", "anchor"), "hot")
     release(strings.sparkSession)
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = judge(*unpack(table), length)
+        give_back()
+        return out
+
     if not hot.count():
-        return strings.groupBy("bucket").applyInArrow(lambda table: judge(*unpack(table), length), schema)
+        return strings.groupBy("bucket").applyInArrow(whole, schema)
 
     def flat(batches):
         for b in batches:
@@ -422,7 +448,7 @@ def resolve(strings: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS)
     def judged(table: pa.Table) -> pa.Table:
         return judge(*(table.column(k).to_numpy() for k in ("block", "anchor")), table.column("s").to_pylist(), *(table.column(k).to_numpy() for k in ("lo", "hi")), length)
 
-    plain = strings.mapInArrow(flat, "bucket bigint, block bigint, anchor int, s binary, lo bigint, hi bigint")
+    plain = strings.mapInArrow(sparing(flat), "bucket bigint, block bigint, anchor int, s binary, lo bigint, hi bigint")
     out = plain.join(hot, ["bucket", "anchor"], "left_anti").groupBy("bucket").applyInArrow(judged, schema)
     few = plain.join(hot, ["bucket", "anchor"], "left_semi")
     each = few.select("block", "s", "lo", "hi", F.explode(F.sequence(F.lit(1), F.length("s") - length + 1)).alias("at")).withColumn("w", F.substring(F.col("s"), F.col("at"), F.lit(length)))
@@ -486,4 +512,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-    return blocks.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary")
+    return blocks.mapInArrow(sparing(run), "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary")
