@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import once
 from quire.plans.registry import ITEM_FORMS, TITLES, items
 
 #: A header is in a table of contents if so many item numbers start within so many characters of it.
@@ -21,9 +22,9 @@ def registry(spark) -> DataFrame:
     return spark.createDataFrame([(f, *row) for f in ITEM_FORMS for row in items(f)], "form string, item_key string, section_id string, section_order int")
 
 
-def item_hits(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, item_key, head_start, head_end): item headers, from one pass with marks around each."""
-    marked = F.regexp_replace(F.translate(F.col(text), "\u0001\u0002", "  "), ITEM_HEADER, "$1$2\u0001$3\u0002")
+def _headers(text: Column) -> Column:
+    """array<struct<item_key, head_start, head_end>> of the item headers, from one pass with marks around each."""
+    marked = F.regexp_replace(F.translate(text, "\u0001\u0002", "  "), ITEM_HEADER, "$1$2\u0001$3\u0002")
     none = F.array().cast("array<struct<head:string,start:int>>")
 
     def step(acc, piece):
@@ -32,8 +33,13 @@ def item_hits(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
         return F.struct((acc["at"] + F.length(piece) - has.cast("int")).alias("at"), out.alias("out"))
 
     hits = F.aggregate(F.split(marked, "\u0001"), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    key = F.lower(F.regexp_extract(F.col("h.head"), r"(?i)^ITEM\s+(\d+(?:[A-Z]|\.\d{2}|\.[A-Z])?)", 1))
-    return docs.select(*keys, F.explode(hits).alias("h")).select(*keys, key.alias("item_key"), F.col("h.start").alias("head_start"), (F.col("h.start") + F.length("h.head")).alias("head_end"))
+    key = lambda h: F.lower(F.regexp_extract(h["head"], r"(?i)^ITEM\s+(\d+(?:[A-Z]|\.\d{2}|\.[A-Z])?)", 1))
+    return F.transform(hits, lambda h: F.struct(key(h).alias("item_key"), h["start"].alias("head_start"), (h["start"] + F.length(h["head"])).alias("head_end")))
+
+
+def item_hits(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, item_key, head_start, head_end): item headers."""
+    return docs.select(*keys, F.explode(_headers(F.col(text))).alias("h")).select(*keys, "h.*")
 
 
 def mark_contents(hits: DataFrame, *keys: str) -> DataFrame:
@@ -49,31 +55,83 @@ def choose_headers(hits: DataFrame, *keys: str) -> DataFrame:
     return mark_contents(hits, *keys).groupBy(*keys, "item_key").agg(best.alias("h")).select(*keys, "item_key", "h.head_start", "h.head_end")
 
 
+#: Headers that start within CLUSTER_REACH of one on either side, at most: the shortest has nine characters and a line end.
+NEAR_HEADERS = CLUSTER_REACH // 10 + 1
+
+
+def _chosen(headers: Column) -> Column:
+    """What ``choose_headers`` keeps of a document's headers, in the order of the text; headers are looked at with their neighbours only."""
+
+    def marked(hits: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            about = F.slice(hits, F.greatest(i + 1 - NEAR_HEADERS, F.lit(1)), F.lit(2 * NEAR_HEADERS + 1))
+            near = F.filter(about, lambda o: F.abs(o["head_start"] - h["head_start"]) <= CLUSTER_REACH)
+            within = F.size(F.array_distinct(F.transform(near, lambda o: o["item_key"]))) >= CLUSTER_KEYS
+            return F.struct(h["item_key"].alias("item_key"), within.alias("within"), F.when(within, -h["head_start"]).otherwise(h["head_start"]).alias("rank"), h["head_start"].alias("head_start"), h["head_end"].alias("head_end"))
+
+        return F.array_sort(F.transform(hits, one))
+
+    def firsts(ranked: Column) -> Column:
+        kept = F.filter(ranked, lambda h, i: (i == 0) | (F.get(ranked, i - 1)["item_key"] != h["item_key"]))
+        return F.array_sort(F.transform(kept, lambda h: F.struct(h["head_start"].alias("head_start"), h["head_end"].alias("head_end"), h["item_key"].alias("item_key"))))
+
+    return once(once(headers, marked), firsts)
+
+
+_CUT = "array<struct<item_key:string,section_id:string,section_order:int,start:int,end:int,text:string>>"
+
+
+def _bare(text: Column) -> Column:
+    """The whole text as the one section, nothing of an empty text."""
+    one = F.struct(F.lit(None).cast("string").alias("item_key"), F.lit("document_body").alias("section_id"), F.lit(1).alias("section_order"), F.lit(0).alias("start"), F.length(text).alias("end"), F.trim(text).alias("text"))
+    return F.when(F.length(text) > 0, F.array(one)).otherwise(F.array()).cast(_CUT)
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _item_cuts(text: Column) -> Column:
+    """Sections of a text at its item headers; those of known and unknown items have no section_id yet."""
+
+    def cut(kept: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(kept, i + 1)["head_start"], F.length(text))
+            return F.struct(h["item_key"].alias("item_key"), h["head_end"].alias("head_end"), end.alias("end"))
+
+        def filled(h: Column) -> Column:
+            def of(body: Column) -> Column:
+                lead = F.length(body) - F.length(F.regexp_replace(body, r"^\s+", ""))
+                return F.struct(h["item_key"].alias("item_key"), F.lit(None).cast("string").alias("section_id"), F.lit(None).cast("int").alias("section_order"), (h["head_end"] + lead).alias("start"), h["end"].alias("end"), _stripped(body).alias("text"))
+
+            return once(F.substring(text, h["head_end"] + 1, h["end"] - h["head_end"]), of)
+
+        bounds = F.filter(F.transform(kept, one), lambda h: h["head_end"] < h["end"])
+        return F.when(F.size(kept) > 0, F.transform(bounds, filled).cast(_CUT)).otherwise(_bare(text))
+
+    return F.coalesce(once(_chosen(_headers(text)), cut), _bare(text))
+
+
+def _named_items(cuts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, form, section_id, section_order, start, end, text) of rows (keys, form, cuts); what is no item of its form goes."""
+    names = registry(cuts.sparkSession).withColumnsRenamed({"section_id": "_id", "section_order": "_order"})
+    rows = cuts.select(*keys, "form", F.explode("cuts").alias("c")).select(*keys, "form", "c.*")
+    rows = rows.join(F.broadcast(names), ["form", "item_key"], "left").where("item_key is null or _id is not null")
+    return rows.select(*keys, "form", F.coalesce("section_id", "_id").alias("section_id"), F.coalesce("section_order", "_order").alias("section_order"), "start", "end", "text")
+
+
 def item_sections(docs: DataFrame, *keys: str, form: str = "form", text: str = "text") -> DataFrame:
     """(keys, form, section_id, section_order, start, end, text): what runs from each header to the next kept one.
 
-    Unknown item numbers end a section but make none.  Documents without any header become one section.
+    Unknown item numbers end a section but make none.  Documents without any header become one section.  A text is gone
+    through where it stands: rows are neither joined nor read again.
     """
-    picked = choose_headers(item_hits(docs, *keys, text=text), *keys)
-    nxt = F.lead("head_start").over(Window.partitionBy(*keys).orderBy("head_start"))
-    bounds = picked.withColumn("next", nxt)
-    named = docs.select(*keys, F.col(form).alias("form"), F.col(text).alias("whole"))
-    joined = named.join(bounds, list(keys)).join(F.broadcast(registry(docs.sparkSession)), ["form", "item_key"])
-    end = F.coalesce("next", F.length("whole"))
-    body = F.substring(F.col("whole"), F.col("head_end") + 1, end - F.col("head_end"))
-    lead = F.length(body) - F.length(F.regexp_replace(body, r"^\s+", ""))
-    found = joined.where(F.col("head_end") < end).select(*keys, "form", "section_id", "section_order", (F.col("head_end") + lead).alias("start"), end.alias("end"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("text"))
-    bare = named.join(picked.select(*keys).distinct(), list(keys), "left_anti").where(F.length("whole") > 0)
-    whole = bare.select(*keys, "form", F.lit("document_body").alias("section_id"), F.lit(1).alias("section_order"), F.lit(0).alias("start"), F.length("whole").alias("end"), F.trim("whole").alias("text"))
-    return found.unionByName(whole)
+    return _named_items(docs.select(*keys, F.col(form).alias("form"), _item_cuts(F.col(text)).alias("cuts")), *keys)
 
 
-def title_sections(docs: DataFrame, form: str, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, section_id, section_order, start, end): sections of a form without item numbers, at the *last* match of each title.
-
-    With fewer than two titles a document is one section.
-    """
-    body = F.translate(F.col(text), "\u0001\u0002", "  ")
+def _title_cuts(text: Column, form: str, fill: bool = True) -> Column:
+    """Sections of a text at the last match of each title of a form, their texts left out without ``fill``."""
+    body = F.translate(text, "\u0001\u0002", "  ")
     none = F.struct(F.lit(None).cast("int").alias("head_start"), F.lit(None).cast("int").alias("head_end"))
 
     def last_match(pattern: str) -> Column:
@@ -82,41 +140,47 @@ def title_sections(docs: DataFrame, form: str, *keys: str, text: str = "text") -
 
         def placed(m: Column) -> Column:
             tail = F.substring_index(m, "\u0001", -1)  # the last match, its end marked, and what follows
-            start = F.length(F.col(text)) - F.length(tail) + 1
+            start = F.length(text) - F.length(tail) + 1
             return F.when(F.contains(m, F.lit("\u0001")), F.struct(start.alias("head_start"), (start + F.instr(tail, "\u0002") - 1).alias("head_end"))).otherwise(none)
 
-        return F.get(F.transform(F.array(marked), placed), F.lit(0))
+        return once(marked, placed)
 
     def named(section_id: str, order: int):
-        return lambda x: F.struct(F.lit(section_id).alias("section_id"), F.lit(order).alias("section_order"), x["head_start"].alias("head_start"), x["head_end"].alias("head_end"))
+        return lambda x: F.struct(x["head_start"].alias("head_start"), F.lit(order).alias("section_order"), x["head_end"].alias("head_end"), F.lit(section_id).alias("section_id"))
 
-    last = []
-    for n, (section_id, pattern) in enumerate(TITLES[form]):
-        at = last_match(pattern)
-        last.append(F.transform(F.array(at), named(section_id, 10 * (n + 1))))
-    hits = docs.select(*keys, F.length(F.col(text)).alias("size"), F.filter(F.concat(*last), lambda x: x["head_start"].isNotNull()).alias("hits"))
-    several = hits.where(F.size("hits") > 1).select(*keys, "size", F.explode("hits").alias("h")).select(*keys, "size", "h.*")
-    end = F.coalesce(F.lead("head_start").over(Window.partitionBy(*keys).orderBy("head_start", "section_order")), F.col("size"))
-    found = several.withColumn("end", end).where(F.col("head_end") < F.col("end")).select(*keys, "section_id", "section_order", F.col("head_end").alias("start"), "end")
-    whole = hits.where((F.size("hits") <= 1) & (F.col("size") > 0)).select(*keys, F.lit("document_body").alias("section_id"), F.lit(1).alias("section_order"), F.lit(0).alias("start"), F.col("size").alias("end"))
-    return found.unionByName(whole)
+    last = [F.transform(F.array(last_match(pattern)), named(section_id, 10 * (n + 1))) for n, (section_id, pattern) in enumerate(TITLES[form])]
+
+    def cut(hits: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(hits, i + 1)["head_start"], F.length(text))
+            part = _stripped(F.substring(text, h["head_end"] + 1, end - h["head_end"])) if fill else F.lit(None).cast("string")
+            return F.struct(F.lit(None).cast("string").alias("item_key"), h["section_id"].alias("section_id"), h["section_order"].alias("section_order"), h["head_end"].alias("start"), end.alias("end"), part.alias("text"))
+
+        return F.when(F.size(hits) > 1, F.filter(F.transform(hits, one), lambda c: c["start"] < c["end"]).cast(_CUT)).otherwise(_bare(text))
+
+    return once(F.array_sort(F.filter(F.concat(*last), lambda x: x["head_start"].isNotNull())), cut)
+
+
+def title_sections(docs: DataFrame, form: str, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, section_id, section_order, start, end): sections of a form without item numbers, at the *last* match of each title.
+
+    With fewer than two titles a document is one section.
+    """
+    cuts = docs.select(*keys, F.explode(_title_cuts(F.col(text), form, fill=False)).alias("c"))
+    return cuts.select(*keys, "c.section_id", "c.section_order", "c.start", "c.end")
 
 
 def sections_by_form(docs: DataFrame, *keys: str, form: str = "form", text: str = "text") -> DataFrame:
     """(keys, form, section_id, section_order, start, end, text): each document cut the way its form asks for, in one plan.
 
     Forms with items are cut at item headers, forms with titles at these, any other document is one section; an empty
-    text has none.  Every row takes one of the ways.
+    text has none.  Every row takes one of the ways, and documents are gone through once.
     """
-    f = F.coalesce(F.col(form), F.lit("UNKNOWN"))
-    own = docs.select(*keys, f.alias("form"), F.col(text).alias("text"))
-    out = item_sections(own.where(F.col("form").isin(*ITEM_FORMS)), *keys)
-    for name in (t for t in TITLES if t not in ITEM_FORMS):
-        cut = title_sections(own.where(F.col("form") == name), name, *keys).join(own, list(keys))
-        part = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-        out = out.unionByName(cut.select(*keys, "form", "section_id", "section_order", "start", "end", F.regexp_replace(part, r"^\s+|\s+$", "").alias("text")))
-    rest = own.where(~F.col("form").isin(*ITEM_FORMS, *TITLES) & (F.length("text") > 0))
-    return out.unionByName(rest.select(*keys, "form", F.lit("document_body").alias("section_id"), F.lit(1).alias("section_order"), F.lit(0).alias("start"), F.length("text").alias("end"), F.trim("text").alias("text")))
+    f, t = F.coalesce(F.col(form), F.lit("UNKNOWN")), F.col(text)
+    way = F.when(f.isin(*ITEM_FORMS), _item_cuts(t))
+    for name in (x for x in TITLES if x not in ITEM_FORMS):
+        way = way.when(f == name, _title_cuts(t, name))
+    return _named_items(docs.select(*keys, f.alias("form"), way.otherwise(_bare(t)).alias("cuts")), *keys)
 
 
 def is_by_reference(section_id: Column, text: Column) -> Column:
