@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import host
+from quire.functions.text import host, once
 
 _SEC = r"(?:^|\.)sec\.gov$"
 _STORE = r"(?:^|\.)chromewebstore\.google\.com$|^chrome\.google\.com$"
@@ -85,15 +85,12 @@ def normal_form(raw: Column) -> Column:
 
 def detect_form(declared: Column, url: Column, text: Column) -> Column:
     """struct<form, confidence>: as declared (high), by address (medium), by the head of the text (low)."""
-    said = normal_form(F.coalesce(declared, F.lit("")))
+    said = once(F.coalesce(declared, F.lit("")), normal_form)
     by_url = F.coalesce(*[F.when(url.rlike(f"(?i){p}"), F.lit(form)) for form, p in FORM_IN_URL])
-    head = F.upper(F.substring(text, 1, HEAD))
-    by_text = F.coalesce(*[F.when(head.rlike(p), F.lit(form)) for form, p in FORM_IN_TEXT], F.lit("UNKNOWN"))
-    return (
-        F.when(said != "UNKNOWN", F.struct(said.alias("form"), F.lit("high").alias("confidence")))
-        .when(by_url.isNotNull(), F.struct(by_url.alias("form"), F.lit("medium").alias("confidence")))
-        .otherwise(F.struct(by_text.alias("form"), F.lit("low").alias("confidence")))
-    )
+    by_text = once(F.upper(F.substring(text, 1, HEAD)), lambda head: F.coalesce(*[F.when(head.rlike(p), F.lit(form)) for form, p in FORM_IN_TEXT], F.lit("UNKNOWN")))
+    of = lambda form, confidence: F.struct(form.alias("form"), F.lit(confidence).alias("confidence"))
+    guess = F.coalesce(once(by_url, lambda form: F.when(form.isNotNull(), of(form, "medium"))), of(by_text, "low"))
+    return once(said, lambda form: F.when(form != "UNKNOWN", of(form, "high")).otherwise(guess))
 
 
 def low_confidence(category: Column, form: Column, segmentation: Column, by_headings: Column, n_sections: Column) -> Column:

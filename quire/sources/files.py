@@ -31,7 +31,7 @@ def cover(text):
     The company is what stands before the registrant line, on that line or the last one above it; the period is the date
     behind the first ``year ended`` or ``period ended``; the symbol is the first word in capitals behind its heading.
     """
-    from quire.functions.text import iso_date
+    from quire.functions.text import iso_date, once
 
     head = F.substring(text, 1, 6000)
 
@@ -46,5 +46,5 @@ def cover(text):
     _, symbol = around(r"\btrading\s+symbols?(?:\(s\))?")
     date = F.regexp_extract(ended, r"^[\s:]*([A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4})", 1)
     return F.struct(
-        F.when(named.isNotNull() & F.length(name).between(2, 80), name).alias("company"), iso_date(date).alias("period"), F.nullif(F.regexp_extract(symbol, r"^\W*([A-Z]{1,5})\b", 1), F.lit("")).alias("ticker")
+        once(name, lambda x: F.when(named.isNotNull() & F.length(x).between(2, 80), x)).alias("company"), once(date, iso_date).alias("period"), F.nullif(F.regexp_extract(symbol, r"^\W*([A-Z]{1,5})\b", 1), F.lit("")).alias("ticker")
     )
