@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import sequences
 from quire.functions import text as T
-from quire.operators import redline, similarity
+from quire.operators import ingest, redline, segment, similarity
 
 
 def jaccard(x: set, y: set) -> float:
@@ -89,3 +89,62 @@ def test_centrality_of_groups_of_any_size(spark):
     got = vectors.centrality(spark.createDataFrame(rows, "k int, vec_id bigint, embedding array<float>"), "k")
     found = {(x.k, x.vec_id): x.score for x in got.collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sections_in_one_pass(spark):
+    """Documents are neither joined nor read again for their sections, and a header far behind others is outside their table."""
+    rows = [(1, "10-K", "\n".join(f"ITEM {k}. The part {k}" for k in range(1, 4)) + "\n" + "x" * 2500 + "\nITEM 2. The second\n body \nITEM 1. The first\nend"), (2, "10-K", " none "), (3, None, "a text"), (4, "S-1", "RISK FACTORS\nmany\nDILUTION\nsome"), (5, "10-K", ""), (6, "S-1", None)]
+    docs = spark.createDataFrame(rows, "k int, form string, text string")
+    met = segment.sections_by_form(docs, "k")
+    text = {k: t for k, _, t in rows}
+    got = sorted(tuple(r) for r in met.collect())
+    assert [(r[0], r[2], r[6]) for r in got if r[0] != 1] == [(2, "document_body", "none"), (3, "document_body", "a text"), (4, "s1_dilution", "some"), (4, "s1_risk_factors", "many")]
+    assert all(text[r[0]][r[4] : r[5]].strip() == r[6] for r in got)
+    assert {r[2]: r[6] for r in got if r[0] == 1}["item_1_business"] == "end"
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("LogicalRDD") <= 2 and "Window" not in plan
+    hits = segment.item_hits(spark.createDataFrame([(k, f, "\n".join(f"{'x' * (j * k % 700)}\nITEM {j * k % 5} head" for j in range(40))) for k in range(1, 40) for f in ["10-K"]], "k int, form string, text string"), "k")
+    by_rows = sorted((r.k, r.head_start, r.head_end, r.item_key) for r in segment.choose_headers(hits, "k").collect())
+    held = hits.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("head_start", "head_end", "item_key"))).alias("h"))
+    arrays = held.select("k", F.explode(segment._chosen(F.transform("h", lambda h: F.struct(h["item_key"].alias("item_key"), h["head_start"].alias("head_start"), h["head_end"].alias("head_end"))))).alias("c"))
+    assert by_rows == sorted((r.k, r.c.head_start, r.c.head_end, r.c.item_key) for r in arrays.collect())
+
+
+def test_pages_and_files_in_one_pass(spark):
+    """A page's tree is made once and a file is parsed once, however often their documents and sections are read."""
+    pages = spark.createDataFrame([(1, "https://a.example/x", "<h1>One name</h1><p>" + "word " * 20 + "</p><h2>Two</h2><p>more</p>")], "k int, url string, html string")
+    docs, sections = ingest.ingest(pages, "k")
+    assert [(r.company, r.n_sections, r.form) for r in docs.collect()] == [("One name", sections.count(), "UNKNOWN")]
+    files = spark.createDataFrame([(1, 5, bytearray(b"hello"))], "k int, length bigint, content binary")
+    told, cut = ingest.ingest_texts(files, "k")
+    for df in (docs, sections, told, cut):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("MapInArrow", "ArrowEval", "detect", "UPPER", "upper("))
+
+
+def test_plain_facts_without_a_parser(monkeypatch):
+    """A document of plain tags is not given to the parser and has the facts that this finds; others are."""
+    from quire.sources import html
+
+    def facts(source, plain):
+        with monkeypatch.context() as m:
+            fed = []
+            feed = html._Facts.feed
+            m.setattr(html._Facts, "feed", lambda self, x: (fed.append(x), feed(self, x)))
+            if not plain:
+                m.setattr(html._Facts, "_plain", lambda self, x: False)
+            f = html._Facts(source)
+            return (f.facts, f.contexts, f.units), bool(fed)
+
+    from quire.queries import _INLINE
+
+    assert facts(_INLINE, True) == (facts(_INLINE, False)[0], False)
+    r = random.Random(5)
+    pieces = ["<ix:nonFraction name='a:B' contextRef=\"c1\">", "</ix:nonFraction>", "<xbrli:context id='c1'>", "</xbrli:context>", "<context ID=c2>", "<segment/>", "<explicitMember dimension='x' />", "<endDate>2023", "</endDate >", "<p class='a<b'>", "<br/>", "<b>", "</b>", "1,2 &amp; &#160;", "x < y", "<!-- <instant> -->", "<title><instant></title>", "<script>'</b>'</script>", "<unit id='u&amp;'>", "<measure>iso4217:USD</measure>", "</unit>", "\n", "</ b>", "<", "&lt", "<ix:nonFraction contextref='' name>"]
+    quick = 0
+    for _ in range(3000):
+        source = "".join(r.choice(pieces) for _ in range(r.randrange(1, 14)))
+        got, fed = facts(source, True)
+        quick += not fed
+        assert got == facts(source, False)[0], source
+    assert quick > 300
