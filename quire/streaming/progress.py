@@ -69,43 +69,69 @@ def running_means(events: DataFrame, key: str, value: str = "value", keep: float
     return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, n bigint, mean double", "n bigint, mean double", "update", GroupStateTimeout.NoTimeout)
 
 
-def silences(events: DataFrame, key: str, gap_ms: int, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
+#: Groups that the keys of a stream are dealt into, as a call of Python per key costs many times its work; a checkpoint relies on it.
+BUCKETS = 1_024
+
+
+def silences(events: DataFrame, key: str, gap_ms: int, ts: str = "ts", delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """(key, first_us, last_us, n): spells of activity, each told once nothing has followed for ``gap_ms``.
 
     A spell ends by a timer on event time, so the last one of a key is told without a next event, as soon as the
-    watermark has passed its end by the gap; rows behind the watermark are dropped.  State is three numbers a key;
-    a key's rows of one micro-batch are sorted, which maxFilesPerTrigger bounds.  Rows without key or time are passed over.
+    watermark has passed its end by the gap; rows behind the watermark are dropped.  Keys live in buckets: the state
+    of one is a table of the open spells of its keys, its timer the earliest of theirs, and a bucket's rows of one
+    micro-batch, which maxFilesPerTrigger bounds, are sorted together.  Rows without key or time are passed over.
     """
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     gap = gap_ms * 1_000
 
-    def step(k, frames, state: GroupState):
-        first, last, n = state.get if state.exists else (0, -1, 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "first_us": [first], "last_us": [last], "n": [n]})
-            return
-        at = np.sort(np.concatenate([f["_us"].to_numpy(np.int64) for f in frames]))
-        inside = (at >= first) & (at <= last)
-        at, n = at[~inside], n + int(inside.sum())
+    def packed(spells: pd.DataFrame) -> bytes:
+        table = pa.Table.from_pandas(spells, preserve_index=False)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        return out.getvalue().to_pybytes()
+
+    def step(_, frames, state: GroupState):
+        held = pa.ipc.open_stream(state.get[0]).read_all().to_pandas() if state.exists else None
+        news = [] if state.hasTimedOut else [pd.DataFrame({"key": f[key], "first_us": f["_us"], "last_us": f["_us"], "n": np.int64(1)}) for f in frames]
+        rows = pd.concat([*([] if held is None else [held]), *news], ignore_index=True)
+        code, _ = pd.factorize(rows["key"])
+        begin, end, n = (rows[c].to_numpy(np.int64) for c in ("first_us", "last_us", "n"))
+        size = 0 if held is None else len(held)
+        keys = int(code.max()) + 1
+        # an event within the open spell of its key counts there; the others are single events
+        place = np.full(keys, -1)
+        place[code[:size]] = np.arange(size)
+        own = place[code]
+        inside = (np.arange(len(rows)) >= size) & (own >= 0) & (begin >= begin[own]) & (end <= end[own])
+        n = n + np.bincount(own[inside], minlength=len(rows))
+        fresh = np.bincount(code[size:], minlength=keys) > 0
+        left = np.flatnonzero(~inside)
+        left = left[np.lexsort((begin[left], code[left]))]
+        code, begin, end, n = code[left], begin[left], end[left], n[left]
         # what is open is one stretch among the single events
-        begin, end, count = at, at, np.ones(len(at), np.int64)
-        if n:
-            place = int(np.searchsorted(at, first))
-            begin, end, count = np.insert(at, place, first), np.insert(at, place, last), np.insert(count, place, n)
-        cuts = np.concatenate([[0], np.flatnonzero(begin[1:] - end[:-1] > gap) + 1])
-        first, last, n = begin[cuts], end[np.append(cuts[1:], len(end)) - 1], np.add.reduceat(count, cuts)
-        if len(cuts) > 1:
-            yield pd.DataFrame({key: [k[0]] * (len(cuts) - 1), "first_us": first[:-1], "last_us": last[:-1], "n": n[:-1]})
-        state.update((int(first[-1]), int(last[-1]), int(n[-1])))
-        state.setTimeoutTimestamp(max(int(last[-1]) // 1_000 + gap_ms, state.getCurrentWatermarkMs() + 1))
+        cuts = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]) | (begin[1:] - end[:-1] > gap)) + 1])
+        spells = rows.iloc[left[cuts]][["key"]].assign(first_us=begin[cuts], last_us=end[np.append(cuts[1:], len(end)) - 1], n=np.add.reduceat(n, cuts))
+        code, mark = code[cuts], state.getCurrentWatermarkMs()
+        until = spells["last_us"].to_numpy() // 1_000 + gap_ms
+        followed = np.append(code[1:] == code[:-1], False)
+        over = followed | ~fresh[code] & (until < mark)
+        if over.any():
+            yield spells[over].rename(columns={"key": key})
+        if over.all():
+            state.remove()
+        else:
+            state.update((packed(spells[~over]),))
+            state.setTimeoutTimestamp(max(int(until[~over].min()), mark + 1))
 
     kind = events.schema[key].dataType.simpleString()
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts, F.unix_micros(ts).alias("_us")).withWatermark(ts, delay)
-    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, first_us bigint, last_us bigint, n bigint", "first bigint, last bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandasWithState(step, f"`{key}` {kind}, first_us bigint, last_us bigint, n bigint", "spells binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 #: Characters that a page must have, growth that counts, how long it must rest, and how long it is waited for (fixed values).
