@@ -79,6 +79,7 @@ def sentiment_pass(sections: DataFrame, store: DataFrame, *keys: str, model: str
     said = said.withColumn("start", F.col("_from") + F.col("start")).withColumn("end", F.col("_from") + F.col("end"))
     if tables is not None:
         said = said.where(outside_tables(F.col("start"), F.col("end"), F.col(tables)))
+    said = written(said, "sentences")  # texts are split once
     once = score_texts(said.select("sentence").distinct(), load)
     scored = said.join(once, "sentence").withColumn("label", calibrate(F.lower("raw"), F.col("score")))
     new = written(scored.select(*keys, "text_hash", "place", "section_id", "sent_idx", "label", "score", "start", "end", "degraded"), "sentiments")
