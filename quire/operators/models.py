@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.sentiment import POSITIVE, calibrate
+from quire.session import few_at_a_time
+
+#: Texts that a scorer gets in one call.
+CALL_ROWS = 1_024
 
 
 def lexicon_scorer(texts: list[str]) -> list[tuple[str, float]]:
@@ -23,12 +30,15 @@ def lexicon_scorer(texts: list[str]) -> list[tuple[str, float]]:
 
 
 def classify(sentences: DataFrame, text: str = "sentence", scorer=lexicon_scorer) -> DataFrame:
-    """sentences with ``label`` and ``score``; the scorer takes a list of texts, a batch at a time."""
-    from pyspark.sql.pandas.functions import pandas_udf
+    """sentences with ``label`` and ``score``; the scorer takes a list of texts, CALL_ROWS at most."""
+    from pyspark.sql.functions import arrow_udf
+
+    kind = pa.struct([("raw", pa.string()), ("score", pa.float64())])
 
-    @pandas_udf("raw string, score double")
-    def run(column):
-        return pd.DataFrame(scorer(column.tolist()), columns=["raw", "score"])
+    @arrow_udf("raw string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in few_at_a_time(batches, CALL_ROWS):
+            yield pa.array([{"raw": raw, "score": score} for raw, score in scorer(part.to_pylist())], kind)
 
     out = sentences.withColumn("_m", run(F.col(text)))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_m.score")))

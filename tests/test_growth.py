@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import sequences
 from quire.functions import text as T
 from quire.operators import ingest, redline, segment, similarity
+from quire.streaming import progress
 
 
 def jaccard(x: set, y: set) -> float:
@@ -148,3 +149,44 @@ def test_plain_facts_without_a_parser(monkeypatch):
         quick += not fed
         assert got == facts(source, False)[0], source
     assert quick > 300
+
+
+def test_silences_by_buckets(spark, tmp_path):
+    """Keys of one bucket keep their own spells, with texts as keys too, and Python is called per bucket."""
+    r = random.Random(11)
+    at = {f"u{k}": sorted(r.randrange(0, 400) for _ in range(r.randrange(1, 40))) for k in range(30)}
+    for name, low, high in (("a", 0, 150), ("b", 150, 260), ("c", 260, 401)):
+        rows = [(k, m) for k, ms in at.items() for m in ms if low <= m < high]
+        spark.createDataFrame(rows, "u string, m int").select("u", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("m") * 60).alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    want, top = [], max(m for ms in at.values() for m in ms)
+    for k, ms in at.items():
+        cuts = [0, *[i for i in range(1, len(ms)) if ms[i] - ms[i - 1] > 20], len(ms)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e < len(ms) or ms[e - 1] + 20 < top - 10:
+                want.append((k, *(1_700_000_000_000_000 + m * 60_000_000 for m in (ms[s], ms[e - 1])), e - s))
+    for buckets in (1, 4):
+        rows = progress.silences(progress.read_events(spark, f"{tmp_path}/e"), "u", 20 * 60_000, buckets=buckets)
+        assert sorted(tuple(x) for x in progress.run_once(rows, mode="append").collect()) == sorted(want)
+
+
+def test_slices_of_arrow_batches(spark):
+    """However many rows a batch has, a scorer and the automaton get a bounded number of them."""
+    from quire.operators import flags, models
+
+    rows = spark.range(3000, numPartitions=1).select(F.col("id"), F.concat(F.lit("may be "), F.col("id").cast("string")).alias("sentence"))
+    asked = models.classify(rows, scorer=lambda texts: [("positive", 1.0)] * len(texts) if len(texts) <= 1_024 else 1 / 0)
+    assert [(x.id, x.label) for x in asked.collect()] == [(k, "positive") for k in range(3000)]
+    hits = rows.select(F.size(flags.term_hits(F.col("sentence"), [("may", False)])).alias("n")).collect()
+    assert [x.n for x in hits] == [1] * 3000
+
+
+def test_words_and_sentences_are_cut_once(spark):
+    """Neighbours and the sentiment pass read what was cut from a table."""
+    from quire import queries
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "split(" not in scans(queries.token_jaccard_pairs(spark, "/root/testdata/sf0.001"))
+    x, y = F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))
+    assert spark.range(1).select(T.jaccard(x, y).alias("j"), T.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("e")).first() == (1 / 3, 1.0)
