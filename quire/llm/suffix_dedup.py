@@ -169,8 +169,14 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def _short(anchor: np.ndarray, bits: int) -> np.ndarray:
-    """The hash's leading bits: those of the bucket and the kept ones."""
-    return anchor >> np.uint64(64 - bits - 8 * KEPT_BYTES)
+    """Leading bits of the anchor hashed anew: those of the bucket and the kept ones.
+
+    An anchor is a least hash, so its own leading bits are mostly zeros, and one bucket would get most anchors.
+    """
+    x = anchor * _ODD
+    x ^= x >> np.uint64(32)
+    x *= _ODD
+    return x >> np.uint64(64 - bits - 8 * KEPT_BYTES)
 
 
 def shared_anchors(blocks: DataFrame, bits: int, length: int = LENGTH) -> DataFrame:
