@@ -123,12 +123,20 @@ def staged_analysis(rows: DataFrame, floor: DataFrame, *keys: str, model=None) -
     not tried, the floor stands and the document is ``degraded``.  A stage's answer replaces the floor of its
     dimensions if a card of it passes the guards.
     """
-    # sentences are scored for all stages in one pass
+    # each dimension is looked for once in a sentence, below the window, and all stages are scored from that
     reading = Window.partitionBy(*keys).orderBy(relevance.priority(F.col("section_id")), "section_order", "sent_idx")
     stages = [("snapshot", list(KEYWORDS), "", 0), *STAGES]
-    scores = F.array(*[F.struct(F.lit(n).alias("stage"), F.lit(c).alias("category"), F.lit(m).alias("most"), relevance.keyword_score(F.col("sentence"), F.col("section_id"), dims).alias("score")) for n, dims, c, m in stages])
-    scored = rows.withColumn("reading", F.row_number().over(reading)).select(*keys, "sentence", "reading", F.explode(F.filter(scores, lambda x: x["score"] > 0)).alias("s")).select(*keys, "sentence", "reading", "s.*")
-    asked = relevance.pack(scored, BUDGET, *keys, "stage", "category", "most").withColumn("prompt", F.concat("stage", F.lit("\n"), "excerpt"))
+    hits, more = relevance.hits(F.col("sentence"), F.col("section_id"), list(KEYWORDS))
+    # stages of the same dimensions have the same excerpt, which is packed once
+    alike = {}
+    for n, dims, c, m in stages:
+        alike.setdefault(tuple(dims), []).append(F.struct(F.lit(n).alias("stage"), F.lit(c).alias("category"), F.lit(m).alias("most")))
+    scores = F.array(*[F.struct(F.lit(k).alias("dims"), relevance.score_of("_hits", "_more", dims).alias("score")) for k, dims in enumerate(alike)])
+    ordered = rows.select(*keys, "section_id", "section_order", "sent_idx", "sentence", hits.alias("_hits"), more.alias("_more")).withColumn("reading", F.row_number().over(reading))
+    scored = ordered.select(*keys, "sentence", "reading", F.explode(F.filter(scores, lambda x: x["score"] > 0)).alias("s")).select(*keys, "sentence", "reading", "s.*")
+    packed = relevance.pack(scored, BUDGET, *keys, "dims")
+    named = F.element_at(F.array(*[F.array(*of) for of in alike.values()]), F.col("dims") + 1)
+    asked = packed.select(*keys, "excerpt", F.explode(named).alias("of")).select(*keys, "of.*", "excerpt").withColumn("prompt", F.concat("stage", F.lit("\n"), "excerpt"))
     asked = written(asked.select(*keys, "stage", "category", "most", "prompt"), "prompts")
     told = models.generate(asked.where("stage = 'snapshot'"), "prompt", model).select(*keys, F.col("answer").alias("snapshot"), "degraded")
     docs = written(rows.select(*keys).distinct().join(told, list(keys), "left").withColumn("degraded", F.coalesce("degraded", F.lit(True))), "snapshots")

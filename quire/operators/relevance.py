@@ -41,6 +41,19 @@ def keyword_score(text: Column, section_id: Column, dims: list[str], form: str |
     return F.when(of == 0, 0).otherwise(of + more)
 
 
+def hits(text: Column, section_id: Column, dims: list[str], form: str | None = None) -> tuple[Column, Column]:
+    """(struct of a boolean for each dimension, points for a figure and a section of priority): what ``score_of`` takes."""
+    words = keywords(form)
+    found = F.struct(*[F.coalesce(text.rlike(bounded(words[d])), F.lit(False)).alias(d) for d in dims])
+    return found, F.when(text.rlike(NUMERIC), 2).otherwise(0) + F.when(priority(section_id) < len(PRIORITY), 1).otherwise(0)
+
+
+def score_of(found: str, more: str, dims) -> Column:
+    """``keyword_score`` from columns of ``hits``."""
+    of = sum((F.when(F.col(f"{found}.{d}"), 2).otherwise(0) for d in dims), F.lit(0))
+    return F.when(of == 0, 0).otherwise(of + F.col(more))
+
+
 def scored(sentences: DataFrame, dims: list[str], *keys: str, form: str | None = None, tables: str | None = None) -> DataFrame:
     """Sentences (keys, section_id, section_order, sent_idx, sentence, start, end) with score and reading order.
 
