@@ -16,6 +16,7 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -23,9 +24,12 @@ from quire.llm.common import slices_by_size, sparing
 
 #: The piece pattern of byte-level vocabularies of this family (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of text handled at once, and pieces remembered, in a Python worker.
-SLICE_CHARS = 2_000_000
-MEMORY_PIECES = 1_000_000
+#: Characters of text handled at once in a Python worker.
+SLICE_CHARS = 500_000
+#: Pieces remembered in a Python worker: twice so many at most, of those that came in two slices.
+MEMORY_PIECES = 150_000
+#: Marks, a byte each, of pieces that have come in one slice.
+MARKS = 1 << 22
 
 
 def byte_symbols() -> list[str]:
@@ -57,6 +61,8 @@ class PairIndexBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.marks, self.marked = bytearray(MARKS), 0
 
     def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Token ids of each piece, all pieces merged in one pass over the ranks."""
@@ -65,7 +71,7 @@ class PairIndexBpe:
         starts = []
         for p in pieces:
             starts.append(len(tok))
-            tok += [first[b] for b in p]
+            tok += map(first.__getitem__, p)
             tok.append(-1)  # no pair holds it: nothing merges across pieces
         n = len(tok)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -109,7 +115,7 @@ class PairIndexBpe:
                     heappush(active, (rank[new][0], new))
         out = []
         for s, p in zip(starts, pieces, strict=True):
-            out.append(tuple(t for t in tok[s : s + len(p)] if t >= 0))
+            out.append(tuple([t for t in tok[s : s + len(p)] if t >= 0]))
         return out
 
     def split(self, text: str) -> list[str]:
@@ -120,15 +126,36 @@ class PairIndexBpe:
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
-        if len(self.known) > MEMORY_PIECES:
-            self.known.clear()
-        new = [p for p in set(chain.from_iterable(split)) if p not in self.known]
+        known, older = self.known, self.older
+        new = []
+        for p in set(chain.from_iterable(split)):
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append(p)
         for p, ids in zip(new, self.merge_all([p.encode("utf-8") for p in new]), strict=True):
-            self.known[p] = ids
+            known[p] = ids
         for s, i in self.special.items():
-            self.known[s] = (i,)
-        known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, pieces))) for pieces in split]
+            known[s] = (i,)
+        of = known.__getitem__
+        out = [list(chain.from_iterable(map(of, pieces))) for pieces in split]
+        self.forget(new)
+        return out
+
+    def forget(self, new: list[str]) -> None:
+        """Of new pieces those that come for the first time are forgotten, as most never come again; of the others those that came longest ago."""
+        known, marks = self.known, self.marks
+        for p in new:
+            at = hash(p) % MARKS
+            if not marks[at]:  # a mark of another piece only lets this one stay
+                marks[at] = 1
+                self.marked += 1
+                del known[p]
+        if self.marked > MARKS // 2:
+            self.marks, self.marked = bytearray(MARKS), 0
+        if len(known) > MEMORY_PIECES:
+            self.known, self.older = {}, known
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -154,9 +181,9 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = True, keep_text:
     def run(batches):
         bpe = load(path)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for s, e in slices_by_size([len(t) for t in texts], SLICE_CHARS):
-                ids = bpe.encode_batch(texts[s:e])
+            sizes = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist()
+            for s, e in slices_by_size(sizes, SLICE_CHARS):
+                ids = bpe.encode_batch([t or "" for t in b.column(1).slice(s, e - s).to_pylist()])
                 raw = [bpe.decode_bytes(x) for x in ids]
                 back = [x.decode("utf-8", "replace") for x in raw]
                 yield pa.RecordBatch.from_arrays(

@@ -80,6 +80,27 @@ def test_bpe_is_what_the_library_says(docs, empty, corpus):
         assert b.encode_batch([s])[0] == t.encode(s, add_special_tokens=False).ids
 
 
+def test_bpe_remembers_pieces_that_come_again(monkeypatch):
+    import public_tokenizers
+
+    from quire.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"the w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}q" for i in range(n, n + 500)) + " <|endoftext|>" for n in range(0, 10_000, 500)]
+    once = bpe.PairIndexBpe(path)
+    got = [once.encode_batch([t])[0] for t in texts]
+    held = lambda b: len(b.known) + len(getattr(b, "older", ()))
+    assert " the" in once.known and held(once) < 1_000  # 10,000 pieces came once
+    monkeypatch.setattr(bpe, "MEMORY_PIECES", 300)
+    monkeypatch.setattr(bpe, "MARKS", 1 << 14)
+    few = bpe.PairIndexBpe(path)
+    for _ in range(2):
+        for t, ids in zip(texts, got, strict=True):
+            assert few.encode_batch([t]) == [ids] == bpe.PairIndexBpe.encode_batch(once, [t])
+            assert held(few) <= 2 * (300 + 502)
+    assert [once.decode(x) for x in got] == texts
+
+
 # ── SimHash ──
 
 
