@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,15 +17,29 @@ from quire.session import few_at_a_time
 CALL_ROWS = 1_024
 
 
+_RUNS, _UP = re.compile(r"\w+"), re.compile(POSITIVE)
+_DOWN = re.compile(r"(?i)\b(?:loss(?:es)?|declin\w+|decreas\w+|weak\w*|threat\w*|adverse\w*|worthless|impair\w+|litigation)\b")
+
+
+class _Tones(dict):
+    """Hits in a run of word characters: those of positive tone, and those of loss times 1 << 32."""
+
+    def __missing__(self, run: str) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        hits = self[run] = len(_UP.findall(run)) + (len(_DOWN.findall(run)) << 32)
+        return hits
+
+
+_TONES = _Tones()
+
+
 def lexicon_scorer(texts: list[str]) -> list[tuple[str, float]]:
     """The stand-in classifier: words of positive tone against words of loss."""
-    import re
-
-    pos = re.compile(POSITIVE)
-    neg = re.compile(r"(?i)\b(?:loss(?:es)?|declin\w+|decreas\w+|weak\w*|threat\w*|adverse\w*|worthless|impair\w+|litigation)\b")
     out = []
     for t in texts:
-        p, n = len(pos.findall(t or "")), len(neg.findall(t or ""))
+        # no hit goes beyond a run of word characters, so each such run is looked through once
+        n, p = divmod(sum(map(_TONES.__getitem__, _RUNS.findall(t or ""))), 1 << 32)
         out.append(("neutral", 1.0) if p == n else ("positive" if p > n else "negative", max(p, n) / (p + n)))
     return out
 

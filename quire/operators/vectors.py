@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +17,11 @@ BLOCK, TILE = 2_048, 256
 SMALL = 64
 
 
-def centrality(vectors: DataFrame, *keys: str, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def centrality(vectors: DataFrame, *keys: str, id_col: str = "vec_id", vector: str = "embedding", encoder=None) -> DataFrame:
     """(keys, id, score): mean of the positive similarities to the others of the group; 1 for a group of one.
 
+    With an ``encoder`` the column ``vector`` holds texts (of a table, as they are read twice), which become vectors once, where they are compared.
+
     A group is dealt into blocks of BLOCK vectors, and each pair of blocks is one product in a task, of which only the
     sum of each vector leaves: a vector is sent once for each block of its group, and no row is made for a pair.
     Vectors of a group are of one length and unit norm; rows of one id are not compared with each other.  A group of SMALL vectors at most is a row.
@@ -24,10 +29,15 @@ def centrality(vectors: DataFrame, *keys: str, id_col: str = "vec_id", vector: s
     import numpy as np
     import pyarrow as pa
 
-    vectors = written(vectors.select(*keys, id_col, vector), "vectors")  # a model runs once
+    vectors = vectors.select(*keys, id_col, vector)
+    if encoder is None:
+        vectors = written(vectors, "vectors")  # a model runs once
     sizes = vectors.groupBy(*keys).agg(F.count("*").alias("_n"))
     few, many = sizes.where(F.col("_n") <= SMALL), sizes.where(F.col("_n") > SMALL)
-    dealt = vectors.join(many, list(keys)).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    large = vectors.join(many, list(keys))
+    if encoder is not None:
+        large = encode(large, vector, encoder=encoder).drop(vector).withColumnRenamed("embedding", vector)
+    dealt = large.withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     met = dealt.select(*keys, id_col, vector, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
 
@@ -51,7 +61,9 @@ def centrality(vectors: DataFrame, *keys: str, id_col: str = "vec_id", vector: s
     def whole(batches):
         for b in batches:
             ids, flat = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
-            ends, x = ids.offsets.to_numpy() - ids.offsets[0].as_py(), flat.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            ends, x = ids.offsets.to_numpy() - ids.offsets[0].as_py(), flat.flatten()
+            x = x.flatten().to_numpy(zero_copy_only=False) if encoder is None else np.asarray(encoder(x.to_pylist()), np.float32).reshape(-1)
+            x = x.astype(np.float64)
             names, total = ids.flatten(), np.zeros(ends[-1])
             own, x = names.to_numpy(zero_copy_only=False), x.reshape(ends[-1], -1) if ends[-1] else x
             for s, e in zip(ends, ends[1:]):
@@ -86,15 +98,12 @@ def similarity_to(vectors: DataFrame, query: list[float], vector: str = "embeddi
 
 def hashed_vectors(texts, dim: int = 64):
     """The stand-in encoder: unit vectors of hashed words, one per text."""
-    import zlib
-
     import numpy as np
 
-    out = np.zeros((len(texts), dim), np.float32)
-    for i, t in enumerate(texts):
-        for w in (t or "").lower().split():
-            h = zlib.crc32(w.encode())
-            out[i, h % dim] += 1 if h >> 31 else -1
+    words = [(t or "").lower().split() for t in texts]
+    codes = np.fromiter(map(zlib.crc32, map(str.encode, chain.from_iterable(words))), np.int64)
+    at = np.repeat(np.arange(len(words)) * dim, [len(own) for own in words]) + codes % dim
+    out = np.bincount(at, (codes >> 31) * 2 - 1, len(words) * dim).reshape(-1, dim).astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 
