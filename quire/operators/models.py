@@ -21,6 +21,11 @@ _RUNS, _UP = re.compile(r"\w+"), re.compile(POSITIVE)
 _DOWN = re.compile(r"(?i)\b(?:loss(?:es)?|declin\w+|decreas\w+|weak\w*|threat\w*|adverse\w*|worthless|impair\w+|litigation)\b")
 
 
+#: The first letters of all words of tone.  In a run of plain characters a hit begins where the run does.
+_STEMS = frozenset(re.findall("[(|:]([a-z]{3})", POSITIVE + _DOWN.pattern))
+_LIKELY = re.compile(rf"\b(?:{'|'.join(sorted(_STEMS))})\w*")
+
+
 class _Tones(dict):
     """Hits in a run of word characters: those of positive tone, and those of loss times 1 << 32."""
 
@@ -38,8 +43,10 @@ def lexicon_scorer(texts: list[str]) -> list[tuple[str, float]]:
     """The stand-in classifier: words of positive tone against words of loss."""
     out = []
     for t in texts:
-        # no hit goes beyond a run of word characters, so each such run is looked through once
-        n, p = divmod(sum(map(_TONES.__getitem__, _RUNS.findall(t or ""))), 1 << 32)
+        # no hit goes beyond a run of word characters, so each such run that may hold one is looked through once
+        t = t or ""
+        runs = _LIKELY.findall(t.lower()) if t.isascii() else [x for x in _RUNS.findall(t) if x[:3].lower() in _STEMS or not x.isascii()]
+        n, p = divmod(sum(map(_TONES.__getitem__, runs)), 1 << 32) if runs else (0, 0)
         out.append(("neutral", 1.0) if p == n else ("positive" if p > n else "negative", max(p, n) / (p + n)))
     return out
 
@@ -53,7 +60,8 @@ def classify(sentences: DataFrame, text: str = "sentence", scorer=lexicon_scorer
     @arrow_udf("raw string, score double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in few_at_a_time(batches, CALL_ROWS):
-            yield pa.array([{"raw": raw, "score": score} for raw, score in scorer(part.to_pylist())], kind)
+            raw, score = zip(*told, strict=True) if (told := scorer(part.to_pylist())) else ((), ())
+            yield pa.StructArray.from_arrays([pa.array(raw, pa.string()), pa.array(score, pa.float64())], fields=list(kind))
 
     out = sentences.withColumn("_m", run(F.col(text)))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_m.score")))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import sequences
+from quire.functions import text as T
 from quire.operators import models, redline, vectors
 
 
@@ -63,3 +64,21 @@ def test_texts_go_through_a_comparison(spark):
     df = spark.createDataFrame([(1, "A first sentence stands here. A new one follows it.", "A first sentence stands here."), (1, "Quite another sentence is here.", None)], "d int, current_text string, prior_text string")
     told = redline.redline(df, "d", "current_text").collect()
     assert sorted(r.current_text[x.start : x.end] for r in told for x in r.added) == ["A new one follows it.", "Quite another sentence is here."]
+
+
+def test_most_ends_need_no_guard(spark):
+    """Two plain letters before a full stop are enough; what the whole guard says stays, and marks in texts turn into blanks."""
+    import re
+
+    assert re.search(T._PLAIN.replace("[A-Za-z]{2}", "[A-Za-z][A-Za-z]") + "$", "statement") and not re.search(T._PLAIN + "$", "Corp") and not re.search(T._PLAIN + "$", "U.S")
+    texts = ["Approx. The sum is here now. It grew (see No. 5). Mr. X left! The U.S. Then came é. The end of it.", "a\u0001b\u0002c statement. The next one stands here.", None, ""]
+    whole = T.SENTENCE_END.replace(T._PLAIN + "|", "")
+    assert whole != T.SENTENCE_END
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    plain = F.translate(F.coalesce("text", F.lit("")), "\u0001\u0002", "  ")
+    said = df.select(T.clean(F.col("text")) == plain, F.regexp_replace(plain, whole, "$1|") == F.regexp_replace(plain, T.SENTENCE_END, "$1|"), F.regexp_replace(plain, T.SENTENCE_END, "$1|")).collect()
+    assert all(r[0] and r[1] for r in said)
+    assert said[0][2] == "Approx. The sum is here now.| It grew (see No. 5).| Mr. X left!| The U.S. Then came é.| The end of it."
+    # words that hold no tone are not looked through at all
+    models._TONES.clear()
+    assert models.lexicon_scorer(["Nothing of the kind was said about the weather."])[0][0] == "neutral" and "Nothing" not in models._TONES and "the" not in models._TONES
